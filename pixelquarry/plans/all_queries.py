@@ -6,7 +6,7 @@ import importlib
 
 from pixelquarry.plans.registry import Registry
 
-MODULES = ["stats_queries"]
+MODULES = ["catalog_queries", "stats_queries"]
 
 REGISTRY = Registry()
 for _name in MODULES:
