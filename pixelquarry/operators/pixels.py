@@ -73,10 +73,15 @@ def fill_rect(pixels: DataFrame, rect: tuple[int, int, int, int], bgr: tuple[int
     return _moved(pixels, **{c: f"CASE WHEN {_in_rect(*rect)} THEN {v} ELSE {c} END" for c, v in zip(COLOURS, bgr)})
 
 
-def grid_lines(pixels: DataFrame, spacing: int, bgr: tuple[int, int, int]) -> DataFrame:
-    """One-pixel lines every ``spacing`` pixels in both directions, as fills."""
-    on = f"(x > 0 AND x % {spacing} = 0) OR (y > 0 AND y % {spacing} = 0)"
-    return _moved(pixels, **{c: f"CASE WHEN {on} THEN {v} ELSE {c} END" for c, v in zip(COLOURS, bgr)})
+def grid_lines(pixels: DataFrame, max_cells: int = 8, min_cell: int = 40, bgr: tuple[int, int, int] = (192, 192, 192)) -> DataFrame:
+    """Evenly spaced one-pixel lines, first and last pixel included; none on a side shorter than ``min_cell``."""
+
+    def on(coordinate: str, side: str) -> str:
+        cells = f"least({max_cells}, cast({side} div {min_cell} AS int))"
+        return f"({side} >= {min_cell} AND exists(sequence(0, {cells}), i -> {coordinate} = i * ({side} - 1) div {cells}))"
+
+    line = f"{on('x', 'w')} OR {on('y', 'h')}"
+    return _moved(pixels, **{c: f"CASE WHEN {line} THEN {v} ELSE {c} END" for c, v in zip(COLOURS, bgr)})
 
 
 def widen_single_channel(pixels: DataFrame, column: str = "v") -> DataFrame:
@@ -157,10 +162,6 @@ def sample_grid(pixels: DataFrame, num_values: int = 120_000) -> DataFrame:
     return scatter(sized, "_tw", "_th", "(cast(w AS bigint) * 65536) div _tw", "(cast(h AS bigint) * 65536) div _th")
 
 
-def _rounded(value: float) -> int:
-    return int(value + 0.5) if value >= 0 else -int(-value + 0.5)
-
-
 def rotation_terms(angle: str, out_w: str = "_tw", out_h: str = "_th", unit_steps: bool = False) -> dict[str, str]:
     """Fixed-point start and steps of the inverse mapping, as SQL over w, h and the target size.
 
@@ -251,3 +252,99 @@ def rotate_bicubic(pixels: DataFrame, images: DataFrame, angle: str, width: str,
     inside = summed.withColumnsRenamed({"_tw": "w", "_th": "h"})
     outside = grid.filter(f"NOT ({near})").selectExpr("image_id", "_tw AS w", "_th AS h", "x", "y", *[f"{v} AS {c}" for c, v in zip(COLOURS, background)])
     return inside.unionByName(outside)
+
+
+# --- perspective -----------------------------------------------------------------------------
+
+#: a trapezoid is named by the SQL expressions x1s, x1e (upper side), x2s, x2e (lower side), y1, y2
+Trapezoid = dict[str, str]
+
+
+def _source_line(t: Trapezoid, target_h: str, line: str) -> str:
+    """16.16 source y of a target line: a / (y + c) + b for a real trapezoid, else even steps."""
+    height = f"(({t['y2']}) - ({t['y1']}))"
+    w1, w2 = f"(({t['x1e']}) - ({t['x1s']}))", f"(({t['x2e']}) - ({t['x2s']}))"
+    d1, d2 = f"(({t['x1s']}) - ({t['x2s']}))", f"(({t['x1e']}) - ({t['x2e']}))"
+    narrow = f"(CASE WHEN {w1} < {w2} THEN least({w1}, {w2}) ELSE -least({w1}, {w2}) END)"
+    m1, m2 = f"(cast({height} AS double) / nullif({d1}, 0))", f"(cast({height} AS double) / nullif({d2}, 0))"
+    apex = (
+        f"(CASE WHEN {d1} = 0 AND {d2} = 0 THEN 0.0D WHEN {d1} = 0 THEN -{narrow} * {m2} WHEN {d2} = 0 THEN {narrow} * {m1} "
+        f"WHEN abs({m2} - {m1}) < 1e-9D THEN 0.0D ELSE {narrow} * {m1} * {m2} / nullif({m2} - {m1}, 0.0D) END)"
+    )
+    full = f"({apex} + {height})"
+    grows = f"{w1} < {w2}"
+    a = f"({full} * ({height} - {full}))"
+    b = f"(CASE WHEN {grows} THEN {full} ELSE {height} - {full} END)"
+    c = f"(CASE WHEN {grows} THEN {full} - {height} ELSE -{full} END)"
+    factor = f"(65536.0D * (h - 1) / nullif({target_h} - 1, 0))"
+    bent = f"greatest(0, least(65536L * (h - 1), cast({factor} * ({a} / nullif({line} + {c}, 0.0D) + {b}) + 0.5D AS bigint)))"
+    step = f"(CASE WHEN {target_h} <= h THEN (65536L * h) div ({target_h}) + 1 WHEN {target_h} = 1 THEN 0L ELSE (65536L * (h - 1) + 65535) div ({target_h} - 1) END)"
+    return f"CASE WHEN {apex} > 0 THEN {bent} ELSE {line} * {step} END"
+
+
+def perspective_point(pixels: DataFrame, images: DataFrame, t: Trapezoid, width: str, height: str, background: tuple[int, int, int]) -> DataFrame:
+    """Trapezoid correction with nearest-pixel reads; the x step is linear within a line."""
+    sized = images.withColumns({"_tw": F.expr(width), "_th": F.expr(height)})
+    rows = sized.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("_th") - 1)))
+    tall = f"(({t['y2']}) - ({t['y1']}))"
+    left = f"((({t['x1s']}) - ({t['x2s']})) * 0.5D)"
+    rows = rows.selectExpr(
+        "*", f"cast(shiftright({_source_line(t, '_th', 'y')}, 16) AS int) AS _sy",
+        f"{left} + y * (cast(({t['x2s']}) - ({t['x1s']}) AS double) / {tall}) AS _t1",
+        f"{left} + ({t['x1e']}) - ({t['x1s']}) + y * (cast(({t['x2e']}) - ({t['x1e']}) AS double) / {tall}) AS _t2",
+    ).selectExpr("*", "cast(65536.0D * w / (_t2 - _t1 + 1) AS bigint) + 1 AS _inc").selectExpr("*", "cast(-_t1 * _inc AS bigint) AS _start")
+    grid = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("_tw") - 1))).selectExpr(
+        "image_id", "_tw AS w", "_th AS h", "x", "y", "cast(shiftright(_start + x * _inc, 16) AS int) AS _sx", "_sy"
+    )
+    source = pixels.selectExpr("image_id", "x AS _sx", "y AS _sy", "b", "g", "r")
+    return _with_background(grid.join(source, ["image_id", "_sx", "_sy"], "left").drop("_sx", "_sy"), background)
+
+
+def perspective_bicubic(
+    pixels: DataFrame, images: DataFrame, t: Trapezoid, origin: tuple[str, str], width: str, height: str,
+    background: tuple[int, int, int], phases: list[list[int]],
+) -> DataFrame:
+    """Trapezoid correction with bicubic taps, first across source lines, then along them.
+
+    Source lines next to the upper and lower border are copied instead of
+    filtered (kept behaviour). ``origin`` is the corner of the wanted part.
+    """
+    ox, oy = origin
+    tall = f"(({t['y2']}) - ({t['y1']}))"
+    sized = images.withColumns({"_tw": F.expr(width), "_th": F.expr(height)})
+    rows = sized.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("_th") - 1)))
+    line = f"(y + ({oy}))"
+    rows = rows.selectExpr(
+        "*", f"{_source_line(t, f'({tall} + 1)', line)} AS _cy", f"{tall} + 1 AS _lines",
+        f"({t['x1s']}) + {line} * (cast(({t['x2s']}) - ({t['x1s']}) AS double) / {tall}) AS _t1",
+        f"({t['x1e']}) + {line} * (cast(({t['x2e']}) - ({t['x1e']}) AS double) / {tall}) AS _t2",
+    ).selectExpr(
+        "*", "cast(65536.0D * (w - 1) / (_t2 - _t1) AS bigint) AS _inc", f"cast(65536.0D * (w - 1) * (({ox}) - _t1) / (_t2 - _t1) AS bigint) AS _start",
+        "cast(shiftright(_cy, 16) AS int) AS _sy", "cast(shiftright(_cy & 65535, 10) AS int) AS _phy",
+    )
+    filtered = "_sy > 0 AND _sy < _lines - 2"
+    taps = rows.selectExpr("image_id", "y", "_sy", "_phy", f"{filtered} AS _fil").withColumn(
+        "_j", F.explode(F.expr("IF(_fil, array(0, 1, 2, 3), array(1))"))
+    )
+    taps = taps.withColumn("_wy", F.element_at(bicubic_weights("_phy", phases), F.col("_j") + 1)).withColumn("_ty", F.expr("_sy + _j - 1"))
+    source = pixels.selectExpr("image_id", "x AS _sx", "y AS _ty", "b", "g", "r")
+    across = (
+        taps.join(source, ["image_id", "_ty"])
+        .groupBy("image_id", "y", "_sx", "_fil")
+        .agg(*[F.expr(f"CASE WHEN _fil THEN {clamp(f'shiftright(sum({c} * _wy) + 8192, 6)', 0, 65535)} ELSE max({c}) * 256 END").alias(c) for c in COLOURS])
+        .drop("_fil")
+    )
+    grid = (
+        rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("_tw") - 1)))
+        .selectExpr("image_id", "w AS _w", "_tw", "_th", "x", "y", "_start + x * _inc AS _px")
+        .selectExpr("*", "cast(shiftright(_px, 16) AS int) AS _cx", "cast(shiftright(_px & 65535, 10) AS int) AS _phx")
+    )
+    near = "_cx >= -1 AND _cx <= _w"
+    along = grid.filter(near).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    along = along.withColumn("_wx", F.element_at(bicubic_weights("_phx", phases), F.col("_i") + 1)).withColumn("_sx", F.expr("_cx + _i - 1"))
+    read = along.join(across, ["image_id", "y", "_sx"], "left").fillna({c: v * 256 for c, v in zip(COLOURS, background)})
+    inside = read.groupBy("image_id", F.col("_tw").alias("w"), F.col("_th").alias("h"), "x", "y").agg(
+        *[F.expr(f"cast({clamp(f'shiftright(sum({c} * _wx) + 8192, 22)')} AS int)").alias(c) for c in COLOURS]
+    )
+    outside = grid.filter(f"NOT ({near})").selectExpr("image_id", "_tw AS w", "_th AS h", "x", "y", *[f"{v} AS {c}" for c, v in zip(COLOURS, background)])
+    return inside.unionByName(outside)
