@@ -1,7 +1,7 @@
 """Look-up tables over 0..255 and the density map.
 
-A table is long (``..., v_in, v_out``) while it is computed and one array per
-image when pixels read it, so that pixels meet it in a single keyed join.
+A table is one array of 256 values per image (or per distinct parameter set),
+computed in place from that row, so pixels meet it in a single keyed join.
 """
 
 from __future__ import annotations
@@ -25,41 +25,35 @@ def levels(df: DataFrame) -> DataFrame:
     return df.withColumn("v_in", F.explode(F.sequence(F.lit(0), F.lit(255))))
 
 
-#: contrast/gamma curve as named steps over ``contrast, gamma, v_in`` (plain SQL)
-CONTRAST_GAMMA = [
-    ("_c", "greatest(-0.5, least(0.5, contrast))"),
-    ("_g", "greatest(0.1, least(10.0, gamma))"),
-    ("_x", "v_in / 255.0"),
-    ("_half", "_c * 0.5"),
-    ("_slope", "1.0 / (1.0 - _half)"),
-    ("_shift", "-_slope * _half / 2.0"),
-    ("_from", "(0.25 - _shift) / _slope"),
-    ("_to", "(0.75 - _shift) / _slope"),
-    ("_q", "(_slope * _from - 0.25) / (_from * _from)"),
-    ("_l", "_slope - 2.0 * _q * _from"),
-    ("_bend", "-_c * 1.5"),
-    (
-        "_y",
-        "CASE WHEN _c >= 0 THEN CASE WHEN _x < _from THEN _q * _x * _x + _l * _x "
-        "WHEN _x > _to THEN 1.0 - (_q * (1.0 - _x) * (1.0 - _x) + _l * (1.0 - _x)) ELSE _slope * _x + _shift END "
-        "WHEN _x < 0.5 THEN _x + _bend * (0.0625 - (_x - 0.25) * (_x - 0.25)) ELSE _x - _bend * (0.0625 - (_x - 0.75) * (_x - 0.75)) END",
-    ),
-    ("_out", "floor(0.5 + 255.0 * pow(greatest(0.0, least(1.0, _y)), _g))"),
-]
-
-
-def doubles(expr: str) -> str:
-    """Give every decimal literal of ``expr`` the double suffix Spark needs."""
-    import re
-
-    return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1D", expr)
+def _table(value: str) -> str:
+    """SQL for the array of 256 values of ``value``, an expression over the level ``v``."""
+    return f"transform(sequence(0, 255), v -> cast({value} AS int))"
 
 
 def contrast_gamma(params: DataFrame) -> DataFrame:
-    """256-entry table for every distinct (contrast, gamma)."""
-    table = levels(params.select("contrast", "gamma").distinct())
-    table = _steps(table, *[(n, doubles(e)) for n, e in CONTRAST_GAMMA])
-    return table.selectExpr("contrast", "gamma", "v_in", "cast(_out AS int) AS v_out")
+    """``lut`` array for every distinct (contrast, gamma).
+
+    Positive contrast: straight middle part with a quadratic end on each side.
+    Negative contrast: two quadratic arcs. Gamma bends the result.
+    """
+    rows = params.select("contrast", "gamma").distinct().withColumns({
+        "_half": F.expr("least(0.5D, greatest(-0.5D, contrast)) * 0.5D"), "_g": F.expr("least(10.0D, greatest(0.1D, gamma))"),
+    })
+    rows = rows.withColumns({"_slope": F.expr("1.0D / (1.0D - _half)"), "_shift": F.expr("-(1.0D / (1.0D - _half)) * _half / 2.0D")})
+    rows = rows.withColumn("_from", F.expr("(0.25D - _shift) / _slope"))
+    rows = rows.withColumn("_q", F.expr("(_slope * _from - 0.25D) / (_from * _from)"))
+    x = "(v / 255.0D)"
+    arc = "_q * {0} * {0} + (_slope - 2.0D * _q * _from) * {0}"
+    rising = (
+        f"CASE WHEN {x} < _from THEN {arc.format(x)} WHEN {x} > (0.75D - _shift) / _slope THEN 1.0D - ({arc.format(f'(1.0D - {x})')}) "
+        f"ELSE _slope * {x} + _shift END"
+    )
+    falling = (
+        f"CASE WHEN {x} < 0.5D THEN {x} - 3.0D * _half * (0.0625D - ({x} - 0.25D) * ({x} - 0.25D)) "
+        f"ELSE {x} + 3.0D * _half * (0.0625D - ({x} - 0.75D) * ({x} - 0.75D)) END"
+    )
+    level = f"0.5D + 255.0D * pow(greatest(0.0D, least(1.0D, CASE WHEN _half >= 0 THEN {rising} ELSE {falling} END)), _g)"
+    return rows.select("contrast", "gamma", F.expr(_table(level)).alias("lut"))
 
 
 #: name of a term -> (weight without, weight with saturation): factor = without + with * saturation
@@ -99,75 +93,53 @@ def saturate(pixels: DataFrame, saturation: str) -> DataFrame:
     })
 
 
-def auto_contrast_steps(strength: float, colour: float, brightness: float, shifts: tuple[float, float, float], brightness_strength: float) -> list[tuple[str, str]]:
-    """Named steps from points, means and casts of one image to its three curves (plain SQL).
+def auto_contrast(points: DataFrame, casts: DataFrame, strength: float = 1.0, colour: float = 0.0, brightness: float = 1.0,
+                  shifts: tuple[float, float, float] = (0.0, 0.0, 0.0), brightness_strength: float = 0.2) -> DataFrame:
+    """Arrays ``lut_b, lut_g, lut_r`` per image from its black/white points, means and colour cast.
 
-    Inputs: ``black_*, white_*`` for b, g, r, gray; ``*_mean``; ``cast_*``.
     ``shifts`` are the wanted cyan-red, magenta-green and yellow-blue corrections.
     """
-    shift = dict(zip("rgb", shifts))
-    steps = [("_width", f"pow(white_gray - black_gray, {strength * 0.5!r})")]
-    for c in COLOURS:
-        steps.append((f"_bk_{c}", f"black_{c} * pow((1.0 - black_{c}) * (1.0 - black_gray), {strength!r}) * _width"))
-        steps.append((f"_wh_{c}", f"1.0 - (1.0 - white_{c}) * pow(white_{c} * white_gray, {strength!r}) * _width"))
-    steps += [
-        ("_mb", "(_bk_b + _bk_g + _bk_r) / 3.0"),
-        ("_mw", "(_wh_b + _wh_g + _wh_r) / 3.0"),
-        ("_a", "1.0 / nullif(_mw - _mb, 0.0)"),
-        ("_sh", "-_mb * _a"),
-        ("_mid", "(_mw + _mb) * 0.5"),
-        ("_lift0", "greatest(0.0, _mid * (1.0 - _a) - _sh)"),
-        ("_ymid", "_a * _mid + _sh"),
-        ("_cmean", "(cast_b + cast_g + cast_r) / 3.0"),
-        ("_cmax", "greatest(abs(cast_b - _cmean), abs(cast_g - _cmean), abs(cast_r - _cmean))"),
-        ("_cfact", "0.05 / greatest(0.00001, _cmax)"),
-        ("_cmult", f"2.0 * (2.0 * _cfact - 1.0) * {colour!r} + 1.0" if colour > 0 else f"2.0 * (_cfact + 1.0) * {colour!r} + 1.0"),
-    ]
-    for c in COLOURS:
-        span = f"greatest(0.001, _wh_{c} - _bk_{c})"
-        steps.append((f"_k_{c}", f"_ymid - (_mid - _bk_{c}) / {span} - _cmult * cast_{c} + 0.3 * {float(shift[c])!r}"))
-    steps += [
-        ("_gray", "(b_mean * 0.1 + g_mean * 0.6 + r_mean * 0.3) / 255.0"),
-        ("_add", f"CASE WHEN _gray < 0.5 THEN (0.5 - _gray) * {brightness_strength * brightness!r} ELSE 0.0 END"),
-        ("_lift", "(_lift0 - _k_b) * 0.1 + (_lift0 - _k_g) * 0.6 + (_lift0 - _k_r) * 0.3 + _add"),
-    ]
-    return steps
-
-
-def curve_steps(c: str) -> list[tuple[str, str]]:
-    """Named steps of one channel's curve at ``v_in`` (plain SQL)."""
-    return [
-        (f"_flat_{c}", f"_wh_{c} - _bk_{c} < 0.001"),
-        (f"_lo_{c}", f"CASE WHEN _flat_{c} THEN 0.0 ELSE _bk_{c} END"),
-        (f"_hi_{c}", f"CASE WHEN _flat_{c} THEN 1.0 ELSE _wh_{c} END"),
-        (f"_y_{c}", f"(v_in / 255.0 - _lo_{c}) / (_hi_{c} - _lo_{c})"),
-        (f"_u_{c}", f"coalesce((v_in / 255.0 - _mid) / nullif(CASE WHEN v_in / 255.0 < _mid THEN _mid - _lo_{c} ELSE _hi_{c} - _mid END, 0.0), 0.0)"),
-        (
-            f"lut_{c}",
-            f"CASE WHEN _y_{c} < 0 THEN 0 WHEN _y_{c} > 1 THEN 255 "
-            f"ELSE floor(greatest(0.0, least(1.0, _y_{c} + (_k_{c} + _lift) * (1.0 - _u_{c} * _u_{c}))) * 255.0 + 0.5) END",
-        ),
-    ]
-
-
-def auto_contrast(points: DataFrame, casts: DataFrame, strength: float = 1.0, colour: float = 0.0, brightness: float = 1.0,
-                  shifts: tuple[float, float, float] = (0.0, 0.0, 0.0), brightness_strength: float = 0.2) -> DataFrame:
-    """Three 256-entry curves per image from its black/white points, means and colour cast."""
+    # one row per image: every value below is a handful of arithmetic on it
     wide = points.groupBy("image_id").agg(*[
         F.max(F.when(F.col("channel") == c, F.col(p))).alias(f"{p}_{c}") for c in ("b", "g", "r", "gray") for p in ("black", "white")
     ])
     facts = wide.join(casts, "image_id")
-    facts = _steps(facts, *[(n, doubles(e)) for n, e in auto_contrast_steps(strength, colour, brightness, shifts, brightness_strength)])
-    table = levels(facts)
-    for c in COLOURS:
-        table = _steps(table, *[(n, doubles(e)) for n, e in curve_steps(c)])
-    return table.selectExpr("image_id", "v_in", *[f"cast(lut_{c} AS int) AS lut_{c}" for c in COLOURS])
+    # points far inside the range are corrected less, and less again for a narrow gray range
+    width = f"pow(white_gray - black_gray, {strength * 0.5!r}D)"
+    facts = facts.withColumns({
+        **{f"_lo_{c}": F.expr(f"black_{c} * pow((1.0D - black_{c}) * (1.0D - black_gray), {strength!r}D) * {width}") for c in COLOURS},
+        **{f"_hi_{c}": F.expr(f"1.0D - (1.0D - white_{c}) * pow(white_{c} * white_gray, {strength!r}D) * {width}") for c in COLOURS},
+    })
+    facts = facts.withColumns({"_lo": F.expr("(_lo_b + _lo_g + _lo_r) / 3.0D"), "_hi": F.expr("(_hi_b + _hi_g + _hi_r) / 3.0D")})
+    facts = facts.withColumns({"_slope": F.expr("1.0D / nullif(_hi - _lo, 0.0D)"), "_mid": F.expr("(_hi + _lo) * 0.5D")})
+    mean_cast = "((cast_b + cast_g + cast_r) / 3.0D)"
+    largest = f"greatest(abs(cast_b - {mean_cast}), abs(cast_g - {mean_cast}), abs(cast_r - {mean_cast}))"
+    room = f"(0.05D / greatest(0.00001D, {largest}))"
+    weight = f"2.0D * (2.0D * {room} - 1.0D) * {colour!r}D + 1.0D" if colour > 0 else f"2.0D * ({room} + 1.0D) * {colour!r}D + 1.0D"
+    facts = facts.withColumn("_weight", F.expr(weight))
+    wanted = dict(zip("rgb", shifts))
+    facts = facts.withColumns({
+        f"_bend_{c}": F.expr(
+            f"_slope * (_mid - _lo) - (_mid - _lo_{c}) / greatest(0.001D, _hi_{c} - _lo_{c}) - _weight * cast_{c} + 0.3D * {float(wanted[c])!r}D")
+        for c in COLOURS
+    })
+    gray = "((b_mean * 0.1D + g_mean * 0.6D + r_mean * 0.3D) / 255.0D)"
+    undo = "greatest(0.0D, _mid * (1.0D - _slope) + _lo * _slope)"
+    facts = facts.withColumn("_lift", F.expr(
+        f"{undo} - _bend_b * 0.1D - _bend_g * 0.6D - _bend_r * 0.3D "
+        f"+ CASE WHEN {gray} < 0.5D THEN (0.5D - {gray}) * {brightness_strength * brightness!r}D ELSE 0.0D END"))
+    return facts.select("image_id", *[F.expr(_table(_curve(c))).alias(f"lut_{c}") for c in COLOURS])
 
 
-def as_arrays(table: DataFrame, key: str = "image_id") -> DataFrame:
-    """Long three-channel table to one array of 256 values per channel and image."""
-    rows = table.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("v_in", "lut_b", "lut_g", "lut_r"))).alias("_rows"))
-    return rows.select(key, *[F.transform("_rows", lambda r, c=c: r[f"lut_{c}"]).alias(f"lut_{c}") for c in COLOURS])
+def _curve(c: str) -> str:
+    """Line between the two points of channel ``c`` plus a parabola that is highest at the middle."""
+    flat = f"_hi_{c} - _lo_{c} < 0.001D"
+    lo, hi = f"IF({flat}, 0.0D, _lo_{c})", f"IF({flat}, 1.0D, _hi_{c})"
+    x = "(v / 255.0D)"
+    y = f"(({x} - {lo}) / ({hi} - {lo}))"
+    u = f"coalesce(({x} - _mid) / nullif(IF({x} < _mid, _mid - {lo}, {hi} - _mid), 0.0D), 0.0D)"
+    bent = f"floor(greatest(0.0D, least(1.0D, {y} + (_bend_{c} + _lift) * (1.0D - {u} * {u}))) * 255.0D + 0.5D)"
+    return f"CASE WHEN {y} < 0 THEN 0 WHEN {y} > 1 THEN 255 ELSE {bent} END"
 
 
 def compose(first: DataFrame, then: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -175,12 +147,11 @@ def compose(first: DataFrame, then: DataFrame, pairs: DataFrame) -> DataFrame:
 
     ``pairs`` maps each ``image_id`` to the ``lut_id`` of its single-channel table.
     """
-    identity = F.sequence(F.lit(0), F.lit(255))
     both = pairs.join(first, "lut_id", "left").join(then, "image_id", "left")
-    single = F.coalesce("lut", identity)
+    same = "sequence(0, 255)"
     return both.select(
         "image_id",
-        *[F.transform(single, lambda v, c=c: F.element_at(F.coalesce(f"lut_{c}", identity), v + 1)).alias(f"lut_{c}") for c in COLOURS],
+        *[F.expr(f"transform(coalesce(lut, {same}), v -> element_at(coalesce(lut_{c}, {same}), v + 1))").alias(f"lut_{c}") for c in COLOURS],
     )
 
 
@@ -241,34 +212,25 @@ def scale_map(mask: DataFrame, lighten: float = 0.5, darken: float = 0.25) -> Da
     return mask.withColumn("m", F.expr(f"cast(CASE WHEN m <= 127 THEN 127 - shiftright((127 - m) * {down}, 16) ELSE 127 + shiftright((m - 127) * {up}, 16) END AS int)"))
 
 
-#: gain between black and white point at ``v_in``, as named steps (plain SQL); inputs black_pt, white_pt, steepness
-DENSITY_GAIN = [
-    ("_pow", "greatest(0.0, least(1.0, 1.0 - 0.98 * steepness))"),
-    ("_m", "(black_pt + white_pt) / 2.0"),
-    ("_eb", "black_pt + 0.6 * (_m - black_pt)"),
-    ("_ew", "white_pt - 0.6 * (white_pt - _m)"),
-    ("_f", "v_in / 255.0"),
-    (
-        "_gain",
-        "CASE WHEN white_pt <= black_pt OR _f < black_pt OR _f >= white_pt THEN 0 "
-        "WHEN _f < _eb THEN floor(0.8 * 16384.0 * pow((_f - black_pt) / nullif(_eb - black_pt, 0.0), _pow) + 0.5) "
-        "WHEN _f > _ew THEN floor(0.8 * 16384.0 * (1.0 - (_f - _ew) / nullif(white_pt - _ew, 0.0)) + 0.5) ELSE 13107 END",
-    ),
-]
-
-
 def density_gain(points: DataFrame) -> DataFrame:
-    """Gain table per image between its gray points."""
-    table = _steps(levels(points), *[(n, doubles(e)) for n, e in DENSITY_GAIN])
-    return table.selectExpr("image_id", "v_in", "cast(_gain AS int) AS gain")
+    """Array ``gain`` per image between its gray points: full in the middle, zero at and outside both points."""
+    f = "(v / 255.0D)"
+    mid = "((black_pt + white_pt) / 2.0D)"
+    rise, fall = f"(black_pt + 0.6D * ({mid} - black_pt))", f"(white_pt - 0.6D * (white_pt - {mid}))"
+    steep = "greatest(0.0D, least(1.0D, 1.0D - 0.98D * steepness))"
+    gain = (
+        f"CASE WHEN white_pt <= black_pt OR {f} < black_pt OR {f} >= white_pt THEN 0 "
+        f"WHEN {f} < {rise} THEN floor(0.8D * 16384.0D * pow(({f} - black_pt) / nullif({rise} - black_pt, 0.0D), {steep}) + 0.5D) "
+        f"WHEN {f} > {fall} THEN floor(0.8D * 16384.0D * (1.0D - ({f} - {fall}) / nullif(white_pt - {fall}, 0.0D)) + 0.5D) ELSE 13107 END"
+    )
+    return points.select("image_id", F.expr(_table(gain)).alias("gain"))
 
 
 def density_facts(mask: DataFrame, gain: DataFrame) -> DataFrame:
     """Map and gain as one array each per image. A map has at most some 7 500 cells, a gain 256 entries."""
     cells = mask.groupBy("image_id").agg(F.max("w").alias("map_w"), F.max("h").alias("map_h"), F.array_sort(F.collect_list(F.struct("y", "x", "m"))).alias("_c"))
     cells = cells.select("image_id", "map_w", "map_h", F.transform("_c", lambda c: c["m"]).alias("map"))
-    gains = gain.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("v_in", "gain"))).alias("_g"))
-    return cells.join(gains.select("image_id", F.transform("_g", lambda g: g["gain"]).alias("gain")), "image_id")
+    return cells.join(gain.select("image_id", "gain"), "image_id")
 
 
 def density_correct(pixels: DataFrame, facts: DataFrame) -> DataFrame:

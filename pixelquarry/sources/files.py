@@ -75,5 +75,11 @@ def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
     flat = images.select(
         F.xxhash64("image.origin").alias("image_id"), "image.width", "image.height", "image.nChannels", "image.data"
     )
-    schema = "image_id bigint, w int, h int, x int, y int, b int, g int, r int"
-    return flat.mapInPandas(_explode_images, schema)
+    return explode_pixels(flat)
+
+
+def explode_pixels(images: DataFrame) -> DataFrame:
+    """Decoded images (``image_id, width, height, nChannels, data``) to pixel rows, in chunks of about a million."""
+    return images.select("image_id", "width", "height", "nChannels", "data").mapInPandas(
+        _explode_images, "image_id bigint, w int, h int, x int, y int, b int, g int, r int"
+    )

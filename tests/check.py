@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import __spark_entry__ as entry  # noqa: E402
-from compare import compare, connect  # noqa: E402
+from compare import SECONDS, compare, connect  # noqa: E402
 from pixelquarry.session import build_session  # noqa: E402
 
 
@@ -33,7 +33,8 @@ def main() -> None:
                 traceback.print_exc()
         state = "ok " if not problems else "BAD"
         bad += bool(problems)
-        print(f"{state} {name} {time.time() - start:.2f}s {'' if name in oracles else '(rows only)'}", flush=True)
+        took = f"(spark {SECONDS['spark']:.2f} duck {SECONDS['duck']:.2f})" if name in oracles else "(rows only)"
+        print(f"{state} {name} {time.time() - start:.2f}s {took}", flush=True)
         for p in problems:
             print("    " + p, flush=True)
     print(f"{len(names) - bad}/{len(names)} ok")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import time
+
 import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -12,11 +14,16 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
+    con.execute("SET max_temp_directory_size = '2GB'")
+    con.execute("SET memory_limit = '8GB'")
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return con
 
 
+SECONDS = {"spark": 0.0, "duck": 0.0}
+
+
 def _cell(v):
     if isinstance(v, bool):
         return ("bool", v)
@@ -36,11 +43,14 @@ def rows_of(columns, rows):
 
 def compare(spark_df, con, sql: str) -> list[str]:
     """Differences as text; an empty list means equal."""
+    start = time.time()
     got_columns = spark_df.columns
     got = rows_of(got_columns, [tuple(r) for r in spark_df.collect()])
+    middle = time.time()
     cur = con.execute(sql)
     want_columns = [d[0] for d in cur.description]
     want = rows_of(want_columns, cur.fetchall())
+    SECONDS.update(spark=middle - start, duck=time.time() - middle)
     problems = []
     if sorted(got_columns) != sorted(want_columns):
         problems.append(f"columns {sorted(got_columns)} != {sorted(want_columns)}")
