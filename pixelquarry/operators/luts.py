@@ -128,17 +128,21 @@ def auto_contrast(points: DataFrame, casts: DataFrame, strength: float = 1.0, co
     facts = facts.withColumn("_lift", F.expr(
         f"{undo} - _bend_b * 0.1D - _bend_g * 0.6D - _bend_r * 0.3D "
         f"+ CASE WHEN {gray} < 0.5D THEN (0.5D - {gray}) * {brightness_strength * brightness!r}D ELSE 0.0D END"))
+    # a channel without width keeps the full range
+    facts = facts.withColumns({
+        **{f"_l_{c}": F.expr(f"IF(_hi_{c} - _lo_{c} < 0.001D, 0.0D, _lo_{c})") for c in COLOURS},
+        **{f"_h_{c}": F.expr(f"IF(_hi_{c} - _lo_{c} < 0.001D, 1.0D, _hi_{c})") for c in COLOURS},
+        **{f"_top_{c}": F.expr(f"_bend_{c} + _lift") for c in COLOURS},
+    })
     return facts.select("image_id", *[F.expr(_table(_curve(c))).alias(f"lut_{c}") for c in COLOURS])
 
 
 def _curve(c: str) -> str:
     """Line between the two points of channel ``c`` plus a parabola that is highest at the middle."""
-    flat = f"_hi_{c} - _lo_{c} < 0.001D"
-    lo, hi = f"IF({flat}, 0.0D, _lo_{c})", f"IF({flat}, 1.0D, _hi_{c})"
-    x = "(v / 255.0D)"
+    x, lo, hi = "(v / 255.0D)", f"_l_{c}", f"_h_{c}"
     y = f"(({x} - {lo}) / ({hi} - {lo}))"
     u = f"coalesce(({x} - _mid) / nullif(IF({x} < _mid, _mid - {lo}, {hi} - _mid), 0.0D), 0.0D)"
-    bent = f"floor(greatest(0.0D, least(1.0D, {y} + (_bend_{c} + _lift) * (1.0D - {u} * {u}))) * 255.0D + 0.5D)"
+    bent = f"floor(greatest(0.0D, least(1.0D, {y} + _top_{c} * (1.0D - pow({u}, 2)))) * 255.0D + 0.5D)"
     return f"CASE WHEN {y} < 0 THEN 0 WHEN {y} > 1 THEN 255 ELSE {bent} END"
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from pixelquarry.plans.registry import Registry
 
-MODULES = ["catalog_queries", "metadata_queries", "params_queries", "pixel_queries", "strings_queries", "stats_queries"]
+MODULES = ["catalog_queries", "metadata_queries", "params_queries", "pixel_queries", "source_queries", "strings_queries", "stats_queries"]
 
 REGISTRY = Registry()
 for _name in MODULES:

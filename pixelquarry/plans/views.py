@@ -365,6 +365,8 @@ def duck_with(views: list[str], sql: str) -> str:
         return sql
     body = ",\n".join(f"{name} AS ({DUCK[name]})" for name in wanted)
     sql = sql.lstrip()
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {body},\n{sql[15:]}"
     if sql.upper().startswith("WITH "):
         return f"WITH {body},\n{sql[5:]}"
     return f"WITH {body}\n{sql}"
