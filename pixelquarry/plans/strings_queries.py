@@ -70,11 +70,13 @@ R.add("literal_usage", f"WITH {_USE} SELECT * FROM us")(lambda s, d: st.literal_
 R.add("literal_usage_counts", f"WITH {_USE} SELECT literal, count(*) AS files, sum(uses)::BIGINT AS uses, min(doc_id) AS first_file FROM us GROUP BY 1")(
     lambda s, d: st.usage_counts(st.literal_usage(pages(s, d))))
 
-R.add("untranslated_candidates", rf"""WITH {_USE} SELECT DISTINCT literal FROM us WHERE literal NOT IN (SELECT DISTINCT literal FROM us WHERE doc_id % 4 = 0) AND trim(literal) <> ''
+TEXTS = r">([^<]+)<"
+_TEXT_USE = _USE.replace('"([^"]*)"', TEXTS)
+R.add("untranslated_candidates", rf"""WITH {_TEXT_USE} SELECT DISTINCT literal FROM us WHERE literal NOT IN (SELECT DISTINCT literal FROM us WHERE doc_id % 4 = 0) AND trim(literal) <> ''
  AND NOT regexp_full_match(literal, '\.[a-z]{{3}}') AND NOT regexp_full_match(literal, '\*\.[a-z]{{3,4}}') AND NOT regexp_full_match(literal, '[^\pL\pN_\pM]+') AND NOT regexp_full_match(literal, '[\d.]+')
- AND NOT (literal LIKE '<%>') AND NOT (literal LIKE '\%%\%' ESCAPE '\' AND length(literal) > 1) AND NOT (literal LIKE '{{%}}') AND NOT starts_with(literal, '/') AND regexp_matches(literal, '[a-zA-Z]{{2}}') AND literal NOT IN ('nav', 'utf-8')""")(
+ AND NOT (literal LIKE '<%>') AND NOT (literal LIKE '\%%\%' ESCAPE '\' AND length(literal) > 1) AND NOT (literal LIKE '{{%}}') AND NOT starts_with(literal, '/') AND regexp_matches(literal, '[a-zA-Z]{{2}}') AND literal NOT IN ('About', 'Home')""")(
     lambda s, d: st.untranslated(
-        st.literal_usage(pages(s, d)), st.literal_usage(pages(s, d)).filter("doc_id % 4 = 0").select(F.col("literal").alias("key")), ["nav", "utf-8"]))
+        st.literal_usage(pages(s, d), TEXTS), st.literal_usage(pages(s, d), TEXTS).filter("doc_id % 4 = 0").select(F.col("literal").alias("key")), ["About", "Home"]))
 
 R.add("strings_except", "SELECT text, min(seq) AS seq FROM (SELECT p_partkey AS seq, p_name AS text FROM part) WHERE text NOT IN (SELECT p_name FROM part WHERE p_partkey % 50 = 0) GROUP BY 1")(
     lambda s, d: st.except_keep_order(
