@@ -25,16 +25,37 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def _tile(x: str, tile_pixels: int) -> Column:
+    return F.expr(f"cast(({x}) div {tile_pixels} AS int)")
+
+
+def write_tiled(pixels: DataFrame, name: str, buckets: int, folder: str | None = None, tile_pixels: int = TILE_PIXELS) -> DataFrame:
+    """Save pixels as a table bucketed by (image, tile) and return it.
+
+    Later :func:`attach_per_image` calls read it without moving a pixel: only
+    the small per-image side is shuffled. ``buckets`` fixes the read tasks, so
+    choose it for the table's size (some 128 MB of Parquet per bucket).
+    """
+    tiled = pixels.withColumn("_tile", _tile("cast(y as bigint) * w + x", tile_pixels))
+    writer = tiled.repartition(buckets, "image_id", "_tile").write.mode("overwrite").format("parquet")
+    writer = writer.bucketBy(buckets, "image_id", "_tile").sortBy("image_id", "_tile")
+    (writer.option("path", folder) if folder else writer).saveAsTable(name)
+    return pixels.sparkSession.table(name)
+
+
 def attach_per_image(pixels: DataFrame, per_image: DataFrame, tile_pixels: int = TILE_PIXELS, how: str = "inner") -> DataFrame:
     """Join one-row-per-image facts to pixel rows, tile by tile.
 
     ``per_image`` carries ``image_id, w, h``. An image is cut into runs of
     ``tile_pixels`` pixels and its facts are repeated once per run, so a giant
     image spreads over many tasks while small images are not repeated at all.
+    Pixels of a :func:`write_tiled` table bring their tile along (the same
+    ``tile_pixels`` applies) and keep it.
     """
-    last = F.expr(f"cast((cast(w as bigint) * h - 1) div {tile_pixels} as int)")
-    facts = per_image.withColumn("_tile", F.explode(F.sequence(F.lit(0), last))).drop("w", "h")
-    tiled = pixels.withColumn("_tile", F.expr(f"cast((cast(y as bigint) * w + x) div {tile_pixels} as int)"))
+    facts = per_image.withColumn("_tile", F.explode(F.sequence(F.lit(0), _tile("cast(w as bigint) * h - 1", tile_pixels)))).drop("w", "h")
+    if "_tile" in pixels.columns:
+        return pixels.join(facts, ["image_id", "_tile"], how)
+    tiled = pixels.withColumn("_tile", _tile("cast(y as bigint) * w + x", tile_pixels))
     return tiled.join(facts, ["image_id", "_tile"], how).drop("_tile")
 
 

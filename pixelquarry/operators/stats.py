@@ -14,9 +14,17 @@ from pixelquarry.functions.pixel import GRAY
 
 
 def hist_exact(pixels: DataFrame) -> DataFrame:
-    """256-bin counts of blue, green, red and gray for every image."""
-    long = pixels.selectExpr("image_id", f"stack(4, 'b', b, 'g', g, 'r', r, 'gray', {GRAY}) AS (channel, bin)")
-    return long.groupBy("image_id", "channel", "bin").agg(F.count("*").alias("n"))
+    """256-bin counts of blue, green, red and gray for every image.
+
+    Channel and bin are counted as one small integer: two fixed-width keys keep
+    the aggregate on its fast path, the channel name is put back afterwards.
+    """
+    slots = pixels.selectExpr("image_id", f"explode(array(b, 256 + g, 512 + r, 768 + {GRAY})) AS _slot")
+    counts = slots.groupBy("image_id", "_slot").agg(F.count("*").alias("n"))
+    return counts.selectExpr(
+        "image_id", "CASE shiftright(_slot, 8) WHEN 0 THEN 'b' WHEN 1 THEN 'g' WHEN 2 THEN 'r' ELSE 'gray' END AS channel",
+        "_slot & 255 AS bin", "n",
+    )
 
 
 def hist_sampled(pixels: DataFrame, num_values: int = 50_000) -> DataFrame:
@@ -65,9 +73,11 @@ def hist_area(hist: DataFrame, start: float, end: float) -> DataFrame:
 
 def running_histogram(hist: DataFrame) -> DataFrame:
     """Counts accumulated from below and from above; a window holds at most 256 bins."""
-    up = Window.partitionBy("image_id", "channel").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("image_id", "channel").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    return hist.withColumn("cum_up", F.sum("n").over(up)).withColumn("cum_down", F.sum("n").over(down))
+    whole = Window.partitionBy("image_id", "channel")
+    up = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    # counts from above are what is left of the total, which saves the second sort
+    summed = hist.withColumn("cum_up", F.sum("n").over(up))
+    return summed.withColumn("cum_down", F.sum("n").over(whole) - F.col("cum_up") + F.col("n"))
 
 
 def bw_points(hist: DataFrame, cut: float = 0.001) -> DataFrame:

@@ -17,13 +17,15 @@ def lookup(keys: DataFrame, translations: DataFrame) -> DataFrame:
     return keys.join(known, ["lang", "key"], "left").withColumn("text", F.coalesce("value", "key")).drop("value")
 
 
-def reconcile(reference: DataFrame, translations: DataFrame) -> DataFrame:
+def reconcile(reference: DataFrame, translations: DataFrame, langs: list[str] | None = None) -> DataFrame:
     """State of every key in every language: done, missing, same as the source, or out of date.
 
-    Each reference key fans out over the list of languages (a small array
-    aggregated from the translations), so there is one keyed full outer join.
+    Languages are the translation files at hand (``langs``, or those found).
+    Each key fans out over that list in place, so one keyed full outer join is
+    all that is needed.
     """
-    langs = [r["lang"] for r in translations.select("lang").distinct().orderBy("lang").limit(10_000).collect()]
+    if langs is None:
+        langs = sorted(r["lang"] for r in translations.select("lang").distinct().collect())
     asked = reference.select("key").withColumn("lang", F.explode(F.array(*[F.lit(x) for x in langs]))).withColumn("_ref", F.lit(True))
     both = asked.join(translations.select("lang", "key", "value"), ["lang", "key"], "full")
     state = (

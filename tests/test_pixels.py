@@ -97,6 +97,22 @@ def test_step_sizes():
     assert kernels.step_sizes(1000, 40, 500, 20) == [(200, 100), (40, 20)]
 
 
+def test_resize_in_steps_is_a_chain_of_resizes(image):
+    img = random_images([(30, 24)])
+    first, last = kernels.step_sizes(30, 4, 24, 3)
+    soft = [kernels.ResizeTaps(a, b, "quality", 0.15).table() for a, b in zip((30, 24), first)]
+    hard = [kernels.ResizeTaps(a, b, "quality", 0.3).table() for a, b in zip(first, last)]
+    want = _resized(_resized(img[0], *soft, *first), *hard, *last)
+    fits(arrays_of(kernels.resize_steps(image(img), (30, 24), (4, 3), "sharpen medium")), {0: want})
+
+
+def test_thumbnail_uses_the_sub_sample_for_large_images(image):
+    img = random_images([(20, 16), (6, 4)])
+    got = arrays_of(stages.thumbnail(image(img), (8, 8), small=200))
+    assert got[0].shape == (6, 8, 3)
+    assert (got[1] == img[1]).all()
+
+
 def test_gauss_keeps_the_sum_and_is_symmetric():
     for radius in (0.6, 1.0, 2.5):
         taps = kernels.gauss_taps(radius)

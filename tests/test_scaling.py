@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pixelquarry.operators import catalog as cat
 from pixelquarry.operators import params as par
-from pixelquarry.operators.scaling import attach_per_image, broadcast_if_small, join_hot_keys, number_rows, shifted
+from pixelquarry.operators.scaling import attach_per_image, broadcast_if_small, join_hot_keys, number_rows, shifted, write_tiled
 from pixelquarry.streaming import watch
 
 
@@ -81,6 +81,23 @@ def test_attach_per_image_tiles_a_large_image(spark):
     assert {(r["image_id"], r["v"], r["count"]) for r in out.groupBy("image_id", "v").count().collect()} == {(1, "a", 9000), (2, "b", 4)}
 
 
+def test_tiled_tables_join_without_moving_pixels(spark, tmp_path):
+    px = spark.range(5000).selectExpr("id div 2500 AS image_id", "50 AS w", "50 AS h", "cast(id % 50 AS int) AS x", "cast(id % 2500 div 50 AS int) AS y")
+    table = write_tiled(px, "tiled_pixels", 4, str(tmp_path / "t"), tile_pixels=500)
+    facts = spark.createDataFrame([(0, 50, 50, "a"), (1, 50, 50, "b")], "image_id bigint, w int, h int, v string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = attach_per_image(table, facts, tile_pixels=500)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+        assert {(r["image_id"], r["v"], r["count"]) for r in out.groupBy("image_id", "v").count().collect()} == {(0, "a", 2500), (1, "b", 2500)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE tiled_pixels")
+
+
 def test_broadcast_only_within_the_bound(spark):
     df = spark.range(10)
     assert broadcast_if_small(df, 9) is df
