@@ -71,14 +71,22 @@ def first_number(title: Column) -> Column:
 
 
 def natural_key(title: Column) -> Column:
-    """Text that sorts like the name with every digit run compared by value."""
-    runs = F.regexp_extract_all(F.lower(title), F.lit(r"(\d+|\D+)"), 1)
+    """Text that sorts like the name with every digit run compared by value.
+
+    Runs of up to 20 significant digits are padded to 20 by two regular
+    expressions. Names with a longer run take the general way, which puts the
+    run's length before it behind a colon, past every padded run.
+    """
+    name = F.lower(title)
+    padded = F.regexp_replace(F.regexp_replace(name, r"(\d+)", "0" * 20 + "$1"), r"\d+?(\d{20})(?!\d)", "$1")
+    runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), 1)
 
     def one(run: Column) -> Column:
         digits = F.regexp_replace(run, "^0+(?=.)", "")
-        return F.when(run.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(run)
+        long = F.concat(F.lit(":"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
+        return F.when(~run.rlike(r"^\d"), run).when(F.length(digits) > 20, long).otherwise(F.lpad(digits, 20, "0"))
 
-    return F.array_join(F.transform(runs, one), "")
+    return F.when(name.rlike(r"[1-9]\d{20}"), F.array_join(F.transform(runs, one), "")).otherwise(padded)
 
 
 def rename_text(pattern: str, number: str = "number", title: str = "title", mtime: str = "mtime",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pixelquarry.functions import text
 from pixelquarry.operators.scaling import join_hot_keys, number_rows, shifted
+from pixelquarry.session import materialise
 
 SORT_KEYS = ("mtime", "ctime", "name", "size", "random")
 
@@ -130,9 +131,13 @@ def duplicate_content(files: DataFrame, key: str = "hash", **kw) -> DataFrame:
 
 
 def resolve_playlist(lines: DataFrame, catalog: DataFrame, **kw) -> DataFrame:
-    """Playlist entries that exist in the catalog; order and repeats are kept, missing files dropped."""
+    """Playlist entries that exist in the catalog; order and repeats are kept, missing files dropped.
+
+    The parsed lines are written once, because counting the hot keys and the
+    join itself both read them.
+    """
     known = catalog.withColumn("_path", F.lower("path")).select("_path", F.col("path"), "size", "mtime")
-    asked = lines.withColumn("_path", F.lower("name")).select("list_id", "line_no", "_path")
+    asked = materialise(lines.withColumn("_path", F.lower("name")).select("list_id", "line_no", "_path"))
     return join_hot_keys(asked, known, ["_path"], "inner", **kw).drop("_path")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelquarry.functions.pixel import clamp, round_half_away
-from pixelquarry.operators.scaling import attach_per_image
+from pixelquarry.operators.scaling import attach_per_image, join_hot_keys
 
 COLOURS = ("b", "g", "r")
 
@@ -31,12 +31,18 @@ def _table(value: str) -> str:
 
 
 def contrast_gamma(params: DataFrame) -> DataFrame:
-    """``lut`` array for every distinct (contrast, gamma).
+    """``lut`` array for every distinct (contrast, gamma)."""
+    return with_contrast_gamma(params.select("contrast", "gamma").distinct())
+
+
+def with_contrast_gamma(rows: DataFrame) -> DataFrame:
+    """Adds ``lut``, the array for the ``contrast, gamma`` of each row.
 
     Positive contrast: straight middle part with a quadratic end on each side.
     Negative contrast: two quadratic arcs. Gamma bends the result.
     """
-    rows = params.select("contrast", "gamma").distinct().withColumns({
+    keep = rows.columns
+    rows = rows.withColumns({
         "_half": F.expr("least(0.5D, greatest(-0.5D, contrast)) * 0.5D"), "_g": F.expr("least(10.0D, greatest(0.1D, gamma))"),
     })
     rows = rows.withColumns({"_slope": F.expr("1.0D / (1.0D - _half)"), "_shift": F.expr("-(1.0D / (1.0D - _half)) * _half / 2.0D")})
@@ -53,7 +59,7 @@ def contrast_gamma(params: DataFrame) -> DataFrame:
         f"ELSE {x} + 3.0D * _half * (0.0625D - ({x} - 0.75D) * ({x} - 0.75D)) END"
     )
     level = f"0.5D + 255.0D * pow(greatest(0.0D, least(1.0D, CASE WHEN _half >= 0 THEN {rising} ELSE {falling} END)), _g)"
-    return rows.select("contrast", "gamma", F.expr(_table(level)).alias("lut"))
+    return rows.select(*keep, F.expr(_table(level)).alias("lut"))
 
 
 #: name of a term -> (weight without, weight with saturation): factor = without + with * saturation
@@ -146,15 +152,20 @@ def _curve(c: str) -> str:
     return f"CASE WHEN {y} < 0 THEN 0 WHEN {y} > 1 THEN 255 ELSE {bent} END"
 
 
-def compose(first: DataFrame, then: DataFrame, pairs: DataFrame) -> DataFrame:
+def compose(first: DataFrame, then: DataFrame, pairs: DataFrame, **kw) -> DataFrame:
     """``then(first(v))`` per image; ``first`` is one array ``lut`` per ``lut_id``, a missing side is the identity.
 
-    ``pairs`` maps each ``image_id`` to the ``lut_id`` of its single-channel table.
+    ``pairs`` maps each ``image_id`` to the ``lut_id`` of its single-channel
+    table; a table shared by very many images is spread by salt.
     """
-    both = pairs.join(first, "lut_id", "left").join(then, "image_id", "left")
+    return composed(join_hot_keys(pairs, first, ["lut_id"], "left", **kw).join(then, "image_id", "left"))
+
+
+def composed(both: DataFrame, *keep: str) -> DataFrame:
+    """Arrays of ``lut_c(lut(v))`` from rows that hold ``lut`` and the three channel arrays (each may be NULL)."""
     same = "sequence(0, 255)"
     return both.select(
-        "image_id",
+        "image_id", *keep,
         *[F.expr(f"transform(coalesce(lut, {same}), v -> element_at(coalesce(lut_{c}, {same}), v + 1))").alias(f"lut_{c}") for c in COLOURS],
     )
 

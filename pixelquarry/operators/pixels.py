@@ -44,16 +44,18 @@ def crop(pixels: DataFrame, left: int, top: int, right: int, bottom: int) -> Dat
 
 
 def paste(target: DataFrame, source: DataFrame, pairs: DataFrame, from_xy: tuple[int, int], to_xy: tuple[int, int], size: tuple[int, int]) -> DataFrame:
-    """Copy a rectangle between images; ``pairs`` maps each ``src_id`` to its ``image_id``.
+    """Copy a rectangle between images.
 
-    The join key holds the coordinates, so rows of one large image spread out.
+    ``pairs`` maps each source (``src_id, w, h``) to its target ``image_id``.
+    The final join key holds the coordinates, so rows of one large image spread out.
     """
     (fx, fy), (tx, ty), (cx, cy) = from_xy, to_xy, size
-    patch = source.filter(f"x >= {fx} AND x < {fx + cx} AND y >= {fy} AND y < {fy + cy}").selectExpr(
-        "image_id AS src_id", f"x + {tx - fx} AS x", f"y + {ty - fy} AS y", "b AS _b", "g AS _g", "r AS _r"
+    patch = source.filter(f"x >= {fx} AND x < {fx + cx} AND y >= {fy} AND y < {fy + cy}")
+    targets = pairs.selectExpr("src_id AS image_id", "w", "h", "image_id AS _to")
+    moved = attach_per_image(patch, targets).selectExpr(
+        "_to AS image_id", f"x + {tx - fx} AS x", f"y + {ty - fy} AS y", "b AS _b", "g AS _g", "r AS _r"
     )
-    patch = patch.join(pairs, "src_id").drop("src_id")
-    merged = target.join(patch, ["image_id", "x", "y"], "left")
+    merged = target.join(moved, ["image_id", "x", "y"], "left")
     for c in COLOURS:
         merged = merged.withColumn(c, F.coalesce(f"_{c}", c))
     return merged.drop("_b", "_g", "_r")
@@ -185,10 +187,14 @@ def rotation_terms(angle: str, out_w: str = "_tw", out_h: str = "_th", unit_step
     }
 
 
+def target_rows(images: DataFrame) -> DataFrame:
+    """One row per target line, spread over all tasks before the lines are filled."""
+    return images.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("_th") - 1))).repartition("image_id", "y")
+
+
 def target_grid(images: DataFrame, columns: list[str]) -> DataFrame:
-    """All target pixels (``x, y``) of each image with ``_tw`` x ``_th`` pixels, rows first so one image spreads out."""
-    rows = images.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("_th") - 1)))
-    return rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("_tw") - 1))).select("image_id", "x", "y", *columns)
+    """All target pixels (``x, y``) of each image with ``_tw`` x ``_th`` pixels."""
+    return target_rows(images).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("_tw") - 1))).select("image_id", "x", "y", *columns)
 
 
 def rotate_free(pixels: DataFrame, images: DataFrame, angle: str, width: str, height: str, background: tuple[int, int, int]) -> DataFrame:
@@ -285,7 +291,7 @@ def _source_line(t: Trapezoid, target_h: str, line: str) -> str:
 def perspective_point(pixels: DataFrame, images: DataFrame, t: Trapezoid, width: str, height: str, background: tuple[int, int, int]) -> DataFrame:
     """Trapezoid correction with nearest-pixel reads; the x step is linear within a line."""
     sized = images.withColumns({"_tw": F.expr(width), "_th": F.expr(height)})
-    rows = sized.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("_th") - 1)))
+    rows = target_rows(sized)
     tall = f"(({t['y2']}) - ({t['y1']}))"
     left = f"((({t['x1s']}) - ({t['x2s']})) * 0.5D)"
     rows = rows.selectExpr(
@@ -312,7 +318,7 @@ def perspective_bicubic(
     ox, oy = origin
     tall = f"(({t['y2']}) - ({t['y1']}))"
     sized = images.withColumns({"_tw": F.expr(width), "_th": F.expr(height)})
-    rows = sized.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("_th") - 1)))
+    rows = target_rows(sized)
     line = f"(y + ({oy}))"
     rows = rows.selectExpr(
         "*", f"{_source_line(t, f'({tall} + 1)', line)} AS _cy", f"{tall} + 1 AS _lines",

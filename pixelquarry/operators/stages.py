@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelquarry.functions.geometry import with_fit
-from pixelquarry.operators import kernels, luts, pixels as px, stats
+from pixelquarry.operators import kernels, luts, stats
+from pixelquarry.operators import pixels as px
+from pixelquarry.session import materialise
 
 NEUTRAL = 1e-4
 
@@ -47,41 +49,49 @@ def sizes_of(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg(F.max("w").alias("w"), F.max("h").alias("h"))
 
 
-def process(pixels: DataFrame, s: Stages) -> DataFrame:
+def process(pixels: DataFrame, s: Stages, images: DataFrame | None = None) -> DataFrame:
     """Resample, unsharp, saturation, tables, density, dimming, grid; neutral stages are left out of the plan.
 
-    Statistics for the automatic tables come from the unprocessed pixels.
+    Statistics for the automatic tables come from the unprocessed pixels. Sizes
+    after each stage follow from ``images`` (image_id, w, h; counted from the
+    pixels if absent), never from processed pixels. A resampled set that the
+    unsharp stage reads twice is written once.
     """
     source = pixels
-    if (s.width, s.height) != ("w", "h"):
-        pixels = resample(pixels, s)
     radius, amount, threshold = s.unsharp
-    if abs(amount) >= NEUTRAL:
+    sharpen = abs(amount) >= NEUTRAL
+    curved = abs(s.contrast) >= NEUTRAL or abs(s.gamma - 1.0) >= NEUTRAL
+    resized = (s.width, s.height) != ("w", "h")
+    if images is None and (curved or s.auto_contrast or s.density):
+        images = sizes_of(source)
+    if resized:
+        pixels = resample(pixels, s)
+        pixels = materialise(pixels) if sharpen else pixels
+        images = images.selectExpr("image_id", f"cast({s.width} AS int) AS w", f"cast({s.height} AS int) AS h") if images is not None else None
+    if sharpen:
         pixels = kernels.unsharp(pixels, radius, amount, threshold)
     if abs(s.saturation - 1.0) > NEUTRAL:
         pixels = luts.saturate(pixels, f"{s.saturation!r}D")
-    curved = abs(s.contrast) >= NEUTRAL or abs(s.gamma - 1.0) >= NEUTRAL
     if curved or s.auto_contrast:
-        images = sizes_of(pixels)
-        fixed = images.sparkSession.range(1).select(F.lit(s.contrast).alias("contrast"), F.lit(s.gamma).alias("gamma"))
-        single = luts.contrast_gamma(fixed).select(F.lit(0).alias("lut_id"), "lut")
-        then = None
+        arrays = images
+        if curved:
+            fixed = images.withColumns({"contrast": F.lit(s.contrast), "gamma": F.lit(s.gamma)})
+            arrays = luts.with_contrast_gamma(fixed).drop("contrast", "gamma")
+        else:
+            arrays = arrays.withColumn("lut", F.lit(None).cast("array<int>"))
         if s.auto_contrast:
             hist = stats.hist_exact(source)
-            then = luts.auto_contrast(stats.bw_points(hist, s.auto_cut), stats.color_cast(stats.hist_means(hist)))
-        pairs = images.select("image_id", F.lit(0 if curved else -1).alias("lut_id"))
-        if then is None:
-            lut = pairs.join(single, "lut_id", "left")
-            arrays = lut.select("image_id", *[F.col("lut").alias(f"lut_{c}") for c in "bgr"])
+            curves = luts.auto_contrast(stats.bw_points(hist, s.auto_cut), stats.color_cast(stats.hist_means(hist)))
+            arrays = luts.composed(arrays.join(curves, "image_id", "left"), "w", "h")
         else:
-            arrays = luts.compose(single, then, pairs)
-        pixels = luts.apply_luts(pixels, arrays.join(images, "image_id"))
+            arrays = arrays.select("image_id", "w", "h", *[F.col("lut").alias(f"lut_{c}") for c in "bgr"])
+        pixels = luts.apply_luts(pixels, arrays)
     if s.density:
         grid = px.sample_grid(source, s.density_values)
         mask = luts.scale_map(luts.density_map(stats.block_mean_4x4(grid)), s.lighten, s.darken)
         points = stats.gray_points(stats.hist_exact(grid), s.density_cut).withColumn("steepness", F.lit(s.steepness))
         facts = luts.density_facts(mask, luts.density_gain(points))
-        pixels = luts.density_correct(pixels, facts.join(sizes_of(pixels), "image_id"))
+        pixels = luts.density_correct(pixels, facts.join(images, "image_id"))
     for rect, factor in s.dim:
         pixels = px.dim_rect(pixels, rect, factor)
     return px.grid_lines(pixels) if s.grid else pixels

@@ -13,8 +13,7 @@ from pixelquarry.sources import files, playlist
 
 R = Registry()
 
-NAT = r"""array_to_string(list_transform(regexp_extract_all(lower(title), '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]')
- THEN lpad(length(regexp_replace(r, '^0+(.)', '\1'))::VARCHAR, 4, '0') || regexp_replace(r, '^0+(.)', '\1') ELSE r END), '')"""
+NAT = """array_to_string(list_transform(regexp_extract_all(lower(title), '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(r, 20, '0') ELSE r END), '')"""
 LISTED = f"""listed AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY nat, path) AS pos, count(*) OVER (PARTITION BY dir) AS n
  FROM (SELECT *, {NAT} AS nat FROM catalog))"""
 

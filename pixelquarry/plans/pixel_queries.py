@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelquarry.operators import hashes, kernels, luts, stages, stats
 from pixelquarry.operators import pixels as px
+from pixelquarry.operators.scaling import join_hot_keys
 from pixelquarry.plans import views
 from pixelquarry.plans.registry import Registry
 from pixelquarry.plans.stats_queries import BLOCKS, CAST, H8, HIST, MEANS, RUNS
@@ -42,7 +43,7 @@ R.add("px_crop", "SELECT image_id, 10 AS w, 17 AS h, x - 7 AS x, y - 3 AS y, b,
     lambda s, d: px.crop(views.pixels32(s, d), 7, 3, 17, 20))
 R.add("px_paste", f"""SELECT t.image_id, t.w, t.h, t.x, t.y, coalesce(s.b, t.b) AS b, coalesce(s.g, t.g) AS g, coalesce(s.r, t.r) AS r FROM pixels t
  LEFT JOIN pixels s ON t.x >= 4 AND t.x < 7 AND t.y >= 2 AND t.y < 6 AND s.image_id = t.image_id + 1 AND s.x = t.x - 3 AND s.y = t.y - 1 AND t.image_id % 2 = 0""", "pixels")(
-    lambda s, d: px.paste(p8(s, d), p8(s, d), p8(s, d).select("image_id").distinct().filter("image_id % 2 = 0").selectExpr("image_id", "image_id + 1 AS src_id"), (1, 1), (4, 2), (3, 4)))
+    lambda s, d: px.paste(p8(s, d), p8(s, d), p8(s, d).select("image_id", "w", "h").distinct().filter("image_id % 2 = 0").selectExpr("image_id", "image_id + 1 AS src_id", "w", "h"), (1, 1), (4, 2), (3, 4)))
 R.add("px_dim_rect", f"""SELECT image_id, w, h, x, y, """ + ", ".join(f"CASE WHEN x >= 2 AND x < 99 AND y >= 0 AND y < 5 THEN ({c} * 29491) >> 16 ELSE {c} END AS {c}" for c in "bgr") + " FROM pixels", "pixels")(
     lambda s, d: px.dim_rect(p8(s, d), (2, -3, 99, 5), 0.45))
 R.add("px_fill_rect", """SELECT image_id, w, h, x, y, CASE WHEN on_line THEN 192 WHEN fill THEN 1 ELSE b END AS b, CASE WHEN on_line THEN 192 WHEN fill THEN 2 ELSE g END AS g, CASE WHEN on_line THEN 192 WHEN fill THEN 3 ELSE r END AS r
@@ -240,7 +241,7 @@ def lut_compose(s, d):
     params = views.params(s, d)
     first = params.select(F.col("hash").alias("lut_id"), "contrast", "gamma").join(luts.contrast_gamma(params), ["contrast", "gamma"]).select("lut_id", "lut")
     pairs = p8(s, d).select("image_id").distinct().withColumn("lut_id", F.expr("IF(image_id % 3 = 0, -1, image_id % 40)"))
-    return long_luts(luts.compose(first, auto_luts(s, d).filter("image_id % 4 <> 1"), pairs))
+    return long_luts(luts.compose(first, auto_luts(s, d).filter("image_id % 4 <> 1"), pairs, hot_rows=50))
 
 
 @R.add("px_apply_lut", f"""WITH {AUTO}, au AS MATERIALIZED (SELECT image_id, list(lut_b::BIGINT ORDER BY v_in) AS lb, list(lut_g::BIGINT ORDER BY v_in) AS lg, list(lut_r::BIGINT ORDER BY v_in) AS lr FROM {_cvl} GROUP BY 1)
@@ -253,8 +254,9 @@ def px_apply_lut(s, d):
  SELECT image_id, w, h, x, y, ub.v_out AS b, ug.v_out AS g, ur.v_out AS r FROM sat JOIN sg ub ON ub.v_in = b JOIN sg ug ON ug.v_in = g JOIN sg ur ON ur.v_in = r""", "pixels params")
 def px_saturate_lut(s, d):
     rows = luts.saturate(p8(s, d), "(image_id % 9) / 4.0D")
-    lut = luts.contrast_gamma(views.params(s, d).filter("hash = 5")).select(F.lit(0).alias("k"), "lut")
-    arrays = rows.select("image_id", "w", "h").distinct().withColumn("k", F.lit(0)).join(lut, "k")
+    lut = luts.contrast_gamma(views.params(s, d).filter("hash = 5")).select(F.lit(0).alias("lut_id"), "lut")
+    images = rows.select("image_id", "w", "h").distinct()
+    arrays = join_hot_keys(images.withColumn("lut_id", F.lit(0)), lut, ["lut_id"], "inner", hot_rows=100)
     return luts.apply_luts(rows, arrays.select("image_id", "w", "h", *[F.col("lut").alias(f"lut_{c}") for c in "bgr"]))
 
 

@@ -24,32 +24,50 @@ SETTLE_MS = 250
 
 
 class ChangeLog:
-    """Newest value per key over batches of changes, as one Parquet folder per batch."""
+    """Newest value per key over batches of changes.
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str):
-        self.spark, self.folder, self.schema, self.key = spark, folder.rstrip("/"), schema, key
+    A batch is one Parquet folder. Every ``compact_every`` batches the state so
+    far is folded into a snapshot, so a look-up reads one snapshot and at most
+    that many batches however long the stream has run.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str, compact_every: int = 50):
+        self.spark, self.folder, self.schema, self.key, self.compact_every = spark, folder.rstrip("/"), schema, key, compact_every
 
     def write(self, batch_id: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+        if (batch_id + 1) % self.compact_every == 0:
+            self.compact(batch_id + 1)
+
+    def _finished(self, kind: str) -> list[int]:
+        """Numbers of the completely written folders of a kind."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}=*/_SUCCESS")
+        found = pattern.getFileSystem(conf).globStatus(pattern) or []
+        return sorted(int(str(f.getPath().getParent().getName()).split("=")[1]) for f in found)
 
-    def _read(self) -> DataFrame:
-        return self.spark.read.schema(f"{self.schema}, batch bigint").option("basePath", self.folder).parquet(f"{self.folder}/batch=*")
+    def _rows(self, kind: str, number: int, rank: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{kind}={number}").withColumn("_rank", F.lit(rank))
 
     def current(self, before: int | None = None) -> DataFrame:
         """Newest row of each key, optionally only from batches before one."""
-        if before == 0:
+        done = [b for b in self._finished("batch") if before is None or b < before]
+        shots = [n for n in self._finished("snapshot") if before is None or n <= before]
+        start = shots[-1] if shots else 0
+        parts = [self._rows("snapshot", start, -1)] if shots else []
+        parts += [self._rows("batch", b, b) for b in done if b >= start]
+        if not parts:
             return self.spark.createDataFrame([], self.schema)
-        rows = self._read()
-        if before is not None:
-            rows = rows.filter(F.col("batch") < before)
-        values = [c for c in rows.columns if c not in (self.key, "batch")]
-        newest = rows.groupBy(self.key).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        values = [c for c in rows.columns if c not in (self.key, "_rank")]
+        newest = rows.groupBy(self.key).agg(F.max_by(F.struct(*values), "_rank").alias("_v"))
         return newest.select(self.key, "_v.*")
 
-    def compact(self, batch_id: int) -> None:
-        """Fold all batches before ``batch_id`` into the folder of ``batch_id - 1`` of a new log generation."""
-        self.current(before=batch_id).write.mode("overwrite").parquet(f"{self.folder}-compact-{batch_id}/batch={batch_id - 1}")
-        self.folder = f"{self.folder}-compact-{batch_id}"
+    def compact(self, before: int) -> None:
+        """Fold all batches before ``before`` into a snapshot; writing it again gives the same rows."""
+        self.current(before=before).write.mode("overwrite").parquet(f"{self.folder}/snapshot={before}")
 
 
 def watch_folder(spark: SparkSession, folder: str, endings: Iterable[str] | None = None, settle_ms: int | None = None) -> DataFrame:

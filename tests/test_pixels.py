@@ -33,7 +33,7 @@ def test_crop_rejects_and_cuts(image):
 
 def test_crop_of_paste_is_the_source(image, spark):
     img = random_images([(6, 6), (6, 6)])
-    pairs = spark.createDataFrame([(1, 0)], "src_id bigint, image_id bigint")
+    pairs = spark.createDataFrame([(1, 0, 6, 6)], "src_id bigint, image_id bigint, w int, h int")
     pasted = px.paste(image({0: img[0]}), image({1: img[1]}), pairs, (1, 2), (3, 0), (2, 3))
     fits(arrays_of(px.crop(pasted, 3, 0, 5, 3)), {0: img[1][2:5, 1:3]})
 

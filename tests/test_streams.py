@@ -23,6 +23,19 @@ def test_repeated_batch_leaves_the_same_log(spark, tmp_path):
     assert log.current(before=0).count() == 0 and log.current(before=1).count() == 2
     log.compact(2)
     assert [(r["path"], r["length"]) for r in watch.current_catalog(log).collect()] == [("/a", 7)]
+    # what comes after the snapshot wins over it, and a fresh log object finds the snapshot
+    log.write(2, watch.net_changes(events(spark, [(5, "/c", "/", "created", 3, 3, 8), (6, "/a", "/", "written", 3, 3, 9)])))
+    again = watch.ChangeLog(spark, str(tmp_path / "log"), watch.CATALOG_LOG, "path")
+    assert sorted((r["path"], r["length"]) for r in watch.current_catalog(again).collect()) == [("/a", 9), ("/c", 8)]
+    assert again.current(before=1).count() == 2
+
+
+def test_log_compacts_itself(spark, tmp_path):
+    log = watch.ChangeLog(spark, str(tmp_path / "log"), "k string, v bigint", "k", compact_every=2)
+    for b in range(5):
+        log.write(b, spark.sql(f"SELECT 'a' AS k, {b}L AS v UNION ALL SELECT 'b{b}', {b}L"))
+    assert log._finished("snapshot") == [2, 4]
+    assert sorted((r["k"], r["v"]) for r in log.current().collect()) == [("a", 4)] + [(f"b{b}", b) for b in range(5)]
 
 
 def test_stream_continues_after_a_stop(spark, tmp_path):
