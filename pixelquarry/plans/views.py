@@ -223,7 +223,7 @@ def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .selectExpr(
             "event_id", "dir", "concat(dir, '/IMG', event_id % 200, '.jpg') AS path",
             "CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'written' END AS kind",
-            "ts", "date_trunc('HOUR', cast(ts AS timestamp_ntz)) AS mtime", "cast(floor(value * 1000) AS bigint) AS length",
+            "ts", "cast(date_trunc('HOUR', ts) AS timestamp_ntz) AS mtime", "cast(floor(value * 1000) AS bigint) AS length",
         )
     )
 

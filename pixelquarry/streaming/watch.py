@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelquarry.functions import text
@@ -165,6 +165,13 @@ def _accepted(pdf: pd.DataFrame, wait: int) -> pd.DataFrame:
     return pdf.iloc[picks][["event_id"]]
 
 
+def _micros(df: DataFrame) -> Column:
+    """Microseconds of ``ts``; a time without zone is counted as it stands, whatever the session's zone."""
+    if dict(df.dtypes)["ts"] == "timestamp_ntz":
+        return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return F.unix_micros("ts")
+
+
 def throttle(events: DataFrame, wait_ms: int = THROTTLE_MS, last_passed: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per folder, pass an event and then stay silent for ``wait_ms``. Returns the passed events.
 
@@ -175,9 +182,9 @@ def throttle(events: DataFrame, wait_ms: int = THROTTLE_MS, last_passed: DataFra
     its events. ``last_passed`` (``dir, ts``) carries state between batches.
     """
     wait = wait_ms * 1000
-    rows = events.select("event_id", "dir", "ts", F.expr("unix_micros(cast(ts AS timestamp))").alias("t"))
+    rows = events.select("event_id", "dir", "ts", _micros(events).alias("t"))
     if last_passed is not None:
-        known = last_passed.selectExpr("dir", f"unix_micros(cast(ts AS timestamp)) + {wait} AS free")
+        known = last_passed.select("dir", (_micros(last_passed) + wait).alias("free"))
         rows = rows.join(known, "dir", "left").filter("free IS NULL OR t >= free").drop("free")
     numbered = number_rows(rows, ["dir"], [F.col("ts"), F.col("event_id")])
     chunks = numbered.selectExpr("dir", "event_id", "pos", "t", f"(pos - 1) div {chunk_rows} AS chunk")
