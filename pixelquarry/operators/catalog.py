@@ -37,7 +37,7 @@ def positions(catalog: DataFrame, key: str = "name", descending: bool = False, g
     """Adds ``pos`` (from 1) and the list length to every file of a list."""
     keyed = catalog.withColumn("_key", sort_key(key, **kw))
     order = [F.desc("_key") if descending else F.asc("_key"), F.asc("path")]
-    return number_rows(keyed, list(group), order, total=total, ends=ends).drop("_key")
+    return number_rows(keyed, list(group), order, total=total, ends=ends, helpers=["_key"])
 
 
 def next_prev(catalog: DataFrame, key: str = "name", wrap: bool = True) -> DataFrame:
@@ -73,7 +73,7 @@ def walk_subtree(catalog: DataFrame, root: str, key: str = "name", sep: str = "/
     """Depth-first order of all files below ``root``: own files first, then child folders by name."""
     below = catalog.filter((F.col("dir") == root) | F.col("dir").startswith(root.rstrip(sep) + sep))
     keyed = below.withColumn("_dirs", F.split("dir", sep)).withColumn("_key", sort_key(key))
-    return number_rows(keyed, [], [F.col("_dirs"), F.col("_key"), F.col("path")]).drop("_dirs", "_key")
+    return number_rows(keyed, [], [F.col("_dirs"), F.col("_key"), F.col("path")], helpers=["_dirs", "_key"])
 
 
 def number_selected(catalog: DataFrame, key: str = "name") -> DataFrame:
@@ -141,12 +141,31 @@ def resolve_playlist(lines: DataFrame, catalog: DataFrame, **kw) -> DataFrame:
     return join_hot_keys(asked, known, ["_path"], "inner", **kw).drop("_path")
 
 
-def size_guard(files: DataFrame, max_bytes: int, max_pixels: int = 100 * 1024 * 1024, max_side: int = 65535) -> DataFrame:
-    """Adds ``status``: ok, or why a file counts as too large."""
+# fixed values: largest accepted file per format in MiB, largest side and pixel count
+MAX_MIB = {"JPEG": 300, "PNG": 300, "WEBP": 150, "JXL": 150, "HEIF": 150, "AVIF": 150, "PSD": 500, "BMP": 500}
+MAX_SIDE = 65535
+MAX_PIXELS = 65535 * 65535
+
+
+def size_guard(files: DataFrame, max_bytes: dict[str, int] | None = None, max_pixels: int = MAX_PIXELS, max_side: int = MAX_SIDE) -> DataFrame:
+    """Adds ``status``: ok, or why a file counts as too large. Formats without a byte limit have none.
+
+    Files carry ``format, size, width, height``; nothing is read from them.
+    """
+    limits = max_bytes if max_bytes is not None else {f: m << 20 for f, m in MAX_MIB.items()}
+    over = F.lit(False)
+    for name, limit in limits.items():
+        over = over | ((F.col("format") == name) & (F.col("size") > limit))
     return files.withColumn(
         "status",
-        F.when(F.col("size") > max_bytes, "too many bytes")
+        F.when(over, "too many bytes")
         .when((F.col("width") > max_side) | (F.col("height") > max_side), "side too long")
         .when(F.col("width").cast("bigint") * F.col("height") > max_pixels, "too many pixels")
         .otherwise("ok"),
     )
+
+
+def quarantine(guarded: DataFrame, folder: str) -> DataFrame:
+    """Write refused files to a table of their own and go on with the rest."""
+    guarded.filter("status <> 'ok'").write.mode("overwrite").partitionBy("status").parquet(folder)
+    return guarded.filter("status = 'ok'").drop("status")

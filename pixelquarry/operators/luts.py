@@ -6,6 +6,8 @@ computed in place from that row, so pixels meet it in a single keyed join.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +101,12 @@ def saturate(pixels: DataFrame, saturation: str) -> DataFrame:
     })
 
 
+def correction_strength(amount: float = 0.5, factor: float = 0.5) -> float:
+    """Exponent of the point correction from the general amount and the image's own factor (both 0..1, 0.5 is neutral)."""
+    one, two = (100.0 if v == 0 else math.log(v) / math.log(0.5) for v in (amount, factor))
+    return max(1e-4, one * two)
+
+
 def auto_contrast(points: DataFrame, casts: DataFrame, strength: float = 1.0, colour: float = 0.0, brightness: float = 1.0,
                   shifts: tuple[float, float, float] = (0.0, 0.0, 0.0), brightness_strength: float = 0.2) -> DataFrame:
     """Arrays ``lut_b, lut_g, lut_r`` per image from its black/white points, means and colour cast.

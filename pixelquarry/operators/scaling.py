@@ -89,19 +89,21 @@ def number_rows(
     pos: str = "pos",
     total: str | None = None,
     ends: dict[str, tuple[str, str]] | None = None,
+    helpers: Sequence[str] = (),
 ) -> DataFrame:
     """1-based position of each row inside its group, for groups of any size.
 
     The rows are range-partitioned by (group, order) and written once. Each
     written partition knows how many rows of a group lie before it from a small
     per-partition count table, so no task ever holds a whole group. ``order``
-    must be a total order. ``ends`` maps an output column to
+    must be a total order; columns that only serve it are named in ``helpers``
+    and not written. ``ends`` maps an output column to
     ``("first" | "last", source column)`` and adds that group-wide value.
     """
     group = list(group)
     keys = [*group, *order]
     ranged = materialise(
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_rid", F.monotonically_increasing_id())
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_rid", F.monotonically_increasing_id()).drop(*helpers)
     ).withColumn("_chunk", F.shiftright("_rid", 33))
     aggs = [F.count("*").alias("_n"), F.min("_rid").alias("_start")]
     for name, (side, source) in (ends or {}).items():

@@ -138,7 +138,11 @@ def histogram_normalized(hist: DataFrame) -> DataFrame:
     return hist.withColumn("height", F.sqrt("n") / F.sqrt(tallest))
 
 
-def color_cast(means: DataFrame, strengths: tuple[float, ...] = (0.2, 0.1, 0.35, 0.0, 0.5, 0.1)) -> DataFrame:
+# fixed values: correction strengths for red, green, blue, cyan, magenta and yellow casts
+CAST_STRENGTHS = (0.2, 0.1, 0.3, 0.3, 0.3, 0.15)
+
+
+def color_cast(means: DataFrame, strengths: tuple[float, ...] = CAST_STRENGTHS) -> DataFrame:
     """Deviation of each channel mean from their average, weighted by sign.
 
     ``strengths`` are red, green, blue, cyan, magenta, yellow.

@@ -80,11 +80,13 @@ R.add("utf8_validate", "SELECT doc_id, octet_length(content) > 0 AND TRY(decode(
 R.add("checksum_manifest", "SELECT sha256(content) || ' *' || name AS line FROM blobs", "blobs")(
     lambda s, d: files.checksum_manifest(views.blobs(s, d)))
 
-R.add("size_guard", """SELECT image_id, CASE WHEN size > 100000000 THEN 'too many bytes' WHEN width > 480 OR height > 480 THEN 'side too long'
-  WHEN width * height > 90000 THEN 'too many pixels' ELSE 'ok' END AS status FROM catalog JOIN exif ON file_id = image_id""", "catalog exif")(
+R.add("size_guard", f"""WITH g AS (SELECT *, {BY_EXT} AS format FROM (SELECT *, lower(ext) AS e FROM catalog))
+ SELECT image_id, CASE WHEN format = 'JPEG' AND size > 100000000 OR format = 'PNG' AND size > 50000000 THEN 'too many bytes' WHEN width > 480 OR height > 480 THEN 'side too long'
+  WHEN width * height > 90000 THEN 'too many pixels' ELSE 'ok' END AS status FROM g JOIN exif ON file_id = image_id""", "catalog exif")(
     lambda s, d: cat.size_guard(
-        views.catalog(s, d).select(F.col("file_id").alias("image_id"), "size").join(views.exif(s, d).select("image_id", "width", "height"), "image_id"),
-        max_bytes=100_000_000, max_pixels=90_000, max_side=480).select("image_id", "status"))
+        views.catalog(s, d).select(F.col("file_id").alias("image_id"), "size", formats.format_of_ending(F.col("ext")).alias("format"))
+        .join(views.exif(s, d).select("image_id", "width", "height"), "image_id"),
+        max_bytes={"JPEG": 100_000_000, "PNG": 50_000_000}, max_pixels=90_000, max_side=480).select("image_id", "status"))
 
 # --- playlists -------------------------------------------------------------------------------
 

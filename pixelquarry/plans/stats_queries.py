@@ -103,8 +103,8 @@ MEANS = """means AS (SELECT image_id, sum(CASE WHEN channel = 'gray' THEN n ELSE
   sum(CASE WHEN channel = 'r' THEN bin * n END)::BIGINT // sum(CASE WHEN channel = 'r' THEN n END)::BIGINT AS r_mean FROM hist GROUP BY 1)"""
 CAST = """dev AS (SELECT *, b_mean / 255.0::DOUBLE - (b_mean + g_mean + r_mean) / 765.0::DOUBLE AS db, g_mean / 255.0::DOUBLE - (b_mean + g_mean + r_mean) / 765.0::DOUBLE AS dg,
   r_mean / 255.0::DOUBLE - (b_mean + g_mean + r_mean) / 765.0::DOUBLE AS dr FROM means),
-casts AS (SELECT image_id, total, b_mean, g_mean, r_mean, db * CASE WHEN db > 0 THEN 0.35::DOUBLE ELSE 0.1::DOUBLE END AS cast_b,
- dg * CASE WHEN dg > 0 THEN 0.1::DOUBLE ELSE 0.5::DOUBLE END AS cast_g, dr * CASE WHEN dr > 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS cast_r FROM dev)"""
+casts AS (SELECT image_id, total, b_mean, g_mean, r_mean, db * CASE WHEN db > 0 THEN 0.3::DOUBLE ELSE 0.15::DOUBLE END AS cast_b,
+ dg * CASE WHEN dg > 0 THEN 0.1::DOUBLE ELSE 0.3::DOUBLE END AS cast_g, dr * CASE WHEN dr > 0 THEN 0.2::DOUBLE ELSE 0.3::DOUBLE END AS cast_r FROM dev)"""
 R.add("color_cast", f"""WITH {H8}, {MEANS}, {CAST} SELECT image_id, total, b_mean, g_mean, r_mean, floor(cast_b * 1e9 + 0.5)::BIGINT AS cast_b,
  floor(cast_g * 1e9 + 0.5)::BIGINT AS cast_g, floor(cast_r * 1e9 + 0.5)::BIGINT AS cast_r FROM casts""", "pixels")(
     lambda s, d: stats.color_cast(stats.hist_means(hist8(s, d))).selectExpr(

@@ -131,3 +131,13 @@ def test_shapes_without_translation(spark):
 def test_sort_refuses_unknown_keys(spark):
     with pytest.raises(ValueError):
         cat.sort_key("colour")
+
+
+def test_size_guard_and_quarantine(spark, tmp_path):
+    mib = 1 << 20
+    rows = [("a", "JPEG", 301 * mib, 10, 10), ("b", "PSD", 301 * mib, 10, 10), ("c", "PNG", 5, 70000, 1), ("d", "TGA", 900 * mib, 1, 1)]
+    df = spark.createDataFrame(rows, "path string, format string, size bigint, width int, height int")
+    guarded = cat.size_guard(df)
+    assert {r["path"]: r["status"] for r in guarded.collect()} == {"a": "too many bytes", "b": "ok", "c": "side too long", "d": "ok"}
+    assert sorted(r["path"] for r in cat.quarantine(guarded, str(tmp_path / "q")).collect()) == ["b", "d"]
+    assert sorted(r["path"] for r in spark.read.parquet(str(tmp_path / "q")).collect()) == ["a", "c"]
