@@ -15,7 +15,6 @@ from pixelquarry.session import shared_folder
 
 R = Registry()
 PX = ["image_id", "w", "h", "x", "y", "b", "g", "r"]
-COLS = ", ".join(PX)
 CLAMP = "greatest(0, least(255, {}))"
 
 

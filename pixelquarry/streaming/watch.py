@@ -7,7 +7,7 @@ again replaces it, so a restarted query leaves the same log.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
