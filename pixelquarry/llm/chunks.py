@@ -1,0 +1,62 @@
+"""Texts cut where no pre-token can span, so that each distinct piece is encoded once per worker.
+
+Byte-level pre-tokens are a space with a run of letters, digits or signs, or white space. A piece here is an optional space with a run of anything
+that isn't white space, or white space up to the last one before such a run. Pre-tokens begin and end at pieces' edges, so encoding pieces one by
+one gives the ids of the whole text. Texts whose only white space is single spaces and line feeds inside them are cut by plain splits.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+import numpy as np
+
+#: Unicode White_Space, without the separators 1C to 1F that Python's own class adds.
+_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+PIECES = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").findall
+#: White space that plain splits don't handle.
+_OTHER = re.compile("[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]").search
+#: A word, with one sign after it perhaps: two pre-tokens at most.
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+
+#: Pieces a worker remembers (not a limit on texts: the memory is emptied when it is full).
+REMEMBERED = 500_000
+#: Longer pieces are not remembered.
+LONG_PIECE = 100
+
+
+class _Known(dict):
+    def __init__(self, encode: Callable[[str], bytes], lead: str) -> None:
+        self.encode, self.lead = encode, lead
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.encode(self.lead + part)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(part) <= LONG_PIECE:
+            self[part] = ids
+        return ids
+
+
+class PieceMemory:
+    """Ids of texts; ``encode`` gives a piece's ids as bytes of little-endian unsigned 32-bit integers."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        self.plain, self.spaced = _Known(encode, ""), _Known(encode, " ")
+        self.plain[""] = b""
+
+    def ids(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, "<u4")
+        if "  " in text or "\n\n" in text or " \n" in text or text[-1] in " \n" or _OTHER(text):
+            found = map(self.plain.__getitem__, PIECES(text))
+        else:
+            found, spaced = [], self.spaced.__getitem__
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                found.append(self.plain[first])
+                found += map(spaced, rest)
+                found.append(self.plain["\n"])
+            found.pop()
+        return np.frombuffer(b"".join(found), "<u4")
