@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelquarry.llm.chunks import PLAIN, PieceMemory
+from pixelquarry.llm.chunks import PieceMemory, id_bytes
 from pixelquarry.session import materialise, shared_folder
 
 MANIFEST = "part int, name string, n_docs bigint, n_null bigint, n_tokens bigint"
@@ -53,15 +53,13 @@ def library_memory(content: str) -> tuple[PieceMemory, object]:
         stage = tokenizer.pre_tokenizer
         direct = tokenizer.normalizer is None and isinstance(stage, pre_tokenizers.ByteLevel) and not stage.add_prefix_space and stage.use_regex
 
-        def encode(piece: str) -> bytes:
-            short = PLAIN(piece) if direct else None
-            if short:
-                ids = [t.id for part in short.groups() if part for t in model.tokenize(part.encode().decode("latin-1").translate(_SPELLED))]
-            else:
-                ids = tokenizer.encode(piece, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
+        def whole(piece: str) -> bytes:
+            return id_bytes(tokenizer.encode(piece, add_special_tokens=False).ids)
 
-        _MEMORIES[key] = PieceMemory(encode), tokenizer
+        def word(piece: str) -> bytes:
+            return id_bytes([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(_SPELLED))])
+
+        _MEMORIES[key] = PieceMemory(word if direct else whole, whole), tokenizer
     return _MEMORIES[key]
 
 

@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Callable
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelquarry.llm.chunks import PLAIN, PieceMemory
+from pixelquarry.llm.chunks import PieceMemory, id_bytes
 
 _2_64 = 1 << 64
 _CODECS: dict[bytes, tuple[BytePairs, PieceMemory]] = {}
@@ -98,41 +98,44 @@ class BytePairs:
         self.blob = np.frombuffer(bytes(blob), np.uint8)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a pre-token that isn't a token itself."""
-        n, ranks = len(piece), self.ranks
+        """Ids of a pre-token that isn't a token itself. A heap entry is rank, start and end in one integer, so ties go to the leftmost pair."""
+        n, rank_of = len(piece), self.ranks.get
+        bits = 6 if n < 64 else n.bit_length()
+        low, up = (1 << bits) - 1, 2 * bits
         stop = list(range(1, n + 1))  # where the part that starts here ends; 0: no part starts here any more
         before = list(range(-1, n))  # start of the part before
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        heap = [r << up | i << bits | i + 2 for i in range(n - 1) if (r := rank_of(piece[i : i + 2])) is not None]
+        heapify(heap)
         while heap:
-            _, i, end = heapq.heappop(heap)
+            entry = heappop(heap)
+            end = entry & low
+            i = entry >> bits & low
             j = stop[i]
             if not j or j >= n or stop[j] != end:
                 continue  # one of the two parts has grown or gone meanwhile
             stop[i], stop[j] = end, 0
             if end < n:
                 before[end] = i
-                if (r := ranks.get(piece[i : stop[end]])) is not None:
-                    heapq.heappush(heap, (r, i, stop[end]))
-            if i and (r := ranks.get(piece[before[i] : end])) is not None:
-                heapq.heappush(heap, (r, before[i], end))
+                far = stop[end]
+                if (r := rank_of(piece[i:far])) is not None:
+                    heappush(heap, r << up | i << bits | far)
+            if i:
+                k = before[i]
+                if (r := rank_of(piece[k:end])) is not None:
+                    heappush(heap, r << up | k << bits | end)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : stop[i]]])
+            out.append(self.ranks[piece[i : stop[i]]])
             i = stop[i]
         return out
 
+    def pre_token(self, token: str) -> list[int]:
+        raw = token.encode()
+        slot = self.whole.find(raw)
+        return [self.slot_rank[slot]] if slot >= 0 else self.merge(raw)
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        short = PLAIN(text) if self.pattern == public_tokenizers.PATTERN else None
-        for token in filter(None, short.groups()) if short else self.pre_tokens(text):
-            raw = token.encode()
-            slot = self.whole.find(raw)
-            if slot >= 0:
-                out.append(self.slot_rank[slot])
-            else:
-                out += self.merge(raw)
-        return out
+        return [i for token in self.pre_tokens(text) for i in self.pre_token(token)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.length[ids]
@@ -147,7 +150,9 @@ def _codec(content: bytes, pattern: str, whole: PerfectHash) -> tuple[BytePairs,
     key = hashlib.sha256(content + pattern.encode()).digest()
     if key not in _CODECS:
         codec = BytePairs(read_ranks(content), pattern, whole)
-        _CODECS[key] = codec, PieceMemory(lambda piece: np.array(codec.encode(piece), "<u4").tobytes())
+        whole_piece = lambda piece: id_bytes(codec.encode(piece))
+        word = (lambda piece: id_bytes(codec.pre_token(piece))) if pattern == public_tokenizers.PATTERN else whole_piece
+        _CODECS[key] = codec, PieceMemory(word, whole_piece)
     return _CODECS[key]
 
 

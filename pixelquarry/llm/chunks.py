@@ -8,6 +8,7 @@ one gives the ids of the whole text. Texts whose only white space is single spac
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -20,19 +21,28 @@ _OTHER = re.compile("[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029
 #: A word, with one sign after it perhaps: two pre-tokens at most.
 PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 
-#: Pieces a worker remembers (not a limit on texts: the memory is emptied when it is full).
-REMEMBERED = 500_000
+#: Pieces a worker remembers in each of two generations (not a limit on texts: when the younger is full, the older is dropped).
+REMEMBERED = 400_000
 #: Longer pieces are not remembered.
 LONG_PIECE = 100
 
 
+def id_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Known(dict):
+    """Pieces met lately; what isn't here comes from the older generation or is encoded."""
+
     def __init__(self, encode: Callable[[str], bytes], lead: str) -> None:
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.older = encode, lead, {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.encode(self.lead + part)
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.encode(self.lead + part)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
         if len(part) <= LONG_PIECE:
             self[part] = ids
@@ -40,23 +50,36 @@ class _Known(dict):
 
 
 class PieceMemory:
-    """Ids of texts; ``encode`` gives a piece's ids as bytes of little-endian unsigned 32-bit integers."""
+    """Ids of texts, from two functions that give ids as bytes of little-endian unsigned 32-bit integers.
+
+    ``word`` encodes a plain word (an optional space and letters, a single pre-token), ``whole`` anything. A word with a sign after it is put together
+    from the word, which is remembered for itself, and the sign.
+    """
+
+    def __init__(self, word: Callable[[str], bytes], whole: Callable[[str], bytes]) -> None:
+        def encode(piece: str) -> bytes:
+            plain = PLAIN(piece)
+            if not plain:
+                return whole(piece)
+            if not plain[2]:
+                return word(piece)
+            body = plain[1]
+            return (self.spaced[body[1:]] if body[0] == " " else self.plain[body]) + self.plain[plain[2]]
 
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
         self.plain, self.spaced = _Known(encode, ""), _Known(encode, " ")
-        self.plain[""] = b""
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
         if "  " in text or "\n\n" in text or " \n" in text or text[-1] in " \n" or _OTHER(text):
-            found = map(self.plain.__getitem__, PIECES(text))
+            found = list(map(self.plain.__getitem__, PIECES(text)))
         else:
-            found, spaced = [], self.spaced.__getitem__
+            found, spaced, plain = [], self.spaced.__getitem__, self.plain
             for line in text.split("\n"):
                 first, *rest = line.split(" ")
-                found.append(self.plain[first])
+                if first:
+                    found.append(plain[first])
                 found += map(spaced, rest)
-                found.append(self.plain["\n"])
+                found.append(plain["\n"])
             found.pop()
         return np.frombuffer(b"".join(found), "<u4")
