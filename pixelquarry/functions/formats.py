@@ -10,7 +10,6 @@ BUILT_IN_ENDINGS = [
     "jpg", "jpeg", "jfif", "bmp", "png", "tif", "tiff", "gif", "webp", "jxl", "avif", "heif", "heic", "tga", "qoi", "psd", "psb",
 ]
 RAW_ENDINGS = "*.pef;*.dng;*.crw;*.nef;*.cr2;*.mrw;*.rw2;*.orf;*.x3f;*.arw;*.kdc;*.nrw;*.dcr;*.sr2;*.raf"
-MAX_ENDINGS = 48
 # fixed values: format by ending; gif and psb are listed above but have no entry, hif is the reverse (kept behaviour)
 FORMAT_OF_ENDING = {
     "jpg": "JPEG", "jpeg": "JPEG", "jfif": "JPEG", "bmp": "BMP", "png": "PNG", "tif": "TIFF", "tiff": "TIFF", "webp": "WEBP",
@@ -23,9 +22,10 @@ def parse_endings(text: str) -> list[str]:
     return [part[2:] for part in text.split(";") if len(part) > 2]
 
 
-def supported_endings(codec_list: str = "", raw_list: str = RAW_ENDINGS) -> list[str]:
+def supported_endings(codec_list: str = "", raw_list: str = RAW_ENDINGS, most: int | None = None) -> list[str]:
+    """Built-in endings, those of installed codecs and raw formats; ``most`` keeps only the first so many."""
     extra = parse_endings(codec_list) if len(codec_list) > 2 else []
-    return (BUILT_IN_ENDINGS + extra + parse_endings(raw_list))[:MAX_ENDINGS]
+    return (BUILT_IN_ENDINGS + extra + parse_endings(raw_list))[:most]
 
 
 def _in(column: Column, values: list[str]) -> Column:

@@ -14,6 +14,7 @@ from pixelquarry.session import materialise
 
 TILE_PIXELS = 1 << 18
 HOT_ROWS = 1_000_000
+HOT_KEYS = 10_000
 CHUNK_ROWS = 1 << 16
 
 
@@ -60,28 +61,34 @@ def attach_per_image(pixels: DataFrame, per_image: DataFrame, tile_pixels: int =
 
 
 def join_hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Equi join that spreads keys with more than ``hot_rows`` left rows.
+    """Equi join that spreads keys with more than ``hot_rows`` left rows, and left rows whose key is NULL.
 
-    Hot keys come from one pre-aggregated count. Their right rows are repeated
-    once per salt and their left rows take a salt from a hash of the whole row.
-    All other keys have the single salt 0, so nothing is repeated for them.
+    Hot keys come from one pre-aggregated count, which is run first; there are at most rows / ``hot_rows`` of them, and up to ``HOT_KEYS`` they are
+    broadcast to both sides, so no row has to meet them by its bare key. Their right rows are repeated once per salt and their left rows take a salt
+    from a hash of the whole row. A NULL key matches nothing, so its rows go anywhere. All other keys have the single salt 0.
     """
     on = list(on)
-    hot = (
-        left.groupBy(*on)
-        .count()
-        .filter(F.col("count") > hot_rows)
-        .select(*on, F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts"))
-    )
+    hot = left.groupBy(*on).count().filter((F.col("count") > hot_rows) & ~_any_null(on))
+    hot = hot.select(*on, F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts"))
+    found = hot.limit(HOT_KEYS + 1).collect()
+    if len(found) <= HOT_KEYS:
+        hot = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
-    salted_left = left.join(hot, on, "left").withColumn("_salt", F.pmod(row_hash, salts).cast("int")).drop("_salts")
-    salted_right = (
-        right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    )
+    salt = F.when(_any_null(on), F.pmod(row_hash, F.lit(1 << 20))).otherwise(F.pmod(row_hash, salts)).cast("int")
+    marked = (lambda df: df.join(hot, on, "left")) if found else (lambda df: df.withColumn("_salts", F.lit(None).cast("int")))
+    salted_left = marked(left).withColumn("_salt", salt).drop("_salts")
+    salted_right = marked(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
+def _any_null(columns: list[str]) -> Column:
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.col(c).isNull()
+    return found
+
+
 def number_rows(
     df: DataFrame,
     group: Sequence[str],

@@ -97,10 +97,16 @@ def process(pixels: DataFrame, s: Stages, images: DataFrame | None = None) -> Da
     return px.grid_lines(pixels) if s.grid else pixels
 
 
-def thumbnail(pixels: DataFrame, box: tuple[int, int] = (160, 160), small: int = 120_000) -> DataFrame:
-    """Fit into a box without enlarging. Images at or above ``small`` pixels start from their sub-sample."""
+def thumbnail(pixels: DataFrame, box: tuple[int, int] = (160, 160), small: int | None = None) -> DataFrame:
+    """Fit into a box without enlarging. ``small``: images of so many pixels or more start from their sub-sample; by default all start from all pixels."""
+    if small is None:
+        return _fitted(pixels, pixels, box)
     large = f"cast(w AS bigint) * h >= {small}"
     start = pixels.filter(f"NOT ({large})").unionByName(px.sample_grid(pixels.filter(large), small).select(*pixels.columns))
+    return _fitted(pixels, start, box)
+
+
+def _fitted(pixels: DataFrame, start: DataFrame, box: tuple[int, int]) -> DataFrame:
     sized = with_fit(start, str(box[0]), str(box[1])).withColumnsRenamed({"fit_w": "tw", "fit_h": "th"}).drop("zoom")
     same = sized.filter("tw = w AND th = h").select(*pixels.columns)
     smaller = sized.filter("NOT (tw = w AND th = h)")
@@ -117,6 +123,11 @@ def register_saved(store: DataFrame, hashes: DataFrame, neutral: dict[str, float
 
 
 def save_processed(pixels: DataFrame, hashes: DataFrame, store: DataFrame, folder: str, neutral: dict[str, float]) -> DataFrame:
-    """Write result pixels as Parquet partitioned by image group and return the store rows to append."""
-    pixels.withColumn("part", F.pmod("image_id", F.lit(64)).cast("int")).repartition("part").write.mode("overwrite").partitionBy("part").parquet(folder)
+    """Append the pixels of images whose key isn't in the store yet, and return the store rows to append.
+
+    ``hashes`` (image_id, hash) are joined before anything is written, so a run with the store's new rows adds and erases nothing (an image without
+    a key, hash 0, can't be known and is written each time). Rows are dealt by (image, line), so a giant image is written by many tasks.
+    """
+    known = hashes.filter("hash <> 0").join(store.select("hash"), "hash", "left_semi").select("image_id").distinct()
+    pixels.join(known, "image_id", "left_anti").repartition("image_id", "y").write.mode("append").parquet(folder)
     return register_saved(store, hashes, neutral)

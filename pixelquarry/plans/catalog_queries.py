@@ -93,14 +93,14 @@ R.add("size_guard", f"""WITH g AS (SELECT *, {BY_EXT} AS format FROM (SELECT *,
 LIST_FOLDER = "C:\\photos\\1995\\1"
 CUT = """placed AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY list_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM playlist),
 cut AS (SELECT list_id, line_no, CASE WHEN strlen(line) > {limit} - start THEN left(line, ({limit} - start)::INT) ELSE line END AS line FROM placed WHERE start < {limit})"""
-ENTRIES = CUT.format(limit=20480) + r""",
+ENTRIES = CUT.format(limit=2147483647) + r""",
 good AS (SELECT * FROM cut WHERE list_id NOT IN (SELECT list_id FROM cut WHERE length(line) >= 512)),
 ent AS (SELECT list_id, line_no, CASE WHEN instr(line, '\\') > 0 THEN regexp_extract(line[instr(line, '\\'):], '^([^\r\n"<]*)', 1)
   WHEN instr(line[2:], ':\') > 0 THEN regexp_extract(line[instr(line[2:], ':\'):], '^([^\r\n"<]*)', 1)
   WHEN regexp_matches(line, '\.(jpg|jpeg|png|tif|tiff|gif|nef)', 'i') THEN 'C:\photos\1995\1\' || regexp_extract(line, '([^"<>\r\n]*)$', 1) END AS name FROM good),
 entries AS (SELECT * FROM ent WHERE name IS NOT NULL)"""
 R.add("playlist_source", f"WITH {ENTRIES} SELECT * FROM entries", "playlist")(
-    lambda s, d: playlist.playlist_entries(views.playlist(s, d), LIST_FOLDER, kilobytes=20))
+    lambda s, d: playlist.playlist_entries(views.playlist(s, d), LIST_FOLDER))
 
 R.add("take_first_kb", f"WITH {CUT.format(limit=2048)} SELECT * FROM cut", "playlist")(
     lambda s, d: playlist.first_kilobytes(views.playlist(s, d), 2).select("list_id", "line_no", "line"))
@@ -109,7 +109,7 @@ R.add("take_first_kb", f"WITH {CUT.format(limit=2048)} SELECT * FROM cut", "play
 @R.add("playlist_resolve", f"""WITH {ENTRIES} SELECT list_id, line_no, path, size FROM entries JOIN catalog
   ON lower(path) = replace(regexp_replace(lower(name), '^c:', ''), '\\', '/')""", "playlist")
 def playlist_resolve(s, d):
-    names = playlist.playlist_entries(views.playlist(s, d), LIST_FOLDER, kilobytes=20)
+    names = playlist.playlist_entries(views.playlist(s, d), LIST_FOLDER)
     local = names.withColumn("name", F.translate(F.regexp_replace("name", "(?i)^c:", ""), "\\", "/"))
     return cat.resolve_playlist(local, views.catalog(s, d), hot_rows=1000).select("list_id", "line_no", "path", "size")
 

@@ -109,7 +109,7 @@ _CHANGED = """SELECT event_id, path FROM (SELECT *, lag(mtime) OVER (PARTITION B
 @R.add("watch_modified", _CHANGED, "file_events")
 def watch_modified(s, d):
     def start(stream, base, sink):
-        log = watch.ChangeLog(s, f"{base}/seen", "path string, mtime timestamp_ntz", "path")
+        log = watch.ChangeLog(s, f"{base}/seen", watch.SEEN_LOG, "path", order=watch.EVENT_ORDER)
         return watch.watch_modified(stream, log, sink, f"{base}/cp")
 
     return _run(s, d, start, views.file_events(s, d).schema).select("event_id", "path")
@@ -137,16 +137,16 @@ def throttle_changes_stream(s, d):
 @R.add("catalog_upsert_stream", """SELECT path, dir, length, strftime(mtime, '%Y-%m-%d %H') AS hour FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS rn FROM file_events) WHERE rn = 1 AND kind <> 'deleted'""", "file_events")
 def catalog_upsert_stream(s, d):
     stream, base = event_stream(s, d)
-    log = watch.ChangeLog(s, f"{base}/catalog", watch.CATALOG_LOG, "path")
+    log = watch.ChangeLog(s, f"{base}/catalog", watch.CATALOG_LOG, "path", order=watch.EVENT_ORDER)
     watch.upsert_catalog(stream, log, f"{base}/cp").awaitTermination()
     return watch.current_catalog(log).select("path", "dir", "length", F.date_format("mtime", "yyyy-MM-dd HH").alias("hour"))
 
 
-def _watched(s, d, settle_ms):
+def _watched(s, d):
     """Watch a folder into which Spark wrote the documents as text files."""
     base = f"{shared_folder(s)}/watch-{uuid.uuid4().hex}"
     views.table(s, d, "documents").select(F.concat_ws(" ", "doc_id", "text").alias("line")).repartition(4).write.text(f"{base}/in")
-    stream = watch.watch_folder(s, f"{base}/in", ["txt"], settle_ms)
+    stream = watch.watch_folder(s, f"{base}/in", ["txt"])
     query = (
         stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
     )
@@ -154,6 +154,6 @@ def _watched(s, d, settle_ms):
     return s.read.schema(stream.schema).parquet(f"{base}/out").select("length", F.lower(F.substring_index("path", ".", -1)).alias("ext"))
 
 
-R.add("watch_folder")(lambda s, d: _watched(s, d, None))
+R.add("watch_folder")(_watched)
 R.add("settle_delay", """SELECT event_id FROM file_events WHERE mtime <= TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 250 MILLISECOND""", "file_events")(
     lambda s, d: watch.settled(views.file_events(s, d), watch.SETTLE_MS, "mtime + (current_timestamp()::timestamp_ntz - TIMESTAMP_NTZ'2024-01-10 00:00:00')").select("event_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,12 +28,15 @@ def build_session(app: str = "pixelquarry", master: str | None = None, shuffle_p
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local test) a temporary folder is made.
+    Only in a local session that names none a temporary folder is made. On a cluster that is an error: each executor would write to its own disk, and
+    readers would find a part.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="pixelquarry-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

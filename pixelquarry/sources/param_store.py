@@ -9,11 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# fixed values: the two magic numbers, the version and the size limit of a store file
+# fixed values: the two magic numbers, and the version of a store file
 MAGIC = (0xE8D2862A, 0xB651E752)
 VERSION = 2
 RECORD, OLD_RECORD = 40, 32
-MAX_BYTES = RECORD * 1024 * 200
 NEUTRAL_COLOUR = 128
 
 _BYTES = [
@@ -45,20 +44,22 @@ def unpack(content: bytes) -> pd.DataFrame:
     return table[table["hash"] != 0]
 
 
-def unpack_stores(stores: DataFrame) -> DataFrame:
-    """All records of many store files (``content``); a file is at most about 8 MB by its format."""
+def unpack_stores(stores: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """All records of many store files (``content``); ``max_bytes`` leaves out larger files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
                 yield unpack(bytes(content))
 
-    return stores.filter(F.length("content") <= MAX_BYTES).select("content").mapInPandas(run, STORE_SCHEMA)
+    kept = stores.filter(F.length("content") <= max_bytes) if max_bytes is not None else stores
+    return kept.select("content").mapInPandas(run, STORE_SCHEMA)
 
 
-def read_stores(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the store files at a path; files over the size limit are refused before they are read."""
-    return unpack_stores(spark.read.format("binaryFile").load(path).filter(f"length <= {MAX_BYTES}"))
+def read_stores(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Records of the store files at a path; files over ``max_bytes`` are left out before they are read."""
+    files = spark.read.format("binaryFile").load(path)
+    return unpack_stores(files.filter(F.col("length") <= max_bytes) if max_bytes is not None else files)
 
 
 def write_store(params: DataFrame, folder: str) -> None:

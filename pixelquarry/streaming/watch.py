@@ -7,7 +7,7 @@ again replaces it, so a restarted query leaves the same log.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from pixelquarry.functions import text
 from pixelquarry.functions.formats import supported_endings
 from pixelquarry.operators.scaling import CHUNK_ROWS, number_rows, shifted
+from pixelquarry.session import materialise
 from pixelquarry.sources.files import FILE_SCHEMA
 
 THROTTLE_MS = 500
 SETTLE_MS = 250
+EVENT_ORDER = ("ts", "event_id")
+SEEN_LOG = "path string, mtime timestamp_ntz, ts timestamp_ntz, event_id bigint"
 
 
 class ChangeLog:
@@ -31,7 +34,9 @@ class ChangeLog:
     that many batches however long the stream has run.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str, compact_every: int = 50):
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str, compact_every: int = 50, order: Sequence[str] = ()):
+        """``order``: columns by which the newest row of a key is chosen before the batch counts, so a late batch with older events loses."""
+        self.order = list(order)
         self.spark, self.folder, self.schema, self.key, self.compact_every = spark, folder.rstrip("/"), schema, key, compact_every
 
     def write(self, batch_id: int, rows: DataFrame) -> None:
@@ -62,7 +67,7 @@ class ChangeLog:
         for part in parts[1:]:
             rows = rows.unionByName(part)
         values = [c for c in rows.columns if c not in (self.key, "_rank")]
-        newest = rows.groupBy(self.key).agg(F.max_by(F.struct(*values), "_rank").alias("_v"))
+        newest = rows.groupBy(self.key).agg(F.max_by(F.struct(*values), F.struct(*self.order, "_rank")).alias("_v"))
         return newest.select(self.key, "_v.*")
 
     def compact(self, before: int) -> None:
@@ -70,15 +75,11 @@ class ChangeLog:
         self.current(before=before).write.mode("overwrite").parquet(f"{self.folder}/snapshot={before}")
 
 
-def watch_folder(spark: SparkSession, folder: str, endings: Iterable[str] | None = None, settle_ms: int | None = None) -> DataFrame:
-    """Stream of new picture files in a folder (not below it); contents are not kept.
-
-    ``settle_ms`` holds back files written less than that long ago.
-    """
+def watch_folder(spark: SparkSession, folder: str, endings: Iterable[str] | None = None) -> DataFrame:
+    """Stream of new picture files in a folder (not below it); contents are not kept. :func:`take_settled` waits for files still being written."""
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "false").load(folder).drop("content")
     known = [e.lower() for e in (endings or supported_endings())]
-    named = files.filter(F.lower(text.extension_of(text.title_of(F.col("path")))).isin(*known))
-    return settled(named, settle_ms) if settle_ms else named
+    return files.filter(F.lower(text.extension_of(text.title_of(F.col("path")))).isin(*known))
 
 
 def settled(files: DataFrame, delay_ms: int = SETTLE_MS, mtime: str = "modificationTime") -> DataFrame:
@@ -86,6 +87,28 @@ def settled(files: DataFrame, delay_ms: int = SETTLE_MS, mtime: str = "modificat
     return files.filter(F.expr(f"{mtime} <= current_timestamp() - INTERVAL {delay_ms} MILLISECONDS"))
 
 
+def take_settled(
+    spark: SparkSession, folder: str, seen: str, sink: Callable[[DataFrame], None], endings: Iterable[str] | None = None, delay_ms: int = SETTLE_MS,
+) -> int:
+    """Hand picture files of a folder that are at least ``delay_ms`` old and were not handed out before to ``sink``; returns their number.
+
+    Call it again and again: the file source of a stream lists a file once and never comes back to one that was too fresh, so each call lists the
+    folder anew and leaves out the paths in the table at ``seen``, to which it appends after ``sink`` has returned (a run that fails in between hands
+    the same files out again).
+    """
+    files = spark.read.format("binaryFile").load(folder).drop("content")
+    known = [e.lower() for e in (endings or supported_endings())]
+    named = files.filter(F.lower(text.extension_of(text.title_of(F.col("path")))).isin(*known))
+    spark.createDataFrame([], "path string").write.mode("append").parquet(seen)  # so that the first run finds a table
+    before = spark.read.schema("path string").parquet(seen)
+    fresh = materialise(settled(named, delay_ms).join(before, "path", "left_anti"))
+    taken = fresh.count()
+    if taken:
+        sink(fresh)
+        fresh.select("path").write.mode("append").parquet(seen)
+    return taken
+
+
 # --- real changes ----------------------------------------------------------------------------
 
 def changed_events(events: DataFrame, last_seen: DataFrame | None = None) -> DataFrame:
@@ -104,7 +127,7 @@ def changed_events(events: DataFrame, last_seen: DataFrame | None = None) -> Dat
 
 
 def last_times(events: DataFrame) -> DataFrame:
-    return events.groupBy("path").agg(F.max_by("mtime", F.struct("ts", "event_id")).alias("mtime"))
+    return events.groupBy("path").agg(F.max_by(F.struct("mtime", "ts", "event_id"), F.struct("ts", "event_id")).alias("_v")).select("path", "_v.*")
 
 
 def watch_modified(events: DataFrame, log: ChangeLog, sink: Callable[[DataFrame, int], None], checkpoint: str):
@@ -208,13 +231,13 @@ def watch_throttled(events: DataFrame, log: ChangeLog, sink: Callable[[DataFrame
 
 # --- catalog upkeep --------------------------------------------------------------------------
 
-CATALOG_LOG = "path string, dir string, mtime timestamp_ntz, length bigint, deleted boolean"
+CATALOG_LOG = "path string, dir string, mtime timestamp_ntz, length bigint, deleted boolean, ts timestamp_ntz, event_id bigint"
 
 
 def net_changes(events: DataFrame) -> DataFrame:
     """Last event of each path as one catalog change; a deletion is kept as a mark."""
-    newest = events.groupBy("path").agg(F.max_by(F.struct("dir", "mtime", "length", "kind"), F.struct("ts", "event_id")).alias("_v"))
-    return newest.select("path", "_v.dir", F.col("_v.mtime").cast("timestamp_ntz").alias("mtime"), "_v.length", (F.col("_v.kind") == "deleted").alias("deleted"))
+    newest = events.groupBy("path").agg(F.max_by(F.struct("dir", "mtime", "length", "kind", "ts", "event_id"), F.struct("ts", "event_id")).alias("_v"))
+    return newest.select("path", "_v.dir", F.col("_v.mtime").cast("timestamp_ntz").alias("mtime"), "_v.length", (F.col("_v.kind") == "deleted").alias("deleted"), F.col("_v.ts").cast("timestamp_ntz").alias("ts"), "_v.event_id")
 
 
 def upsert_catalog(events: DataFrame, log: ChangeLog, checkpoint: str):
@@ -227,4 +250,4 @@ def upsert_catalog(events: DataFrame, log: ChangeLog, checkpoint: str):
 
 
 def current_catalog(log: ChangeLog) -> DataFrame:
-    return log.current().filter("NOT deleted").drop("deleted")
+    return log.current().filter("NOT deleted").drop("deleted", "ts", "event_id")

@@ -3,8 +3,12 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import pytest
+
+from pixelquarry import session
 from pixelquarry.operators import catalog as cat
 from pixelquarry.operators import params as par
+from pixelquarry.operators import scaling
 from pixelquarry.operators.scaling import attach_per_image, broadcast_if_small, join_hot_keys, number_rows, shifted, write_tiled
 from pixelquarry.streaming import watch
 
@@ -160,3 +164,41 @@ def test_walks_and_neighbours_of_a_hot_folder(spark):
     assert hot["File0.jpg"]["prev"] == "/a/hot/File1999.jpg" and hot["File1999.jpg"]["next"] == "/a/hot/File0.jpg"
     stay = {r["title"]: r for r in cat.next_prev(files, wrap=False).filter("dir = '/a/hot'").collect()}
     assert stay["File0.jpg"]["prev"] == "/a/hot/File0.jpg"
+
+
+def test_hot_and_null_keys_are_spread_and_nothing_is_lost(spark):
+    left = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 THEN NULL ELSE id END AS k", "id")
+    right = spark.createDataFrame([(1, "hot"), (2, "two"), (None, "none")], "k bigint, v string")
+    joined = scaling.join_hot_keys(left, right, ["k"], "left", hot_rows=100)
+    assert joined.count() == 6000 and joined.filter("v = 'hot'").count() == 2000 and joined.filter("v = 'none'").count() == 0
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "false")
+        sizes = [r["n"] for r in scaling.join_hot_keys(left, right, ["k"], "left", hot_rows=100).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert len(sizes) >= 4 and max(sizes) <= 2 * 6000 / len(sizes)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Session())

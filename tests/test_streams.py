@@ -41,7 +41,7 @@ def test_log_compacts_itself(spark, tmp_path):
 def test_stream_continues_after_a_stop(spark, tmp_path):
     rows = [(i, f"/f{i % 3}", "/", "written", i, i // 4, i) for i in range(24)]
     all_events = events(spark, rows)
-    log = watch.ChangeLog(spark, str(tmp_path / "seen"), "path string, mtime timestamp_ntz", "path")
+    log = watch.ChangeLog(spark, str(tmp_path / "seen"), watch.SEEN_LOG, "path", order=watch.EVENT_ORDER)
     out = str(tmp_path / "out")
 
     def sink(df, batch_id):
@@ -73,6 +73,33 @@ def test_watch_folder_sees_new_pictures_only(spark, tmp_path):
     assert run() == ["a.jpg", "c.JPG"]
 
 
+def test_a_fresh_file_arrives_in_a_later_run(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    got = []
+
+    def run():
+        watch.take_settled(spark, str(folder), str(tmp_path / "seen"), lambda df: got.extend(r["path"].rsplit("/", 1)[1] for r in df.collect()), ["jpg"], 1000)
+        return sorted(got)
+
+    (folder / "old.jpg").write_bytes(b"1")
+    os.utime(folder / "old.jpg", (time.time() - 60, time.time() - 60))
+    (folder / "fresh.jpg").write_bytes(b"2")
+    os.utime(folder / "fresh.jpg", (time.time() + 6, time.time() + 6))
+    assert run() == ["old.jpg"]
+    time.sleep(max(0, os.path.getmtime(folder / "fresh.jpg") + 2 - time.time()))
+    assert run() == ["fresh.jpg", "old.jpg"]
+    assert run() == ["fresh.jpg", "old.jpg"]
+
+
+def test_late_batch_with_older_events_does_not_win(spark, tmp_path):
+    log = watch.ChangeLog(spark, str(tmp_path / "log"), watch.CATALOG_LOG, "path", order=watch.EVENT_ORDER)
+    log.write(0, watch.net_changes(events(spark, [(2, "/a", "/", "written", 9, 9, 7), (3, "/b", "/", "deleted", 9, 9, 0)])))
+    log.write(1, watch.net_changes(events(spark, [(1, "/a", "/", "created", 1, 1, 5), (1, "/b", "/", "created", 1, 1, 5)])))
+    assert [(r["path"], r["length"]) for r in watch.current_catalog(log).collect()] == [("/a", 7)]
+
+
 def test_settle_delay_holds_back_fresh_files(spark, tmp_path):
     (tmp_path / "old.jpg").write_bytes(b"1")
     os.utime(tmp_path / "old.jpg", (time.time() - 60, time.time() - 60))
