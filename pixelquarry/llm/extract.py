@@ -6,7 +6,7 @@ shares the longer beginning. The two pages' lines are aligned by a longest commo
 unless the page marks them as its article, because articles of one site may share passages. Furniture that the markup names is left out in any case.
 
 Pairs come from row numbers over (host, path) and neighbours in small chunks of numbers, so a host with a third of all pages is spread over all tasks;
-only keys are ordered, and each page's lines then move once to the page that is compared with them.
+only keys are ordered, and digests of a page's lines move to the page that is compared with it.
 
 Cases: null or empty HTML has no text; a host's only page is compared with none; equal URLs are ordered by page id; a null URL stands in a group of its
 own host ''; repeated rows give one result each; an empty table gives an empty result; other columns are not read; unclosed elements end with their parent.
@@ -16,15 +16,17 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelquarry.llm.urls import host_of, path_of
-from pixelquarry.operators.scaling import number_rows, shifted
+from pixelquarry.llm.words import lists
+from pixelquarry.operators.scaling import broadcast_if_small, number_rows, shifted
 from pixelquarry.session import materialise
 
 #: Elements of the HTML standard.
@@ -34,11 +36,10 @@ FURNITURE = frozenset("nav header footer aside form dialog menu".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr big strike".split())
 #: Words in class, id or role that name page furniture.
 NAMED = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|newsletter|subscribe|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|commentlist|respond|disqus|related|share|sharing|social|widget|popup|modal|complementary|contentinfo)(?:$|[^a-z])")
-CLOSED_BY_BLOCK = frozenset(["p"])
 CHUNK = 64
 
 ARTICLE, FURNISHED, PLAIN = 1, 2, 0
-LINE = "array<struct<kind: int, text: string>>"
+BROADCAST_PAGES = 500_000
 
 
 class _Lines(HTMLParser):
@@ -130,29 +131,29 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
     return [*range(lead), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
-def main_text(lines: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> tuple[str, int, int]:
-    """Text of a page, lines it shares with the other one, and those deleted for that reason."""
-    shared = set(common_lines([t for _, t in lines], [t for _, t in other])) if other else set()
-    if other and len(shared) == len(lines):
-        shared = set()  # a copy of the page tells nothing about what the site repeats
-    kept, deleted = [], 0
+def shared_places(own: list, other: list | None) -> list[int]:
+    """Lines that a page shares with another; of a copy none, as it tells nothing about what the site repeats."""
+    found = common_lines(own, other) if other else []
+    return [] if len(found) == len(own) else found
+
+
+def main_text(lines: list[tuple[int, str]], shared: set[int]) -> tuple[str, int]:
+    """Text of a page, and how many of its shared lines are not in it."""
     marked = any(kind == ARTICLE for kind, _ in lines)
+    kept, deleted = [], 0
     for i, (kind, text) in enumerate(lines):
-        if kind == FURNISHED or marked and kind != ARTICLE:
+        if kind == FURNISHED or kind != ARTICLE and (marked or i in shared):
             deleted += i in shared
-            continue
-        if i in shared and kind != ARTICLE:
-            deleted += 1
-            continue
-        kept.append(text)
-    return " ".join(kept), len(shared), deleted
+        else:
+            kept.append(text)
+    return " ".join(kept), deleted
 
 
 def nearest_pages(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """row, other: for each row the neighbour within its host whose path shares the longer beginning (the one before, if both share as much)."""
-    keys = pages.select("row", "host", "path", "page_id")
-    numbered = number_rows(keys, ["host"], [F.col("path"), F.col("page_id"), F.col("row")])
-    near = shifted(numbered, ["host"], {"row_a": ("row", -1), "path_a": ("path", -1), "row_b": ("row", 1), "path_b": ("path", 1)}, chunk_rows=chunk)
+    """key, other: for each key the neighbour within its host whose path shares the longer beginning (the one before, if both share as much)."""
+    keys = pages.select("key", "host", "path", "page_id")
+    numbered = number_rows(keys, ["host"], [F.col("path"), F.col("page_id"), F.col("key")])
+    near = shifted(numbered, ["host"], {"key_a": ("key", -1), "path_a": ("path", -1), "key_b": ("key", 1), "path_b": ("path", 1)}, chunk_rows=chunk)
 
     def shared(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
@@ -168,30 +169,49 @@ def nearest_pages(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     length = F.arrow_udf(shared, "int")
     before, after = length("path", "path_a"), length("path", "path_b")
-    return near.withColumn("n_a", before).withColumn("n_b", after).select("row", F.when(F.col("n_a") >= F.col("n_b"), F.col("row_a")).otherwise(F.col("row_b")).alias("other"))
+    other = F.when(F.col("n_a") >= F.col("n_b"), F.col("key_a")).otherwise(F.col("key_b"))
+    return near.withColumn("n_a", before).withColumn("n_b", after).groupBy("key").agg(F.min(other).alias("other"))
 
 
-def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, n_lines, n_shared, n_deleted, for each row."""
+def shared_lines(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """key (a hash of id, URL and HTML) and the places of the lines that a page shares with its nearest one, for pages that share any."""
+
+    def digests(column: pa.Array) -> pa.Array:
+        lines = [np.array([xxhash.xxh3_64_intdigest(t) for _, t in page_lines(x.as_py())], np.uint64).view(np.int64) for x in column]
+        return lists(np.concatenate([np.zeros(0, np.int64), *lines]), np.array([len(x) for x in lines], np.int64), pa.int64())
 
-    def lines(column: pa.Array) -> pa.Array:
-        return pa.array([[{"kind": k, "text": t} for k, t in page_lines(x.as_py())] for x in column], pa.list_(pa.struct([("kind", pa.int32()), ("text", pa.string())])))
+    facts = pages.select(
+        F.xxhash64(page_id, url, html).alias("key"), F.col(page_id).alias("page_id"), F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"),
+        F.coalesce(path_of(F.col(url)), F.lit("")).alias("path"), F.arrow_udf(digests, "array<bigint>")(F.col(html)).alias("lines"),
+    )
+    facts = materialise(facts)
+    near = nearest_pages(facts).filter("other IS NOT NULL")
+    lines = facts.select("key", "lines").dropDuplicates(["key"])
+    pairs = near.join(lines, "key").join(lines.select(F.col("key").alias("other"), F.col("lines").alias("other_lines")), "other")
+
+    def common(own: pa.Array, other: pa.Array) -> pa.Array:
+        found = [shared_places(a.as_py(), b.as_py()) for a, b in zip(own, other, strict=True)]
+        return pa.array(found, pa.list_(pa.int32()))
+
+    return pairs.select("key", F.arrow_udf(common, "array<int>")("lines", "other_lines").alias("shared")).filter(F.size("shared") > 0)
+
+
+def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """page_id, url, text, n_chars, n_lines, n_shared, n_deleted, for each row.
 
-    base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.arrow_udf(lines, LINE)(F.col(html)).alias("lines"))
-    base = base.withColumn("row", F.monotonically_increasing_id()).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    base = materialise(base.withColumn("host", F.coalesce("host", F.lit(""))).withColumn("path", F.coalesce("path", F.lit(""))))
-    near = nearest_pages(base)
-    others = base.select(F.col("row").alias("other"), F.col("lines").alias("other_lines"))
-    pairs = base.join(near, "row").select("page_id", "url", "lines", "other").join(others, "other", "left")
+    Pages are compared by digests of their lines; their texts don't move, unless more than ``BROADCAST_PAGES`` pages share lines.
+    """
+    shared = materialise(shared_lines(pages, page_id, url, html))
 
-    def differ(own: pa.Array, other: pa.Array) -> pa.Array:
+    def read(column: pa.Array, places: pa.Array) -> pa.Array:
         out = []
-        for a, b in zip(own, other, strict=True):
-            mine = [(x["kind"], x["text"]) for x in a.as_py() or []]
-            theirs = [(x["kind"], x["text"]) for x in b.as_py()] if b.is_valid else None
-            text, shared, deleted = main_text(mine, theirs)
-            out.append({"text": text, "n_lines": len(mine), "n_shared": shared, "n_deleted": deleted})
+        for body, own in zip(column, places, strict=True):
+            lines, met = page_lines(body.as_py()), set(own.as_py() or ())
+            text, deleted = main_text(lines, met)
+            out.append({"text": text, "n_lines": len(lines), "n_shared": len(met), "n_deleted": deleted})
         return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_shared", pa.int64()), ("n_deleted", pa.int64())]))
 
-    done = pairs.select("page_id", "url", F.arrow_udf(differ, "struct<text: string, n_lines: bigint, n_shared: bigint, n_deleted: bigint>")("lines", "other_lines").alias("d"))
+    base = pages.select(F.xxhash64(page_id, url, html).alias("key"), F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
+    met = base.join(broadcast_if_small(shared, BROADCAST_PAGES), "key", "left")
+    done = met.select("page_id", "url", F.arrow_udf(read, "struct<text: string, n_lines: bigint, n_shared: bigint, n_deleted: bigint>")("html", "shared").alias("d"))
     return done.select("page_id", "url", "d.text", F.char_length("d.text").cast("bigint").alias("n_chars"), "d.n_lines", "d.n_shared", "d.n_deleted")
