@@ -27,32 +27,42 @@ _LENGTHS: dict[int, np.ndarray] = {}
 
 
 def allocate(ends: np.ndarray, starts: np.ndarray, stops: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and boundary-crossing tokens of every section; all spans in bytes, tokens tile the text up to ``ends[-1]``."""
+    """Tokens and boundary-crossing tokens of every section; all spans in bytes, tokens tile the text up to ``ends[-1]``.
+
+    Tokens wholly inside a section are counted by two binary searches; only tokens over a section's edge, two for each section at most, are shared out.
+    """
     n = len(starts)
-    counts, crossing = np.zeros(n), np.zeros(n, np.int64)
     if not len(ends) or not n:
-        return counts, crossing
+        return np.zeros(n), np.zeros(n, np.int64)
     begins = np.append(0, ends[:-1])
+    inside = np.searchsorted(ends, stops, "right") - np.searchsorted(begins, starts, "left")
+    counts = np.maximum(inside, 0).astype(float)
+    edges = np.concatenate([starts, stops])
+    holder = np.searchsorted(ends, edges, "right")  # the token with the byte after the edge
+    within = holder < len(ends)
+    over = np.unique(holder[within][begins[holder[within]] < edges[within]])
+    shared, crossing = _share_out(begins[over], ends[over], starts, stops, rule)
+    return counts + shared, crossing
+
+
+def _share_out(begins: np.ndarray, ends: np.ndarray, starts: np.ndarray, stops: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """Allocate tokens that no section holds wholly; they may leave gaps between them."""
+    counts, crossing = np.zeros(len(starts)), np.zeros(len(starts), np.int64)
     # sections that meet a token: those that stop after its begin and start before its end
     first = np.searchsorted(stops, begins, "right")
-    last = np.searchsorted(starts, ends, "left")
-    width = np.maximum(last - first, 0)
+    width = np.maximum(np.searchsorted(starts, ends, "left") - first, 0)
     token = np.repeat(np.arange(len(ends)), width)
     section = np.repeat(first - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
     shared = np.minimum(ends[token], stops[section]) - np.maximum(begins[token], starts[section])
     token, section, shared = token[shared > 0], section[shared > 0], shared[shared > 0]
-    many = np.bincount(token, minlength=len(ends))
-    edge = np.flatnonzero(shared < (ends - begins)[token])
-    np.add.at(crossing, section[edge], 1)
+    np.add.at(crossing, section, 1)
     if rule == "split":
         np.add.at(counts, section, shared / np.bincount(token, shared, minlength=len(ends))[token])
         return counts, crossing
     order = {"majority": lambda: np.lexsort((section, -shared, token)), "first": lambda: np.lexsort((section, token)), "last": lambda: np.lexsort((-section, token))}[rule]()
     if len(order):
         token, section = token[order], section[order]
-        lead = np.append(True, token[1:] != token[:-1])
-        np.add.at(counts, section[lead], 1)
-    assert counts.sum() == (many > 0).sum()
+        np.add.at(counts, section[np.append(True, token[1:] != token[:-1])], 1)
     return counts, crossing
 
 
@@ -89,7 +99,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, text: Column, sections: C
         return pa.array(out, pa.list_(pa.struct([("section", pa.string()), ("n_bytes", pa.int64()), ("n_tokens", pa.float64()), ("n_crossing", pa.int64())])))
 
     made = docs.select(F.col(doc_id).alias("doc_id"), F.arrow_udf(count, COUNTS)(text, sections).alias("found"))
-    return made.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
+    # explode() would let the optimizer infer a filter that runs the function a second time
+    return made.select("doc_id", F.explode_outer("found").alias("f")).filter("f IS NOT NULL").select("doc_id", "f.*")
 
 
 def record(parts: list[tuple[str, Column]]) -> tuple[Column, Column]:
