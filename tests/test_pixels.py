@@ -300,4 +300,4 @@ def test_saved_results_are_registered_once(spark, image, tmp_path):
 def test_wide_filters_read_every_source_pixel():
     taps = kernels.ResizeTaps(6000, 160, "quality", 0.0).table()
     assert taps["src"].nunique() == 6000
-    assert kernels.gauss_taps(12.0).size > 60
+    assert kernels.gauss_taps(12.0).size > 50  # weights above 0.002 reach about 28 pixels to each side
