@@ -40,6 +40,8 @@ SUBTRIE = 1 << 14
 FRONT = 1 << 19
 #: Hash rows of a join key from which on it is spread.
 HOT_ROWS = 200_000
+#: Rows of two numbers that are broadcast at most, so that the texts they are joined with need not move; more are shuffled.
+BROADCAST_NODES = 1_000_000
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -370,9 +372,15 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     near = near.join(of_fp.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
     links = materialise(links.union(near.select("x", "y")).distinct())
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    # one row per text: its shingles once
-    bodies = source.join(ends, "node", "left_semi").join(nodes.select("node", "least_id"), "node").filter(F.col("doc_id").eqNullSafe(F.col("least_id")))
-    sets = materialise(bodies.select("node", shingle_sets(F.col("text"), words).alias("set")).dropDuplicates(["node"]))
+    bearers = materialise(nodes.join(ends, "node", "left_semi").select(F.col("node").alias("_node"), F.col("least_id").alias("_least")))
+    bearer = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_least"))
+    bodies = source.join(broadcast_if_small(bearers, BROADCAST_NODES), bearer, "left_semi")
+    repeated = materialise(facts.groupBy("node", "doc_id").count().filter("count > 1").select(F.col("node").alias("_node"), F.col("doc_id").alias("_twice")))
+    any_repeated = not repeated.isEmpty()
+    if any_repeated:  # one row per text: its shingles once
+        again = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_twice"))
+        bodies = bodies.join(repeated, again, "left_anti").union(bodies.join(repeated, again, "left_semi").dropDuplicates(["node"]))
+    sets = materialise(bodies.select("node", shingle_sets(F.col("text"), words).alias("set")))
     tried = links.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     tried = join_hot_keys(tried, sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), ["b"], "inner", HOT_ROWS)
     verified = tried.filter(F.arrow_udf(_jaccard, "double")("set_a", "set_b") >= similarity).select("a", "b")
@@ -384,9 +392,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     gone = facts.join(gone_nodes, "node", "left_semi").select("node", "doc_id").union(copies)
     gone = materialise(gone.select(F.col("node").alias("_node"), F.col("doc_id").alias("_gone")).distinct())
     node = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    kept = docs.join(broadcast_if_small(gone, HOT_ROWS), (node == gone["_node"]) & docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
-    repeated = materialise(facts.groupBy("node", "doc_id").count().filter("count > 1").select(F.col("node").alias("_node"), F.col("doc_id").alias("_twice")))
-    if repeated.isEmpty():
+    kept = docs.join(broadcast_if_small(gone, BROADCAST_NODES), (node == gone["_node"]) & docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
+    if not any_repeated:
         return kept
     twice = (F.xxhash64(F.coalesce(kept[text], F.lit(""))) == repeated["_node"]) & kept[doc_id].eqNullSafe(repeated["_twice"])
     once = kept.join(repeated, twice, "left_semi").dropDuplicates([doc_id, text])
