@@ -40,31 +40,19 @@ def contrast_gamma(params: DataFrame) -> DataFrame:
 def with_contrast_gamma(rows: DataFrame) -> DataFrame:
     """Adds ``lut``, the array for the ``contrast, gamma`` of each row.
 
-    Positive contrast: straight middle part with a quadratic end on each side.
-    Negative contrast: two quadratic arcs. Gamma bends the result.
+    A curve is point-symmetric about the middle, so it is given by its rise over the distance ``d`` from there (0 to 1/2). Positive contrast ``k``: a
+    line of slope 1 / (1 - k), from which a parabola is taken beyond half the height so that black and white stay. Negative contrast: the identity
+    less a parabola with zeros in the middle and at the end. Gamma bends the result.
     """
-    keep = rows.columns
-    rows = rows.withColumns({
-        "_half": F.expr("least(0.5D, greatest(-0.5D, contrast)) * 0.5D"), "_g": F.expr("least(10.0D, greatest(0.1D, gamma))"),
-    })
-    rows = rows.withColumns({"_slope": F.expr("1.0D / (1.0D - _half)"), "_shift": F.expr("-(1.0D / (1.0D - _half)) * _half / 2.0D")})
-    rows = rows.withColumn("_from", F.expr("(0.25D - _shift) / _slope"))
-    rows = rows.withColumn("_q", F.expr("(_slope * _from - 0.25D) / (_from * _from)"))
-    x = "(v / 255.0D)"
-    arc = "_q * {0} * {0} + (_slope - 2.0D * _q * _from) * {0}"
-    rising = (
-        f"CASE WHEN {x} < _from THEN {arc.format(x)} WHEN {x} > (0.75D - _shift) / _slope THEN 1.0D - ({arc.format(f'(1.0D - {x})')}) "
-        f"ELSE _slope * {x} + _shift END"
-    )
-    falling = (
-        f"CASE WHEN {x} < 0.5D THEN {x} - 3.0D * _half * (0.0625D - ({x} - 0.25D) * ({x} - 0.25D)) "
-        f"ELSE {x} + 3.0D * _half * (0.0625D - ({x} - 0.75D) * ({x} - 0.75D)) END"
-    )
-    level = f"0.5D + 255.0D * pow(greatest(0.0D, least(1.0D, CASE WHEN _half >= 0 THEN {rising} ELSE {falling} END)), _g)"
-    return rows.select(*keep, F.expr(_table(level)).alias("lut"))
+    rise = "IF(_k < 0, _d + 3.0D * _k * _d * (0.5D - _d), (_d - 8.0D * _k * pow(greatest(0.0D, _d - (1.0D - _k) / 4.0D) / (1.0D + _k), 2)) / (1.0D - _k))"
+    for name, value in (("_k", "least(0.5D, greatest(-0.5D, contrast)) / 2.0D"), ("_d", "abs(v / 255.0D - 0.5D)")):
+        rise = rise.replace(name, f"({value})")
+    curve = f"greatest(0.0D, least(1.0D, 0.5D + IF(v < 128, -1, 1) * ({rise})))"
+    level = f"0.5D + 255.0D * pow({curve}, least(10.0D, greatest(0.1D, gamma)))"
+    return rows.withColumn("lut", F.expr(_table(level)))
 
 
-#: name of a term -> (weight without, weight with saturation): factor = without + with * saturation
+#: Name of a term -> (weight without, weight with saturation): factor = without + with * saturation
 SATURATION_TERMS = {
     "red_self": (0.299, 0.701), "green_other": (0.587, -0.587), "blue_other": (0.114, -0.114),
     "red_other": (0.299, -0.299), "green_self": (0.587, 0.413), "blue_self": (0.114, 0.886),
@@ -188,16 +176,8 @@ def apply_luts(pixels: DataFrame, arrays: DataFrame) -> DataFrame:
 
 # --- density map -----------------------------------------------------------------------------
 
-def _response_table() -> list[int]:
-    """Saddle-shaped response to the local brightness, tabulated from its rule."""
-    table = [0] * 256
-    for i in range(128):
-        lift = (i + 0.5) ** 2.5 / 127.5 ** 1.5
-        table[127 - i] = int(127.0 + lift + 0.49)
-        table[128 + i] = int(127.0 - lift + 0.49)
-    return table
-
-
+#: Saddle-shaped response to the local brightness: its distance from the middle to the power 2.5, and the full range keeps its ends.
+RESPONSE = "cast(127.49D - sign(_gray - 127.5D) * pow(abs(_gray - 127.5D), 2.5D) / pow(127.5D, 1.5D) AS int)"
 BLOCK_GRAY = "cast(shiftright(b * 256 + g * 512 + r * 256, 10) AS int)"
 
 
@@ -208,8 +188,7 @@ def density_map(blocks: DataFrame) -> DataFrame:
         f"CASE WHEN {cast} > 0 AND _gray < 128 THEN _gray + CASE WHEN {cast} <= 30 THEN (128 - _gray) * {cast} div 30 "
         f"ELSE (128 - _gray) * (255 - {cast}) div 225 END ELSE _gray END"
     )
-    table = F.array(*[F.lit(v) for v in _response_table()])
-    raw = blocks.withColumn("_gray", F.expr(BLOCK_GRAY)).withColumn("_gray", F.expr(lifted).cast("int")).withColumn("m", F.element_at(table, F.col("_gray") + 1))
+    raw = blocks.withColumn("_gray", F.expr(BLOCK_GRAY)).withColumn("_gray", F.expr(lifted).cast("int")).withColumn("m", F.expr(RESPONSE))
     return smooth3(raw.select("image_id", "w", "h", "x", "y", "m"))
 
 
@@ -236,16 +215,14 @@ def scale_map(mask: DataFrame, lighten: float = 0.5, darken: float = 0.25) -> Da
 
 
 def density_gain(points: DataFrame) -> DataFrame:
-    """Array ``gain`` per image between its gray points: full in the middle, zero at and outside both points."""
-    f = "(v / 255.0D)"
-    mid = "((black_pt + white_pt) / 2.0D)"
-    rise, fall = f"(black_pt + 0.6D * ({mid} - black_pt))", f"(white_pt - 0.6D * (white_pt - {mid}))"
-    steep = "greatest(0.0D, least(1.0D, 1.0D - 0.98D * steepness))"
-    gain = (
-        f"CASE WHEN white_pt <= black_pt OR {f} < black_pt OR {f} >= white_pt THEN 0 "
-        f"WHEN {f} < {rise} THEN floor(0.8D * 16384.0D * pow(({f} - black_pt) / nullif({rise} - black_pt, 0.0D), {steep}) + 0.5D) "
-        f"WHEN {f} > {fall} THEN floor(0.8D * 16384.0D * (1.0D - ({f} - {fall}) / nullif(white_pt - {fall}, 0.0D)) + 0.5D) ELSE 13107 END"
-    )
+    """Array ``gain`` per image: a window from the black to the white point, zero at and outside both, full over the middle two fifths.
+
+    Over the first three tenths it rises as a power, over the last three tenths it falls straight.
+    """
+    place = "((v / 255.0D - black_pt) / nullif(white_pt - black_pt, 0.0D))"
+    power = "greatest(0.0D, least(1.0D, 1.0D - 0.98D * steepness))"
+    window = f"least(1.0D, pow({place} / 0.3D, {power}), (1.0D - {place}) / 0.3D)"
+    gain = f"IF(white_pt > black_pt AND v / 255.0D >= black_pt AND v / 255.0D < white_pt, floor(0.8D * 16384.0D * {window} + 0.5D), 0)"
     return points.select("image_id", F.expr(_table(gain)).alias("gain"))
 
 

@@ -91,26 +91,13 @@ def chain(start: str, steps: list[tuple[str, str]], name: str = "s") -> tuple[st
 
 
 
-#: contrast/gamma curve for DuckDB, as named steps over contrast, gamma, v_in
+#: contrast/gamma curve for DuckDB, over contrast, gamma, v_in: rise over the distance from the middle, mirrored about it
 CONTRAST_GAMMA = [
-    ("_c", "greatest(-0.5, least(0.5, contrast))"),
-    ("_g", "greatest(0.1, least(10.0, gamma))"),
-    ("_x", "v_in / 255.0"),
-    ("_half", "_c * 0.5"),
-    ("_slope", "1.0 / (1.0 - _half)"),
-    ("_shift", "-_slope * _half / 2.0"),
-    ("_from", "(0.25 - _shift) / _slope"),
-    ("_to", "(0.75 - _shift) / _slope"),
-    ("_q", "(_slope * _from - 0.25) / (_from * _from)"),
-    ("_l", "_slope - 2.0 * _q * _from"),
-    ("_bend", "-_c * 1.5"),
-    (
-        "_y",
-        "CASE WHEN _c >= 0 THEN CASE WHEN _x < _from THEN _q * _x * _x + _l * _x "
-        "WHEN _x > _to THEN 1.0 - (_q * (1.0 - _x) * (1.0 - _x) + _l * (1.0 - _x)) ELSE _slope * _x + _shift END "
-        "WHEN _x < 0.5 THEN _x + _bend * (0.0625 - (_x - 0.25) * (_x - 0.25)) ELSE _x - _bend * (0.0625 - (_x - 0.75) * (_x - 0.75)) END",
-    ),
-    ("_out", "floor(0.5 + 255.0 * pow(greatest(0.0, least(1.0, _y)), _g))"),
+    ("_k", "greatest(-0.5, least(0.5, contrast)) / 2.0"),
+    ("_d", "abs(v_in / 255.0 - 0.5)"),
+    ("_rise", "CASE WHEN _k < 0 THEN _d + 3.0 * _k * _d * (0.5 - _d) ELSE (_d - 8.0 * _k * pow(greatest(0.0, _d - (1.0 - _k) / 4.0) / (1.0 + _k), 2)) / (1.0 - _k) END"),
+    ("_y", "greatest(0.0, least(1.0, 0.5 + CASE WHEN v_in < 128 THEN -_rise ELSE _rise END))"),
+    ("_out", "floor(0.5 + 255.0 * pow(_y, greatest(0.1, least(10.0, gamma))))"),
 ]
 
 
@@ -165,19 +152,12 @@ def curve_steps(c: str) -> list[tuple[str, str]]:
     ]
 
 
-#: gain between black and white point at ``v_in``, as named steps (plain SQL); inputs black_pt, white_pt, steepness
+#: gain between black and white point at ``v_in`` (plain SQL); inputs black_pt, white_pt, steepness
 DENSITY_GAIN = [
-    ("_pow", "greatest(0.0, least(1.0, 1.0 - 0.98 * steepness))"),
-    ("_m", "(black_pt + white_pt) / 2.0"),
-    ("_eb", "black_pt + 0.6 * (_m - black_pt)"),
-    ("_ew", "white_pt - 0.6 * (white_pt - _m)"),
-    ("_f", "v_in / 255.0"),
-    (
-        "_gain",
-        "CASE WHEN white_pt <= black_pt OR _f < black_pt OR _f >= white_pt THEN 0 "
-        "WHEN _f < _eb THEN floor(0.8 * 16384.0 * pow((_f - black_pt) / nullif(_eb - black_pt, 0.0), _pow) + 0.5) "
-        "WHEN _f > _ew THEN floor(0.8 * 16384.0 * (1.0 - (_f - _ew) / nullif(white_pt - _ew, 0.0)) + 0.5) ELSE 13107 END",
-    ),
+    ("_t", "(v_in / 255.0 - black_pt) / nullif(white_pt - black_pt, 0.0)"),
+    ("_inside", "white_pt > black_pt AND v_in / 255.0 >= black_pt AND v_in / 255.0 < white_pt"),
+    ("_up", "pow(greatest(0.0, _t) / 0.3, greatest(0.0, least(1.0, 1.0 - 0.98 * steepness)))"),
+    ("_gain", "CASE WHEN _inside THEN floor(0.8 * 16384.0 * least(1.0, _up, (1.0 - _t) / 0.3) + 0.5) ELSE 0 END"),
 ]
 
 _cg, _cgl = chain("cgv", CONTRAST_GAMMA, "cg")
