@@ -194,7 +194,7 @@ def fingerprint_links(fingerprints: DataFrame, budget: int = BUDGET) -> DataFram
     """Links (a, b) that join distinct fingerprints of at most ``budget`` differing bits into classes. ``fingerprints``: column fp, distinct, stored."""
     count = fingerprints.count()
     orders = block_tables(count, budget)
-    top = chosen_bits(orders[0], budget)
+    top = min(chosen_bits(o, budget) for o in orders)  # blocks differ in width; flips of a chosen bit do no harm
     keyed = fingerprints.select(F.posexplode(F.array(*[_reordered(o, "fp") for o in orders])).alias("t", "key"))
     widths = F.array(*[F.lit(chosen_bits(o, budget)) for o in orders])
     keyed = keyed.withColumn("node", F.call_function("shiftrightunsigned", F.col("key"), F.lit(BITS) - widths[F.col("t")]))

@@ -217,6 +217,20 @@ def test_simhash(docs, none, monkeypatch, subtrie):
     assert simhash.simhash_components(none).count() == 0
 
 
+def test_large_subtries_flip_every_free_bit(spark, monkeypatch):
+    orders = simhash.block_tables(1 << 24)
+    assert len({simhash.chosen_bits(o) for o in orders}) > 1
+    monkeypatch.setattr(simhash, "SUBTRIE", 1)
+    monkeypatch.setattr(simhash, "block_tables", lambda count, budget: orders)
+    first = 0x0123456789ABCDEF
+    for bits in ((20, 25, 45, 60), (0, 20, 30, 40), (9, 31, 52, 53)):
+        other = first
+        for b in bits:
+            other ^= 1 << b
+        links = simhash.fingerprint_links(spark.createDataFrame([(first,), (other,)], "fp bigint")).collect()
+        assert {frozenset((r.a, r.b)) for r in links} == {frozenset((first, other))}
+
+
 def test_trie_classes():
     rng = np.random.default_rng(0)
     for chosen in (1, 2):
