@@ -16,13 +16,15 @@ all its ids are null); an empty table gives an empty result; other columns are n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelquarry.llm import words as W
@@ -298,36 +300,54 @@ def simhash_components(docs: DataFrame, words: int = 4, budget: int = BUDGET, do
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Samples of a text for the near-duplicate stage, and shingles in each.
-SAMPLES, SAMPLE_SIZE = 12, 4
+#: Cells in which shingles are counted, to tell rare ones (a power of two).
+RARITY_BITS = 20
+#: Buckets of up to so many texts are compared pair by pair at once.
+SMALL_BUCKET = 4
+#: Members that all others of a larger bucket are compared with, in the first rounds; in the last one all that are left.
+ROUNDS = (1, 16, 1 << 31)
 
 
-def sampled_fingerprints(text: Column, words: int = 5, samples: int = SAMPLES, size: int = SAMPLE_SIZE) -> Column:
-    """(fp, samples): the text's fingerprint, and those of small samples of its shingles.
+def shingle_counts(texts: DataFrame, words: int = 5) -> np.ndarray:
+    """How many shingles of column ``text`` fall into each of the cells that the upper bits of their hash name."""
 
-    Each sample holds ``size`` shingles that are least under as many hash orders; texts with a share s of common shingles have equal samples with a
-    chance of s ** size each.
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            data, offsets = W.texts(batch.column(0))
+            for lo, hi in W.slices(offsets, W.SLICE_BYTES // 2):
+                hashes, _ = shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
+                cells, n = np.unique(hashes >> np.uint64(64 - RARITY_BITS), return_counts=True)
+                counts[cells.astype(np.int64)] += n
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "n"])
+
+    found = texts.select("text").mapInArrow(scan, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** RARITY_BITS rows
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def shingle_prefixes(text: Column, counts: Broadcast, words: int, similarity: float) -> Column:
+    """(size, tokens): number of distinct shingles, and of these the first in one order for all texts, rare cells first.
+
+    As many are given as leave fewer than a similar text must share, so two texts of ``similarity`` or more have one in common. A text without words has
+    the token 0.
     """
-    factors = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64)) for i in range(samples * size)]
 
     def scan(column: pa.Array) -> pa.Array:
         data, offsets = W.texts(column)
-        fps, keys = [np.zeros(0, np.uint64)], [np.zeros((0, samples), np.uint64)]
-        for lo, hi in W.slices(offsets, W.SLICE_BYTES // 2):
-            hashes, row = shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
-            fps.append(fingerprint_rows(hashes, row, hi - lo))
-            out = np.zeros((hi - lo, samples), np.uint64)
-            if len(hashes):
-                starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                for i, factor in enumerate(factors):
-                    turned = hashes * factor
-                    out[row[starts], i % samples] += W.mix(np.minimum.reduceat(turned ^ (turned >> np.uint64(31)), starts) + factor)
-            keys.append(out)
-        flat = np.concatenate(keys)
-        lists = W.lists(flat.ravel().view(np.int64), np.full(len(flat), samples), pa.int64())
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(fps).view(np.int64)), lists], ["fp", "samples"])
+        sizes, out, cells = [], [], counts.value
+        for i in range(len(offsets) - 1):
+            hashes, _ = shingle_hashes(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), words)
+            own = np.unique(hashes)
+            own = own[np.argsort(cells[(own >> np.uint64(64 - RARITY_BITS)).astype(np.int64)], kind="stable")]
+            sizes.append(len(own))
+            out.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-6) + 1] if len(own) else np.zeros(1, np.uint64))
+        tokens = W.lists(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64), np.array([len(x) for x in out], np.int64), pa.int64())
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), tokens], ["size", "tokens"])
 
-    return F.arrow_udf(scan, "struct<fp: bigint, samples: array<bigint>>")(text)
+    return F.arrow_udf(scan, "struct<size: int, tokens: array<bigint>>")(text)
 
 
 def shingle_sets(text: Column, words: int = 5) -> Column:
@@ -354,37 +374,70 @@ def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = BUDGET, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_links(bearers: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) that join all texts whose share of common shingles is ``similarity`` or more into classes. ``bearers``: node, text, one row per text.
+
+    Texts with a common prefix token form a bucket. In each round some members of a bucket are compared with all its members of other classes, verified
+    links merge classes, and compared members leave. A bucket is done when its members are of one class or all compared; no pair of different classes is
+    left out. A bucket first meets one member, then 16, then all that are left, those of its smaller classes first, so a large group takes no square of its size.
+    """
+    counts = bearers.sparkSession.sparkContext.broadcast(shingle_counts(bearers, words))
+    prefixes = bearers.select("node", shingle_prefixes(F.col("text"), counts, words, similarity).alias("p"))
+    prefixes = prefixes.select("node", "p.size", F.posexplode("p.tokens").alias("pos", "token"))
+    bucket = Window.partitionBy("token")
+    members = materialise(prefixes.withColumn("n", F.count("*").over(bucket)).filter("n > 1").withColumn("rank", F.row_number().over(bucket.orderBy("node"))))
+    members = members.withColumn("root", F.col("node"))
+    share = similarity / (1 + similarity)
+    links, tried = None, None
+    for most in ROUNDS:
+        first = members.filter((F.col("rank") <= F.lit(most)) | (F.col("n") <= SMALL_BUCKET))
+        first = first.select("token", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("pos").alias("pos_x"), F.col("rank").alias("rank_x"), F.col("root").alias("root_x"))
+        met = join_hot_keys(members, first, ["token"], "inner", HOT_ROWS).filter("rank > rank_x AND root <> root_x")
+        # a pair whose first common token this is can share no more than what follows it in both
+        possible = F.least(F.col("size") - F.col("pos"), F.col("size_x") - F.col("pos_x")) + 1e-6 >= share * (F.col("size") + F.col("size_x"))
+        met = met.filter(possible | ((F.col("size") == 0) & (F.col("size_x") == 0)))
+        pairs = met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        ends = materialise(pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct())
+        bodies = bearers.join(broadcast_if_small(ends, BROADCAST_NODES), F.col("node") == F.col("_node"), "left_semi")
+        sets = materialise(bodies.select("node", shingle_sets(F.col("text"), words).alias("set")))
+        both = join_hot_keys(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), ["a"], "inner", HOT_ROWS)
+        both = join_hot_keys(both, sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), ["b"], "inner", HOT_ROWS)
+        found = materialise(both.filter(F.arrow_udf(_jaccard, "double")("set_a", "set_b") >= similarity).select("a", "b"))
+        links = found if links is None else links.union(found)
+        left = members.filter((F.col("rank") > F.lit(most)) & (F.col("n") > SMALL_BUCKET)).drop("n", "rank", "root")
+        if left.isEmpty():
+            return links
+        roots = materialise(connected(links))
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        left = left.join(roots.withColumnRenamed("root", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
+        left = left.withColumn("_least", F.min("root").over(bucket)).withColumn("_most", F.max("root").over(bucket)).filter("_least < _most")
+        left = left.withColumn("_own", F.count("*").over(Window.partitionBy("token", "root"))).withColumn("n", F.count("*").over(bucket))
+        members = materialise(left.withColumn("rank", F.row_number().over(bucket.orderBy("_own", "node"))).drop("_least", "_most", "_own"))
+        if members.isEmpty():
+            return links
+    raise AssertionError
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` but one of each group of near duplicates, with all their columns; the smallest id stays.
 
-    Four of 64 bits alone find only the closest copies (about three in a hundred at a similarity of 0.8), so candidates come from the trie self-join of
-    whole fingerprints and from equal fingerprints of shingle samples. Candidates are links to the least member of what they share; each is verified by
-    the exact share of common shingles, and groups are the components of verified links.
+    Four of 64 bits find only the closest copies (about three in a hundred at a similarity of 0.8), so candidates come from common rare shingles, which no
+    similar pair can lack; each is verified by the exact share of common shingles, and groups are the components of verified links.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    facts = materialise(source.select("doc_id", "node", sampled_fingerprints(F.col("text"), words).alias("s")).select("doc_id", "node", "s.*"))
-    nodes = materialise(facts.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp"), F.first("samples").alias("samples")))
-    shared = nodes.select("node", F.posexplode("samples").alias("t", "sample")).union(nodes.select("node", F.lit(-1), "fp"))
-    heads = shared.groupBy("t", "sample").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("t", "sample", "head")
-    links = join_hot_keys(shared, heads, ["t", "sample"], "inner", HOT_ROWS).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    of_fp = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    near = fingerprint_links(materialise(of_fp.select("fp")), budget)
-    near = near.join(of_fp.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
-    links = materialise(links.union(near.select("x", "y")).distinct())
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    bearers = materialise(nodes.join(ends, "node", "left_semi").select(F.col("node").alias("_node"), F.col("least_id").alias("_least")))
-    bearer = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_least"))
-    bodies = source.join(broadcast_if_small(bearers, BROADCAST_NODES), bearer, "left_semi")
+    facts = materialise(source.select("doc_id", "node"))
+    nodes = materialise(facts.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
+    several = materialise(nodes.filter("n > 1").select(F.col("node").alias("_node"), F.col("least_id").alias("_least")))
+    bearers = source.join(broadcast_if_small(several, BROADCAST_NODES), F.col("node") == F.col("_node"), "left")
+    bearers = bearers.filter("_node IS NULL OR doc_id <=> _least").drop("_node", "_least")
     repeated = materialise(facts.groupBy("node", "doc_id").count().filter("count > 1").select(F.col("node").alias("_node"), F.col("doc_id").alias("_twice")))
     any_repeated = not repeated.isEmpty()
     if any_repeated:  # one row per text: its shingles once
         again = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_twice"))
-        bodies = bodies.join(repeated, again, "left_anti").union(bodies.join(repeated, again, "left_semi").dropDuplicates(["node"]))
-    sets = materialise(bodies.select("node", shingle_sets(F.col("text"), words).alias("set")))
-    tried = links.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-    tried = join_hot_keys(tried, sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), ["b"], "inner", HOT_ROWS)
-    verified = tried.filter(F.arrow_udf(_jaccard, "double")("set_a", "set_b") >= similarity).select("a", "b")
-    linked = connected(verified)
+        bearers = bearers.join(repeated, again, "left_anti").union(bearers.join(repeated, again, "left_semi").dropDuplicates(["node"]))
+    linked = connected(similar_links(bearers.select("node", "text"), words, similarity))
     members = linked.join(nodes.select("node", "least_id"), "node")
     stay = members.groupBy("root").agg(F.min_by("node", F.struct("least_id", "node")).alias("stay"))
     gone_nodes = members.join(stay, "root").filter("node <> stay").select("node")

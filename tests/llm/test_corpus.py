@@ -255,6 +255,40 @@ def test_near_duplicates(docs, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_independent_edits(spark):
+    rng = np.random.default_rng(11)
+    body = [f"w{i}" for i in range(300)]
+    texts = [body]
+    for n in range(100):  # each 0.84 or so to the first, 0.72 or so to each other
+        own = list(body)
+        for at in rng.choice(29, 5, replace=False):
+            own[10 * at + int(rng.integers(0, 3))] = f"e{n}"
+        texts.append(own)
+    others = [[f"v{j}" for j in rng.integers(0, 10**6, 60)] + [f"common{i}" for i in range(40)] for _ in range(100)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    share = lambda a, b: len(a & b) / len(a | b)
+    assert all(share(sets[0], s) >= 0.8 for s in sets[1:]) and sum(share(sets[i], sets[i + 1]) < 0.8 for i in range(1, 100)) > 90
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, *others])]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(101, 201)]
+
+
+def test_near_duplicates_compare_all_of_a_bucket(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(40):
+        own = [f"u{j}" for j in range(60)]
+        for at in rng.choice(60, int(rng.integers(1, 4)), replace=False):
+            own[at] = f"u{rng.integers(0, 200)}"
+        texts.append(own[: int(rng.integers(50, 61))])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    want = sorted(set(components(near).tolist()))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == want and 1 < len(want) < 40
+
+
 def test_sharding(docs, none):
     rows = sharding.shard_documents(docs, 4).collect()
     want = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in TEXTS)
