@@ -1,6 +1,8 @@
 r"""Benchmark decontamination by spaced seeds.
 
-Fixed masks pick the words of a window that are hashed and ignore the others, so an overlap is still hit when single words were replaced. Hashes
+Fixed masks pick the words of a window that are hashed and ignore the others, so an overlap is still hit when words were replaced. Every accepted overlap
+is hit: its every beginning scores above zero, so it starts with r > penalty equal words, and after its first different word at least
+2 * penalty + 1 - r more are equal; each r has its mask of 2 * penalty + 1 counted words. Hashes
 of all windows of test items and of training texts are joined; each hit names a diagonal (text position minus item position), and the texts are
 compared word by word along it. An overlap is the stretch that scores best with +1 for an equal and ``-penalty`` for a different word.
 
@@ -8,7 +10,7 @@ Training hashes first meet a bitmap of the test hashes (its size is fixed by ``B
 exactly. Candidates are written to the shared folder once; only texts with candidates meet them again.
 
 Words are ``[^\x20\x09-\x0D]+`` of the text with A-Z in lower case. Cases: null and empty texts match nothing; items of fewer than ``min_words`` words
-match nothing (too short to tell); items shorter than a mask use its beginning; equal item texts count once, under the smallest item id; repeated rows
+match nothing (too short to tell); items that may overlap in fewer words than a mask counts have a mask of their own; equal item texts count once, under the smallest item id; repeated rows
 give one result; an empty table on either side gives an empty result; other columns are not read; a null doc_id stays null.
 """
 
@@ -25,22 +27,26 @@ from pixelquarry.llm import words as W
 from pixelquarry.operators.scaling import broadcast_if_small
 from pixelquarry.session import materialise
 
-#: Places that count (1) and places that are ignored (0).
-MASKS = ("111010110111", "110110101111", "101111010111", "111101101011")
-SPAN = 12
 BITMAP_BITS = 22
 BROADCAST_ROWS = 500_000
 MIN_WORDS = 5
 HITS = "array<struct<gram: bigint, pos: int>>"
 
 
-def _seeds(short: list[int]) -> list[tuple[int, list[int]]]:
-    """(salt, places) of all masks, and of their beginnings for items of the lengths in ``short``."""
-    seeds = [(m, [i for i, x in enumerate(mask) if x == "1"]) for m, mask in enumerate(MASKS)]
+def _needed(words: int, min_matched: int) -> int:
+    """Equal words that an item of ``words`` words must share."""
+    return min(min_matched, -(-4 * words // 5))
+
+
+def _seeds(short: list[int], min_matched: int = 12, penalty: int = 4) -> list[tuple[int, list[int]]]:
+    """(salt, places that count) of all masks, and of the run of words for items of each length in ``short``."""
+    weight = 2 * penalty + 1
+    masks = ["1" * run + "0" + "1" * (weight - run) for run in range(penalty + 1, weight)] + ["1" * weight]
+    seeds = [(m, [i for i, x in enumerate(mask) if x == "1"]) for m, mask in enumerate(masks)]
     for n in sorted(short):
-        for m, mask in enumerate(MASKS[:2]):
-            places = [i for i, x in enumerate(mask[:n]) if x == "1"]
-            seeds.append((100 * n + m, places if places[-1] == n - 1 else [*places, n - 1]))
+        need = _needed(n, min_matched)
+        if need < weight:  # too short for a different word between two runs above the penalty, or that run itself
+            seeds.append((100 * n, list(range(need if n < 2 * penalty + 3 else min(need, penalty + 1)))))
     return seeds
 
 
@@ -109,8 +115,9 @@ def _overlaps(
     tests = tests.groupBy("item_text").agg(F.min("item_id").alias("item_id"))
     n_words = F.size(F.regexp_extract_all("item_text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
     tests = tests.withColumn("item", F.xxhash64("item_text")).withColumn("item_words", n_words).filter(F.col("item_words") >= min_words)
-    short = [r[0] for r in tests.filter(F.col("item_words") < SPAN).select("item_words").distinct().collect()]  # at most SPAN numbers
-    seeds = _seeds(short)
+    needed = F.least(F.lit(min_matched), F.ceil(F.col("item_words") * 4 / 5))
+    short = [r[0] for r in tests.filter(needed < 2 * penalty + 1).select("item_words").distinct().collect()]  # few lengths
+    seeds = _seeds(short, min_matched, penalty)
     scan = F.arrow_udf(lambda column: _scan(column, seeds, None), HITS)
     grams = tests.select("item", F.explode(scan("item_text")).alias("hit")).select("item", F.col("hit.gram").alias("gram"), F.col("hit.pos").alias("t_pos"))
     grams = materialise(grams)
@@ -141,7 +148,7 @@ def _overlaps(
             for t in own:
                 item = split.get(t["item_text"]) or split.setdefault(t["item_text"], words_of(t["item_text"]))
                 met = overlap(doc, item, t["diagonal"], penalty)
-                if met and met[2] >= min(min_matched, -(-4 * len(item) // 5)):
+                if met and met[2] >= _needed(len(item), min_matched):
                     found.append((t["item_id"], met[0] + t["diagonal"], met[0] + t["diagonal"] + met[1], met[0], met[2], met[2] / met[1]))
             out.append([dict(zip(("item_id", "doc_start", "doc_end", "item_start", "n_matched", "similarity"), x, strict=True)) for x in sorted(set(found), key=repr)])
         fields = [("item_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("doc_start", pa.int32()), ("doc_end", pa.int32()), ("item_start", pa.int32()), ("n_matched", pa.int32()), ("similarity", pa.float64())]

@@ -338,6 +338,31 @@ def test_decontamination(docs, none, items):
     assert decontam.contaminated(none, items).count() == 0 and decontam.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_masks_hit_every_accepted_pattern():
+    from itertools import combinations, product
+
+    def patterns(n):
+        if n <= 13:
+            return product((True, False), repeat=n)
+        return (tuple(i not in gone for i in range(n)) for k in range(4) for gone in combinations(range(n), k))
+
+    for n in [*range(5, 16), 18, 20, 24]:
+        seeds = [p for salt, p in decontam._seeds([n] if n < 12 else []) if salt < 100 or salt // 100 == n]
+        for equal in patterns(n):
+            start, stop, score = decontam.best_stretch(np.array(equal), 4)
+            matched = (score + 4 * (stop - start)) // 5
+            if matched >= min(12, -(-4 * n // 5)):
+                assert any(all(equal[at + i] for i in p) for p in seeds for at in range(n - p[-1])), (n, equal)
+
+
+def test_decontamination_of_adjacent_replaced_words(spark):
+    item = [f"w{i}" for i in range(20)]
+    body = [*item[:9], "x", "y", *item[11:]]
+    tests = spark.createDataFrame([(1, " ".join(item)), (2, "a b c d e f g h i j"), (3, "p q r s t")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "before " + " ".join(body)), (2, "x b c d e f g h i y"), (3, "p q r s x"), (4, "p q r x t")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, tests).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_decontamination_against_brute_force(spark):
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(400)]
