@@ -34,14 +34,25 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button".split())
 FURNITURE = frozenset("nav header footer aside form dialog menu".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr big strike".split())
-#: Words in class, id or role that name page furniture.
-NAMED = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|newsletter|subscribe|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|commentlist|respond|disqus|related|share|sharing|social|widget|popup|modal|complementary|contentinfo)(?:$|[^a-z])")
+#: Class, id or role tokens that name page furniture: one of these words, alone or together with words of place and form only.
+NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments commentlist respond disqus related share sharing social widget popup modal complementary contentinfo".split())
+PLACES = frozenset("site page global main top bottom left right primary secondary box bar block list area links buttons icons section wrapper wrap container inner slot unit form".split())
+#: Elements that names never make furniture of.
+WHOLE = frozenset("html body main".split())
 CHUNK = 64
 
 ARTICLE, FURNISHED, PLAIN = 1, 2, 0
 BROADCAST_PAGES = 500_000
 
 
+def names_furniture(names: str) -> bool:
+    for token in names.lower().split():
+        parts = [x for x in re.split("[-_]+", token) if x]
+        if token == "side-bar" or all(x in NAMES or x in PLACES for x in parts) and any(x in NAMES for x in parts):
+            return True
+    return False
+
+
 class _Lines(HTMLParser):
     """Lines of a page in order, as (kind, text)."""
 
@@ -68,13 +79,16 @@ class _Lines(HTMLParser):
             if self.open[at][0] == "p" or tag == "li" and self.open[at][0] == "li":
                 del self.open[at:]
         _, kind, unseen = self.open[-1]
-        names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower()
+        names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
+        named = tag not in WHOLE and names_furniture(names)
         if kind != FURNISHED:
-            if tag in FURNITURE or names and NAMED.search(names):
+            if tag in FURNITURE or named:
                 kind = FURNISHED
                 self.close_line() if tag in INLINE else None
             elif tag in ("article", "main"):
                 kind = ARTICLE
+        elif tag in ("article", "main") and not named and not any(x[0] in FURNITURE and x[0] != "form" for x in self.open):
+            kind = ARTICLE  # a wrapper's name does not reach into the article
         if any(k in ("hidden",) for k, _ in attrs):
             unseen = True
         self.open.append((tag, kind, unseen or tag in UNSEEN))

@@ -175,6 +175,17 @@ def test_extract(spark):
     assert extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_names_are_whole_tokens():
+    text = lambda html: extract.main_text(extract.page_lines(html), set())[0]
+    article = "<article><p>Body</p></article>"
+    assert text(f'<body class="single no-sidebar">{article}</body>') == "Body"
+    assert text(f'<body class="sidebar">{article}</body>') == "Body"
+    assert text(f'<div class="has-sidebar header-fixed">{article}</div>') == "Body"
+    assert text('<article class="post comments-open"><p>Body</p></article>') == "Body"
+    assert text(f'<div class="widget">Menu{article}Menu</div>') == "Body"
+    assert text(f'<aside>{article}</aside><div class="ad">Buy</div><div id="comments">nice</div><div class="cookie-notice">yes</div><p>Rest</p>') == "Rest"
+
+
 def test_common_lines_are_longest():
     rng = np.random.default_rng(3)
     for _ in range(200):
