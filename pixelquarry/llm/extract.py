@@ -2,7 +2,7 @@
 
 A page becomes lines: the text of each block element, with the place it stands in (the article, page furniture such as navigation, headers, footers,
 sidebars, notices, adverts, forms and comments, or neither). Pages of a host are ordered by URL path; each is paired with that neighbour whose path
-shares the longer beginning. The two pages' lines are aligned by a longest common subsequence. Shared lines are what the site repeats: they are deleted
+shares the longer beginning; pages of a host with equal lines are copies and stand there once. The two pages' lines are aligned by a longest common subsequence. Shared lines are what the site repeats: they are deleted
 unless the page marks them as its article, because articles of one site may share passages. Furniture that the markup names is left out in any case.
 
 Pairs come from row numbers over (host, path) and neighbours in small chunks of numbers, so a host with a third of all pages is spread over all tasks;
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pixelquarry.llm.urls import host_of, path_of
 from pixelquarry.llm.words import lists
-from pixelquarry.operators.scaling import broadcast_if_small, number_rows, shifted
+from pixelquarry.operators.scaling import broadcast_if_small, join_hot_keys, number_rows, shifted
 from pixelquarry.session import materialise
 
 #: Elements of the HTML standard.
@@ -153,10 +153,9 @@ def shared_places(own: list, other: list | None) -> list[int]:
 
 def main_text(lines: list[tuple[int, str]], shared: set[int]) -> tuple[str, int]:
     """Text of a page, and how many of its shared lines are not in it."""
-    marked = any(kind == ARTICLE for kind, _ in lines)
     kept, deleted = [], 0
     for i, (kind, text) in enumerate(lines):
-        if kind == FURNISHED or kind != ARTICLE and (marked or i in shared):
+        if kind == FURNISHED or kind != ARTICLE and i in shared:
             deleted += i in shared
         else:
             kept.append(text)
@@ -198,16 +197,20 @@ def shared_lines(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
         F.xxhash64(page_id, url, html).alias("key"), F.col(page_id).alias("page_id"), F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"),
         F.coalesce(path_of(F.col(url)), F.lit("")).alias("path"), F.arrow_udf(digests, "array<bigint>")(F.col(html)).alias("lines"),
     )
-    facts = materialise(facts)
-    near = nearest_pages(facts).filter("other IS NOT NULL")
-    lines = facts.select("key", "lines").dropDuplicates(["key"])
+    facts = materialise(facts.withColumn("same", F.xxhash64("lines")))
+    first = F.min_by(F.struct("path", "page_id", "key"), F.struct("path", F.col("page_id"), "key"))
+    firsts = materialise(facts.groupBy("host", "same").agg(first.alias("p")).select("host", "same", "p.*"))  # copies tell nothing of each other
+    near = nearest_pages(firsts).filter("other IS NOT NULL")
+    lines = facts.join(firsts.select("host", "same", "key"), ["host", "same", "key"], "left_semi").select("key", "lines").dropDuplicates(["key"])
     pairs = near.join(lines, "key").join(lines.select(F.col("key").alias("other"), F.col("lines").alias("other_lines")), "other")
 
     def common(own: pa.Array, other: pa.Array) -> pa.Array:
         found = [shared_places(a.as_py(), b.as_py()) for a, b in zip(own, other, strict=True)]
         return pa.array(found, pa.list_(pa.int32()))
 
-    return pairs.select("key", F.arrow_udf(common, "array<int>")("lines", "other_lines").alias("shared")).filter(F.size("shared") > 0)
+    found = pairs.select("key", F.arrow_udf(common, "array<int>")("lines", "other_lines").alias("shared")).filter(F.size("shared") > 0)
+    found = firsts.join(found, "key").select("host", "same", "shared")
+    return join_hot_keys(facts.select("key", "host", "same").distinct(), found, ["host", "same"], "inner").select("key", "shared")
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -175,6 +175,14 @@ def test_extract(spark):
     assert extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_unshared_lines_stay_and_copies_are_skipped(spark):
+    page = "<div>Site line</div><div><p>Body of {0}</p></div><article>Teaser</article><div>Tail</div>"
+    html = {"http://h/a/1": page.format(1), "http://h/a/2": page.format(1), "http://h/a/3": page.format(1), "http://h/b": page.format(2)}
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(html.items())], "page_id bigint, url string, html string")
+    got = {r.url: r.text for r in extract.extract_pages(pages).collect()}
+    assert got == {u: f"Body of {1 + (u == 'http://h/b')} Teaser" for u in html}
+
+
 def test_names_are_whole_tokens():
     text = lambda html: extract.main_text(extract.page_lines(html), set())[0]
     article = "<article><p>Body</p></article>"
