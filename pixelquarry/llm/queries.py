@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquarry.llm import attribution, binary, bpe, decontam, extract, licenses, quality, sharding, simhash, urls
+from pixelquarry.llm import attribution, binary, bpe, decontam, extract, licenses, quality, sentences, sharding, simhash, urls
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SHARDS = 40
 
 
@@ -70,6 +71,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "section", "n_bytes", F.col("n_tokens").cast("bigint").alias("n_tokens"), "n_crossing")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encode, decode = sentences.model_functions(spark, PIECES)
+    ids = table(spark, sf_dir, "documents").select("doc_id", encode("text").alias("ids"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return ids.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(decode("ids").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 _BLOCKED = " OR ".join(f"host = '{k[:-1]}' OR host LIKE '%.{k[:-1]}'" for k, _ in urls.LISTED)
 OP2_SQL = f"""
 WITH cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
@@ -88,6 +99,6 @@ SELECT page_id, host, path, rule, CASE
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_url_filter, op3_byte_bpe, op4_quality_rules, op5_html_extract, op6_simhash_dedup, op7_sharding, op8_decontamination,
-    op9_token_files, op10_token_counts,
+    op9_token_files, op10_token_counts, op11_sentencepiece,
 )}
 ORACLES = {"op2_url_filter": OP2_SQL}
