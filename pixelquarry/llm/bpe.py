@@ -3,6 +3,9 @@
 Two tiers: a minimal perfect hash finds whole pre-tokens that are in the vocabulary; others are merged with a heap over linked bytes, lowest rank
 and then leftmost first, in n log n steps for any length. Special tokens are not known: their spelling is ordinary text.
 
+Where the pattern is the known one, texts are cut into pieces that no pre-token spans and each distinct piece of a slice is encoded once
+(:mod:`pixelquarry.llm.pieces`). With any other pattern whole texts are encoded.
+
 The rank file is read on the driver and broadcast (its size is the vocabulary's, not the data's). Everything else happens inside one task per row.
 
 Cases: a null text is an empty one and has no tokens; null ids decode to an empty text; very long texts and very long single words are encoded
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 
@@ -24,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelquarry.llm.chunks import PieceMemory, id_bytes
+from pixelquarry.llm.pieces import PLAIN, PieceTable, byte_level_cuts, encode_column, id_lists, whole_texts
 
 _2_64 = 1 << 64
-_CODECS: dict[bytes, tuple[BytePairs, PieceMemory]] = {}
+_CODECS: dict[bytes, tuple[BytePairs, PieceTable]] = {}
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -129,13 +133,20 @@ class BytePairs:
             i = stop[i]
         return out
 
-    def pre_token(self, token: str) -> list[int]:
-        raw = token.encode()
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces; a plain word is a single pre-token."""
+        out = []
+        for piece in pieces:
+            ids = self.raw_token(piece) if PLAIN(piece) else self.encode(piece.decode())
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
+
+    def raw_token(self, raw: bytes) -> list[int]:
         slot = self.whole.find(raw)
         return [self.slot_rank[slot]] if slot >= 0 else self.merge(raw)
 
     def encode(self, text: str) -> list[int]:
-        return [i for token in self.pre_tokens(text) for i in self.pre_token(token)]
+        return [i for token in self.pre_tokens(text) for i in self.raw_token(token.encode())]
 
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.length[ids]
@@ -145,14 +156,14 @@ class BytePairs:
         return self.blob[np.repeat(self.start[ids] - ends + lengths, lengths) + np.arange(ends[-1])].tobytes()
 
 
-def _codec(content: bytes, pattern: str, whole: PerfectHash) -> tuple[BytePairs, PieceMemory]:
-    """One codec for each worker and vocabulary."""
+def _codec(content: bytes, pattern: str, whole: PerfectHash) -> tuple[BytePairs, PieceTable]:
+    """One codec and one table of pieces for each worker and vocabulary."""
     key = hashlib.sha256(content + pattern.encode()).digest()
     if key not in _CODECS:
         codec = BytePairs(read_ranks(content), pattern, whole)
-        whole_piece = lambda piece: id_bytes(codec.encode(piece))
-        word = (lambda piece: id_bytes(codec.pre_token(piece))) if pattern == public_tokenizers.PATTERN else whole_piece
-        _CODECS[key] = codec, PieceMemory(word, whole_piece)
+        known = pattern == public_tokenizers.PATTERN
+        whole_text = lambda found: [np.asarray(codec.encode(x.decode()), "<u4").tobytes() for x in found]
+        _CODECS[key] = codec, PieceTable(codec.encode_pieces if known else whole_text)
     return _CODECS[key]
 
 
@@ -161,13 +172,10 @@ def codec_functions(spark, rank_file: str, pattern: str) -> tuple[Callable, Call
     with open(rank_file, "rb") as f:
         content = f.read()
     shared = spark.sparkContext.broadcast((content, pattern, PerfectHash(list(read_ranks(content)))))
+    cut = byte_level_cuts if pattern == public_tokenizers.PATTERN else whole_texts
 
     def encode(column: pa.Array) -> pa.Array:
-        memory = _codec(*shared.value)[1]
-        ids = [memory.ids(x.as_py()).view("<i4") for x in column]
-        offsets = np.zeros(len(ids) + 1, np.int32)
-        np.cumsum([len(x) for x in ids], out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
+        return id_lists(*encode_column(column, cut, _codec(*shared.value)[1]))
 
     def decode(column: pa.Array) -> pa.Array:
         codec = _codec(*shared.value)[0]

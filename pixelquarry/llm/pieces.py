@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pixelquarry.llm.words import slices, texts
 
 #: Text bytes worked on at once (a longer text is a slice of its own).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Bytes that the remembered pieces of a worker take, all told.
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 48 << 20
 
 #: White space of more than one byte (Unicode White_Space; without the separators 1C to 1F).
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
