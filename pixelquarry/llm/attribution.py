@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelquarry.llm.binary import library_memory
+from pixelquarry.llm.binary import ROWS, library
 
 RULES = ("majority", "first", "last", "split")
 SECTION = "struct<name: string, start: int, stop: int>"
 COUNTS = "array<struct<section: string, n_bytes: bigint, n_tokens: double, n_crossing: bigint>>"
-_LENGTHS: dict[int, np.ndarray] = {}
 
 
 def allocate(ends: np.ndarray, starts: np.ndarray, stops: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -77,24 +76,19 @@ def token_counts(docs: DataFrame, tokenizer_file: str, text: Column, sections: C
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        memory, tokenizer = library_memory(shared.value)
-        key = id(tokenizer)
-        if key not in _LENGTHS:
-            vocabulary = tokenizer.get_vocab()
-            _LENGTHS[key] = np.zeros(max(vocabulary.values()) + 1, np.int64)
-            for token, i in vocabulary.items():  # each character of a byte-level token stands for one byte
-                _LENGTHS[key][i] = len(token)
+        encoder = library(shared.value)
         out = []
-        for at in range(0, len(texts), 256):
-            own = texts.slice(at, 256).to_pylist()
-            for body, parts in zip(own, spans.slice(at, 256).to_pylist(), strict=True):
-                ids = memory.ids(body)
+        for at in range(0, len(texts), ROWS):
+            column = texts.slice(at, ROWS)
+            ids, sizes = encoder.ids(column)
+            lengths, stop = encoder.lengths[ids], np.cumsum(sizes)
+            for body, parts, lo, hi in zip(column.to_pylist(), spans.slice(at, ROWS).to_pylist(), stop - sizes, stop, strict=True):
                 parts = parts or []
                 raw = np.frombuffer((body or "").encode(), np.uint8)
                 place = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # byte of each code point
                 cut = np.array([[p["start"], p["stop"]] for p in parts], np.int64).reshape(-1, 2).clip(0, len(place) - 1)
                 starts, stops = place[cut[:, 0]], place[cut[:, 1]]
-                counts, crossing = allocate(np.cumsum(_LENGTHS[key][ids]), starts, stops, rule)
+                counts, crossing = allocate(np.cumsum(lengths[lo:hi]), starts, stops, rule)
                 out.append([{"section": p["name"], "n_bytes": int(b - a), "n_tokens": float(c), "n_crossing": int(x)} for p, a, b, c, x in zip(parts, starts, stops, counts, crossing, strict=True)])
         return pa.array(out, pa.list_(pa.struct([("section", pa.string()), ("n_bytes", pa.int64()), ("n_tokens", pa.float64()), ("n_crossing", pa.int64())])))
 

@@ -7,13 +7,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pixelquarry.llm import attribution, binary, bpe, chunks, decontam, extract, licenses, quality, queries, sharding, simhash, urls
+from pixelquarry.llm import attribution, binary, bpe, decontam, extract, licenses, pieces, quality, queries, sharding, simhash, urls
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, labels string, key string, node string, fp string, _quality string"
 LEAK = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
@@ -106,7 +107,6 @@ def test_url_filter_passes_every_listed_key(spark):
 RANKS = bpe.read_ranks(open(queries.RANKS, "rb").read())
 TIK = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 LIBRARY = Tokenizer.from_file(queries.TOKENIZER)
-LIBRARY.encode_special_tokens = True
 
 
 def test_bpe(docs, none):
@@ -120,12 +120,20 @@ def test_bpe(docs, none):
 
 def test_pieces_of_every_character():
     codec = bpe.BytePairs(RANKS, public_tokenizers.PATTERN)
-    word = lambda p: chunks.id_bytes(codec.pre_token(p))
-    memory = chunks.PieceMemory(word, lambda p: chunks.id_bytes(codec.encode(p)))
-    for at in [*range(0x3000), *range(0x3000, 0x20000, 37)]:
-        if not 0xD800 <= at < 0xE000:
-            text = f"a{chr(at)}1 {chr(at)}{chr(at)}b\n{chr(at)}"
-            assert memory.ids(text).tolist() == TIK.encode_ordinary(text)
+    table = pieces.PieceTable(codec.encode_pieces, remembered_bytes=20_000)
+    chars = [chr(at) for at in [*range(0x3100), *range(0x3100, 0x20000, 37)] if not 0xD800 <= at < 0xE000]
+    texts = ["", *(f"a{c}1 {c}{c}b\n{c}" for c in chars), *(f"x.{c} \u3000{c}, \xa0 {c}{c}\u2028\u2028 " for c in chars), ""]
+    ids, counts = pieces.encode_column(pa.array([*texts, None]), pieces.byte_level_cuts, table, slice_bytes=1000)
+    want = [TIK.encode_ordinary(t) for t in texts] + [[]]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
+def test_other_patterns_encode_whole_texts(spark):
+    pattern = "(?s)..?"
+    texts = ["a bcd", "x", "", "two  words\n"]
+    library = tiktoken.Encoding("pairs", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+    rows = bpe.encode_texts(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), queries.RANKS, pattern).collect()
+    assert {r.i: r.ids for r in rows} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
 
 
 def test_perfect_hash_is_minimal():
