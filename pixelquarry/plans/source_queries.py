@@ -8,7 +8,7 @@ from pixelquarry.plans import views
 from pixelquarry.plans.registry import Registry
 from pixelquarry.session import shared_folder
 from pixelquarry.sources import exif_bytes, param_store
-from pixelquarry.streaming import watch
+from pixelquarry.streaming import state, watch
 
 R = Registry()
 
@@ -77,30 +77,34 @@ def param_store_write(s, d):
 
 # --- streams ---------------------------------------------------------------------------------
 
-PARTS = 3
+SLICES = 3
 
 
 def event_stream(s, d):
-    """The file events as a stream of three files in time order, one per micro-batch."""
+    """The file events as a stream of many files in shuffled order: a file has events of one slice of time and late ones of the slice before.
+
+    Returns (stream, its folder, the watermark's delay that covers this). A last file holds one row past all times, so that the watermark passes all events.
+    """
     base = f"{shared_folder(s)}/events-{uuid.uuid4().hex}"
     events = views.file_events(s, d)
-    low, high = events.selectExpr("min(ts)", "max(ts)").first()
-    for i in range(PARTS):
-        start, end = low + (high - low) * i / PARTS, low + (high - low) * (i + 1) / PARTS
-        part = events.filter((F.col("ts") >= F.lit(start)) & ((F.col("ts") < F.lit(end)) if i < PARTS - 1 else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), base
-
-
-def _run(s, d, start, schema):
-    stream, base = event_stream(s, d)
-    out = f"{base}/out"
-
-    def sink(rows, batch_id):
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    start(stream, base, sink).awaitTermination()
-    return s.read.schema(schema).parquet(f"{out}/batch=*")
+    t = state.micros(events)
+    low, high = events.select(F.min(t), F.max(t)).first()
+    step = (high - low) // SLICES + 1
+    arrives = F.floor((t - low) / step) + F.pmod(F.xxhash64("event_id"), F.lit(2))
+    for i in range(SLICES + 1):
+        events.filter(arrives == i).repartition(F.xxhash64("event_id")).write.mode("append").parquet(f"{base}/in")
+    end = events.limit(1).withColumns({c: F.lit("") for c in ("path", "dir", "kind")}).withColumn("event_id", F.lit(-1).cast("bigint"))
+    end = end.withColumn("ts", F.expr(f"timestampadd(MICROSECOND, {high + 3 * step}, TIMESTAMP_NTZ'1970-01-01 00:00:00')"))
+    end.select(events.columns).write.mode("append").parquet(f"{base}/in")
+    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 16).parquet(f"{base}/in")
+    return stream, base, f"{2 * step // 1000 + 1} milliseconds"
+
+
+def run_stream(rows, base):
+    """All rows a stream gives until its input is used up."""
+    writer = rows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{base}/out").filter("event_id >= 0")
 
 
 _CHANGED = """SELECT event_id, path FROM (SELECT *, lag(mtime) OVER (PARTITION BY path ORDER BY ts, event_id) AS prev FROM file_events) WHERE prev IS NULL OR prev <> mtime"""
@@ -108,11 +112,8 @@ _CHANGED = """SELECT event_id, path FROM (SELECT *, lag(mtime) OVER (PARTITION B
 
 @R.add("watch_modified", _CHANGED, "file_events")
 def watch_modified(s, d):
-    def start(stream, base, sink):
-        log = watch.ChangeLog(s, f"{base}/seen", watch.SEEN_LOG, "path", order=watch.EVENT_ORDER)
-        return watch.watch_modified(stream, log, sink, f"{base}/cp")
-
-    return _run(s, d, start, views.file_events(s, d).schema).select("event_id", "path")
+    stream, base, delay = event_stream(s, d)
+    return run_stream(state.modified_stream(stream, delay), base)
 
 
 R.add("watch_modified_batch", _CHANGED, "file_events")(lambda s, d: watch.changed_events(views.file_events(s, d)).select("event_id", "path"))
@@ -127,19 +128,31 @@ R.add("throttle_changes", _THROTTLED, "file_events")(
 
 @R.add("throttle_changes_stream", _THROTTLED, "file_events")
 def throttle_changes_stream(s, d):
-    def start(stream, base, sink):
-        log = watch.ChangeLog(s, f"{base}/passed", "dir string, ts timestamp_ntz", "dir")
-        return watch.watch_throttled(stream, log, sink, f"{base}/cp", THROTTLE_TEST_MS)
-
-    return _run(s, d, start, views.file_events(s, d).schema).select("event_id", "dir")
+    stream, base, delay = event_stream(s, d)
+    return run_stream(state.throttled_stream(stream, THROTTLE_TEST_MS, delay), base)
 
 
 @R.add("catalog_upsert_stream", """SELECT path, dir, length, strftime(mtime, '%Y-%m-%d %H') AS hour FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS rn FROM file_events) WHERE rn = 1 AND kind <> 'deleted'""", "file_events")
 def catalog_upsert_stream(s, d):
-    stream, base = event_stream(s, d)
-    log = watch.ChangeLog(s, f"{base}/catalog", watch.CATALOG_LOG, "path", order=watch.EVENT_ORDER)
-    watch.upsert_catalog(stream, log, f"{base}/cp").awaitTermination()
-    return watch.current_catalog(log).select("path", "dir", "length", F.date_format("mtime", "yyyy-MM-dd HH").alias("hour"))
+    stream, base, delay = event_stream(s, d)
+    run_stream(state.catalog_stream(stream, delay), base)
+    return state.read_catalog(s, f"{base}/cp").filter("path <> ''").select("path", "dir", "length", F.date_format("mtime", "yyyy-MM-dd HH").alias("hour"))
+
+
+_PAIRS = f"""WITH d AS (SELECT * FROM moves WHERE kind = 'deleted'), c AS (SELECT * FROM moves WHERE kind = 'created'),
+ p AS (SELECT d.path AS old_path, c.path AS new_path, d.event_id AS deleted_id, c.event_id AS created_id, d.ts AS d_ts, c.ts AS c_ts, abs(epoch_us(d.ts) - epoch_us(c.ts)) AS apart
+  FROM d JOIN c USING (length, mtime) WHERE abs(epoch_us(d.ts) - epoch_us(c.ts)) <= {watch.RENAME_MS * 1000}),
+ pairs AS (SELECT old_path, new_path, deleted_id, created_id FROM (SELECT *, row_number() OVER (PARTITION BY deleted_id ORDER BY apart, c_ts, created_id) AS rd,
+  row_number() OVER (PARTITION BY created_id ORDER BY apart, d_ts, deleted_id) AS rc FROM p) WHERE rd = 1 AND rc = 1 AND old_path <> new_path)"""
+R.add("catalog_renames", f"{_PAIRS} SELECT * FROM pairs", "moves")(lambda s, d: watch.renames(views.moves(s, d)))
+R.add("catalog_entries", f"""{_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)},
+ lives AS (SELECT *, last_value(CASE WHEN kind = 'created' THEN event_id END IGNORE NULLS) OVER (PARTITION BY path ORDER BY ts, event_id) AS life FROM moves),
+ links AS (SELECT created_id AS life, l.life AS before FROM pairs JOIN lives l ON l.event_id = deleted_id WHERE l.life IS NOT NULL AND l.life <> created_id),
+ walk AS (SELECT life, before, 1 AS hops FROM links UNION ALL SELECT w.life, k.before, hops + 1 FROM walk w JOIN links k ON k.life = w.before),
+ first AS (SELECT life, max_by(before, hops) AS entry_id, max(hops) AS renamed FROM walk GROUP BY life),
+ newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS rn FROM lives) WHERE rn = 1 AND kind <> 'deleted')
+ SELECT coalesce(entry_id, n.life, event_id) AS entry_id, path, length, coalesce(renamed, 0) AS renamed FROM newest n LEFT JOIN first USING (life)""", "moves")(
+    lambda s, d: watch.entries(views.moves(s, d)))
 
 
 def _watched(s, d):

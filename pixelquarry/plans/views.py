@@ -228,6 +228,26 @@ def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are created once and renamed three times, each time by a deletion and a creation some milliseconds apart; some too far apart, some backwards."""
+    return (
+        table(spark, sf_dir, "events")
+        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(6))))
+        .selectExpr(
+            "event_id * 7 + step AS event_id", "concat('/photos/', user_id % 20) AS dir",
+            "concat('/photos/', user_id % 20, '/F', event_id, '-', (step + 1) div 2, '.jpg') AS path",
+            "IF(step % 2 = 0, 'created', 'deleted') AS kind",
+            "event_id AS file", "step", "ts", "date_trunc('HOUR', ts) AS hour", "cast(floor(value * 10) AS bigint) AS length",
+        )
+        # deletion k at k seconds, its creation after it by up to 399 ms or, for every fifth file, before it
+        .selectExpr(
+            "event_id", "dir", "IF(kind = 'deleted', replace(path, concat('-', (step + 1) div 2), concat('-', (step - 1) div 2)), path) AS path", "kind",
+            "timestampadd(MILLISECOND, cast(((step + 1) div 2) * 1000 + IF(step % 2 = 0 AND step > 0, IF(file % 5 = 0, -1, 1) * ((file * 37 + step) % 400), 0) AS int), ts) AS ts",
+            "cast(hour AS timestamp_ntz) AS mtime", "length",
+        )
+    )
+
+
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw ``key=value`` lines of three layers for one profile per customer."""
     return (
@@ -340,6 +360,13 @@ DUCK: dict[str, str] = {
   CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'written' END AS kind,
   ts, date_trunc('hour', ts) AS mtime, floor(value * 1000)::BIGINT AS length
  FROM (SELECT *, '/photos/' || (user_id % {FOLDERS}) AS dir FROM events)""",
+    "moves": """
+ SELECT event_id * 7 + step AS event_id, '/photos/' || (user_id % 20) AS dir,
+  '/photos/' || (user_id % 20) || '/F' || event_id || '-' || (CASE WHEN step % 2 = 0 THEN (step + 1) // 2 ELSE (step - 1) // 2 END) || '.jpg' AS path,
+  CASE WHEN step % 2 = 0 THEN 'created' ELSE 'deleted' END AS kind,
+  ts + to_milliseconds((((step + 1) // 2) * 1000 + CASE WHEN step % 2 = 0 AND step > 0 THEN (CASE WHEN event_id % 5 = 0 THEN -1 ELSE 1 END) * ((event_id * 37 + step) % 400) ELSE 0 END)::BIGINT) AS ts,
+  date_trunc('hour', ts) AS mtime, floor(value * 10)::BIGINT AS length
+ FROM (SELECT *, unnest(range(7)) AS step FROM events)""",
     "settings": """
  SELECT c_custkey AS profile, line_no, CASE WHEN line_no <= 4 THEN 'default' WHEN line_no <= 7 THEN 'global' ELSE 'user' END AS layer,
   CASE line_no WHEN 1 THEN 'Cores=2' WHEN 2 THEN 'Gamma = 1.0' WHEN 3 THEN 'AutoContrast=true' WHEN 4 THEN 'Language=en'

@@ -1,8 +1,7 @@
-"""Watching folders with Structured Streaming.
+"""Watching folders: batch forms of the change operators, and streams of new files.
 
-State that has to survive a micro-batch lives in a :class:`ChangeLog`: every
-batch writes only what it changed, under its own batch number. Writing a batch
-again replaces it, so a restarted query leaves the same log.
+The stream forms, with Spark's keyed state and timers, are in :mod:`pixelquarry.streaming.state`. The batch forms give the same events and spread even a
+single busy folder or path over many tasks.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelquarry.functions import text
@@ -19,60 +18,12 @@ from pixelquarry.functions.formats import supported_endings
 from pixelquarry.operators.scaling import CHUNK_ROWS, number_rows, shifted
 from pixelquarry.session import materialise
 from pixelquarry.sources.files import FILE_SCHEMA
+from pixelquarry.streaming.state import micros
 
 THROTTLE_MS = 500
 SETTLE_MS = 250
-EVENT_ORDER = ("ts", "event_id")
-SEEN_LOG = "path string, mtime timestamp_ntz, ts timestamp_ntz, event_id bigint"
-
-
-class ChangeLog:
-    """Newest value per key over batches of changes.
-
-    A batch is one Parquet folder. Every ``compact_every`` batches the state so
-    far is folded into a snapshot, so a look-up reads one snapshot and at most
-    that many batches however long the stream has run.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str, compact_every: int = 50, order: Sequence[str] = ()):
-        """``order``: columns by which the newest row of a key is chosen before the batch counts, so a late batch with older events loses."""
-        self.order = list(order)
-        self.spark, self.folder, self.schema, self.key, self.compact_every = spark, folder.rstrip("/"), schema, key, compact_every
-
-    def write(self, batch_id: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
-        if (batch_id + 1) % self.compact_every == 0:
-            self.compact(batch_id + 1)
-
-    def _finished(self, kind: str) -> list[int]:
-        """Numbers of the completely written folders of a kind."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}=*/_SUCCESS")
-        found = pattern.getFileSystem(conf).globStatus(pattern) or []
-        return sorted(int(str(f.getPath().getParent().getName()).split("=")[1]) for f in found)
-
-    def _rows(self, kind: str, number: int, rank: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{kind}={number}").withColumn("_rank", F.lit(rank))
-
-    def current(self, before: int | None = None) -> DataFrame:
-        """Newest row of each key, optionally only from batches before one."""
-        done = [b for b in self._finished("batch") if before is None or b < before]
-        shots = [n for n in self._finished("snapshot") if before is None or n <= before]
-        start = shots[-1] if shots else 0
-        parts = [self._rows("snapshot", start, -1)] if shots else []
-        parts += [self._rows("batch", b, b) for b in done if b >= start]
-        if not parts:
-            return self.spark.createDataFrame([], self.schema)
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        values = [c for c in rows.columns if c not in (self.key, "_rank")]
-        newest = rows.groupBy(self.key).agg(F.max_by(F.struct(*values), F.struct(*self.order, "_rank")).alias("_v"))
-        return newest.select(self.key, "_v.*")
-
-    def compact(self, before: int) -> None:
-        """Fold all batches before ``before`` into a snapshot; writing it again gives the same rows."""
-        self.current(before=before).write.mode("overwrite").parquet(f"{self.folder}/snapshot={before}")
+#: Chunk tables that one task chains at a time.
+FAN = 32
 
 
 def watch_folder(spark: SparkSession, folder: str, endings: Iterable[str] | None = None) -> DataFrame:
@@ -126,20 +77,6 @@ def changed_events(events: DataFrame, last_seen: DataFrame | None = None) -> Dat
     return near.filter("_before IS NULL OR _before <> mtime").drop("_before", "pos")
 
 
-def last_times(events: DataFrame) -> DataFrame:
-    return events.groupBy("path").agg(F.max_by(F.struct("mtime", "ts", "event_id"), F.struct("ts", "event_id")).alias("_v")).select("path", "_v.*")
-
-
-def watch_modified(events: DataFrame, log: ChangeLog, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Run a stream of listing events through :func:`changed_events`, batch after batch."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        sink(changed_events(batch, log.current(before=batch_id)), batch_id)
-        log.write(batch_id, last_times(batch))
-
-    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 # --- throttle --------------------------------------------------------------------------------
 
 def _jumps(times: np.ndarray, wait: int) -> np.ndarray:
@@ -165,14 +102,28 @@ def _chunk_exits(pdf: pd.DataFrame, wait: int) -> pd.DataFrame:
     return out.assign(dir=pdf["dir"].iloc[0], chunk=pdf["chunk"].iloc[0])[["dir", "chunk", "start", "exit"]]
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk the chunks of a folder in order: the time until which each chunk is blocked on entry."""
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One table for neighbouring chunks: the exit that follows from each entry through all of them."""
+    tables = [(part["start"].to_numpy(), part["exit"].to_numpy()) for _, part in pdf.sort_values(["chunk", "start"]).groupby("chunk", sort=True)]
+    starts, exits = tables[0]
+    for later, after in tables[1:]:
+        at = np.searchsorted(later, exits, side="left")
+        # a block that outlasts a chunk passes nothing in it and stays as it is
+        through = np.where(at < len(later), after[np.minimum(at, len(later) - 1)], exits)
+        rest = later > starts[-1]  # entries that no event of the chunks before takes
+        starts, exits = np.append(starts, later[rest]), np.append(through, after[rest])
+        keep = np.append(exits[1:] != exits[:-1], True)
+        starts, exits = starts[keep], exits[keep]
+    return pd.DataFrame({"start": starts, "exit": exits}).assign(dir=pdf["dir"].iloc[0], chunk=pdf["up"].iloc[0])[["dir", "chunk", "start", "exit"]]
+
+
+def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The time until which each of a few neighbouring chunks is blocked on entry, from that of the first."""
     free = int(pdf["free"].iloc[0])
     rows = []
     for chunk, part in pdf.sort_values(["chunk", "start"]).groupby("chunk", sort=True):
         rows.append((chunk, free))
         hit = part[part["start"] >= free]
-        # a block that outlasts the chunk passes nothing in it and stays as it is
         free = int(hit["exit"].iloc[0]) if len(hit) else free
     return pd.DataFrame(rows, columns=["chunk", "free"]).assign(dir=pdf["dir"].iloc[0])[["dir", "chunk", "free"]]
 
@@ -188,66 +139,104 @@ def _accepted(pdf: pd.DataFrame, wait: int) -> pd.DataFrame:
     return pdf.iloc[picks][["event_id"]]
 
 
-def _micros(df: DataFrame) -> Column:
-    """Microseconds of ``ts``; a time without zone is counted as it stands, whatever the session's zone."""
-    if dict(df.dtypes)["ts"] == "timestamp_ntz":
-        return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    return F.unix_micros("ts")
-
-
-def throttle(events: DataFrame, wait_ms: int = THROTTLE_MS, last_passed: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def throttle(events: DataFrame, wait_ms: int = THROTTLE_MS, last_passed: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS, fan: int = FAN) -> DataFrame:
     """Per folder, pass an event and then stay silent for ``wait_ms``. Returns the passed events.
 
     Whether an event passes depends on the one that passed before it, but only
     through the time until which that one blocks. A folder is cut into chunks
     of bounded size; each chunk tabulates which exit time follows from which
-    entry, the short tables are chained per folder, and each chunk then picks
-    its events. ``last_passed`` (``dir, ts``) carries state between batches.
+    entry. These step functions are composed as a tree, ``fan`` neighbours at a
+    time, and entry times go down the same tree (a parallel prefix), so no task
+    meets more than ``fan`` short tables however many chunks a folder has. Each
+    chunk then picks its events. ``last_passed`` (``dir, ts``) carries state
+    between batches.
     """
     wait = wait_ms * 1000
-    rows = events.select("event_id", "dir", "ts", _micros(events).alias("t"))
+    rows = events.select("event_id", "dir", "ts", micros(events).alias("t"))
     if last_passed is not None:
-        known = last_passed.select("dir", (_micros(last_passed) + wait).alias("free"))
+        known = last_passed.select("dir", (micros(last_passed) + wait).alias("free"))
         rows = rows.join(known, "dir", "left").filter("free IS NULL OR t >= free").drop("free")
     numbered = number_rows(rows, ["dir"], [F.col("ts"), F.col("event_id")])
     chunks = numbered.selectExpr("dir", "event_id", "pos", "t", f"(pos - 1) div {chunk_rows} AS chunk")
-    exits = chunks.groupBy("dir", "chunk").applyInPandas(lambda p: _chunk_exits(p, wait), "dir string, chunk bigint, start bigint, exit bigint")
-    entry = exits.withColumn("free", F.lit(-(1 << 62)).cast("bigint"))
-    blocked = entry.groupBy("dir").applyInPandas(_chain, "dir string, chunk bigint, free bigint")
+    table, entry = "dir string, chunk bigint, start bigint, exit bigint", "dir string, chunk bigint, free bigint"
+    levels = [materialise(chunks.groupBy("dir", "chunk").applyInPandas(lambda p: _chunk_exits(p, wait), table))]
+    last = levels[0].agg(F.coalesce(F.max("chunk"), F.lit(0))).first()[0]
+    while last > 0:
+        up = levels[-1].withColumn("up", F.expr(f"chunk div {fan}"))
+        levels.append(materialise(up.groupBy("dir", "up").applyInPandas(_compose, table)))
+        last //= fan
+    blocked = levels.pop().select("dir", "chunk").distinct().withColumn("free", F.lit(-(1 << 62)).cast("bigint"))
+    for level in reversed(levels):
+        above = blocked.withColumnRenamed("chunk", "up")
+        blocked = level.withColumn("up", F.expr(f"chunk div {fan}")).join(above, ["dir", "up"]).groupBy("dir", "up").applyInPandas(_entries, entry)
     picked = chunks.join(blocked, ["dir", "chunk"]).groupBy("dir", "chunk").applyInPandas(lambda p: _accepted(p, wait), "event_id bigint")
     return events.join(picked, "event_id", "left_semi")
 
 
-def watch_throttled(events: DataFrame, log: ChangeLog, sink: Callable[[DataFrame, int], None], checkpoint: str, wait_ms: int = THROTTLE_MS):
-    """Throttle a stream of notifications; the last passed time of each folder is kept in the log."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        passed = throttle(batch, wait_ms, log.current(before=batch_id))
-        sink(passed, batch_id)
-        log.write(batch_id, passed.groupBy("dir").agg(F.max("ts").alias("ts")))
-
-    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-# --- catalog upkeep --------------------------------------------------------------------------
-
-CATALOG_LOG = "path string, dir string, mtime timestamp_ntz, length bigint, deleted boolean, ts timestamp_ntz, event_id bigint"
+# --- renames ---------------------------------------------------------------------------------
 
+RENAME_MS = 250
+#: Window of time, in multiples of the wait, in which files of one identity meet.
+_REACH = 64
 
-def net_changes(events: DataFrame) -> DataFrame:
-    """Last event of each path as one catalog change; a deletion is kept as a mark."""
-    newest = events.groupBy("path").agg(F.max_by(F.struct("dir", "mtime", "length", "kind", "ts", "event_id"), F.struct("ts", "event_id")).alias("_v"))
-    return newest.select("path", "_v.dir", F.col("_v.mtime").cast("timestamp_ntz").alias("mtime"), "_v.length", (F.col("_v.kind") == "deleted").alias("deleted"), F.col("_v.ts").cast("timestamp_ntz").alias("ts"), "_v.event_id")
 
+def renames(events: DataFrame, within_ms: int = RENAME_MS, identity: Sequence[str] = ("length", "mtime")) -> DataFrame:
+    """Deletions and creations of the same file within ``within_ms``, paired as renames: old_path, new_path, deleted_id, created_id.
 
-def upsert_catalog(events: DataFrame, log: ChangeLog, checkpoint: str):
-    """Keep a catalog log current from a stream of file events."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        log.write(batch_id, net_changes(batch))
-
-    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current_catalog(log: ChangeLog) -> DataFrame:
-    return log.current().filter("NOT deleted").drop("deleted", "ts", "event_id")
+    A deletion goes with the nearest creation of its ``identity`` before or after it, if that one's nearest deletion is this (of equally near ones the
+    earlier, then the smaller id). Identities meet in windows of time that overlap by the wait, so a common one (empty files, say) is spread over its span.
+    """
+    wait = within_ms * 1000
+    rows = events.filter("kind IN ('deleted', 'created')").select("path", "event_id", F.col("kind").alias("kind"), micros(events).alias("t"), *[F.col(c).alias(f"_i{n}") for n, c in enumerate(identity)])
+    span = wait * _REACH
+    home = F.expr(f"floor(t / {span})")
+    near = F.array_distinct(F.array(home, F.expr(f"floor((t - {wait}) / {span})"), F.expr(f"floor((t + {wait}) / {span})")))
+    spread = rows.withColumn("_home", home).withColumn("_part", F.explode(near))
+    key = [f"_i{n}" for n in range(len(identity))]
+    before = Window.partitionBy(*key, "_part").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*key, "_part").orderBy("t", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    other = F.struct("t", "event_id", "path")
+    for kind in ("deleted", "created"):
+        # of several at one time the smallest id: the first that follows, and before the row the first of the last time
+        spread = spread.withColumn(f"_{kind}_after", F.first(F.when(F.col("kind") == kind, other), ignorenulls=True).over(after))
+        latest = F.max(F.when(F.col("kind") == kind, F.struct("t", (-F.col("event_id")).alias("n"), "path"))).over(before)
+        spread = spread.withColumn(f"_{kind}_before", latest)
+
+    def nearest(kind: str) -> Column:
+        early, late = F.col(f"_{kind}_before"), F.col(f"_{kind}_after")
+        options = F.array(
+            F.when(F.col("t") - early["t"] <= wait, F.struct((F.col("t") - early["t"]).alias("d"), early["t"].alias("t"), (-early["n"]).alias("id"), early["path"].alias("path"))),
+            F.when(late["t"] - F.col("t") <= wait, F.struct((late["t"] - F.col("t")).alias("d"), late["t"].alias("t"), late["event_id"].alias("id"), late["path"].alias("path"))),
+        )
+        return F.array_min(F.filter(options, lambda o: o.isNotNull()))
+
+    met = spread.filter("_home = _part")
+    gone = met.filter("kind = 'deleted'").select(F.col("path").alias("old_path"), F.col("event_id").alias("deleted_id"), nearest("created").alias("c"))
+    made = met.filter("kind = 'created'").select(F.col("event_id").alias("created_id"), nearest("deleted")["id"].alias("_best"))
+    gone = gone.select("old_path", "deleted_id", F.col("c.path").alias("new_path"), F.col("c.id").alias("created_id")).filter("created_id IS NOT NULL")
+    paired = gone.join(made, "created_id").filter("_best = deleted_id AND old_path <> new_path")
+    return paired.select("old_path", "new_path", "deleted_id", "created_id")
+
+
+def entries(events: DataFrame, within_ms: int = RENAME_MS, identity: Sequence[str] = ("length", "mtime")) -> DataFrame:
+    """Files that exist after all events, each with the entry it has been since its first creation: entry_id, path, length, renamed.
+
+    A path's life runs from a creation to its next deletion; a rename joins the life it ends to the one it begins. The first life's creation names the
+    entry. Chains of renames are followed by doubling pointers, in as many rounds as the logarithm of the longest.
+    """
+    ordered = Window.partitionBy("path").orderBy("t", "event_id")
+    rows = events.withColumn("t", micros(events)).withColumn("life", F.last(F.when(F.col("kind") == "created", F.col("event_id")), ignorenulls=True).over(ordered))
+    moved = renames(events, within_ms, identity)
+    ended = rows.filter("kind = 'deleted'").select(F.col("event_id").alias("deleted_id"), F.col("life").alias("to"))
+    links = materialise(moved.join(ended, "deleted_id").select(F.col("created_id").alias("life"), "to").filter("to IS NOT NULL AND to <> life"))
+    hops = links.withColumn("hops", F.lit(1).cast("bigint"))
+    while True:
+        further = hops.select(F.col("life").alias("to"), F.col("to").alias("_next"), F.col("hops").alias("_more"))
+        hops = materialise(hops.join(further, "to", "left").select("life", F.coalesce("_next", "to").alias("to"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"), F.col("_next").isNotNull().alias("_moved")))
+        if hops.filter("_moved").isEmpty():
+            break
+        hops = hops.drop("_moved")
+    newest = rows.groupBy("path").agg(F.max_by(F.struct("kind", "length", "life", "event_id"), F.struct("t", "event_id")).alias("v"))
+    alive = newest.filter("v.kind <> 'deleted'").select("path", "v.length", F.coalesce("v.life", "v.event_id").alias("life"))
+    named = alive.join(hops.select("life", "to", "hops"), "life", "left")
+    return named.select(F.coalesce("to", "life").alias("entry_id"), "path", "length", F.coalesce("hops", F.lit(0)).cast("bigint").alias("renamed"))
