@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from pixelquarry.operators import kernels, stats  # noqa: E402
+from pixelquarry.operators import kernels, pixels as px, stats  # noqa: E402
 from pixelquarry.plans import views  # noqa: E402
 from pixelquarry.plans.all_queries import REGISTRY  # noqa: E402
 from pixelquarry.session import build_session  # noqa: E402
@@ -47,7 +47,25 @@ def big_resize(spark, d):
     return kernels.resize(px, "11", "14", "quality", 0.15, images=images)
 
 
-EXTRA = {"hist_exact_many": big_hist, "px_resize_hq_many": big_resize}
+def giant(spark, d, width=2000, height=1500):
+    """One image of 2000x1500 from the vectors' values, beside the 32x32 ones."""
+    rows = copies(views.pixels(spark, d)).selectExpr("image_id * 64 + y * 8 + x AS n", "b", "g", "r").filter(f"n < {width * height}")
+    one = rows.selectExpr("-1L AS image_id", f"{width} AS w", f"{height} AS h", f"cast(n % {width} AS int) AS x", f"cast(n div {width} AS int) AS y", "b", "g", "r")
+    small = views.pixels32(spark, d).select(*one.columns)
+    return one.unionByName(small)
+
+
+def giant_resize(spark, d):
+    images = spark.sql("SELECT * FROM VALUES (2000, 1500), (32, 32) AS t(w, h)")
+    return kernels.resize(giant(spark, d), "w div 4", "h div 4", "quality", 0.15, images=images)
+
+
+def giant_rotated(spark, d):
+    images = spark.sql("SELECT -1L AS image_id, 2000 AS w, 1500 AS h")
+    return px.rotate_bicubic(giant(spark, d), images, "0.3D", "1500", "1500", (0, 0, 0), kernels.bicubic_phases())
+
+
+EXTRA = {"giant_resize": giant_resize, "giant_rotated": giant_rotated, "hist_exact_many": big_hist, "px_resize_hq_many": big_resize}
 
 
 def main():

@@ -7,10 +7,11 @@ the rest of its image: they are plain projections, filters and generators.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelquarry.functions.pixel import clamp
+from pixelquarry.operators import tiles
 from pixelquarry.operators.scaling import attach_per_image
 
 COLOURS = ("b", "g", "r")
@@ -187,77 +188,55 @@ def rotation_terms(angle: str, out_w: str = "_tw", out_h: str = "_th", unit_step
     }
 
 
-def target_rows(images: DataFrame) -> DataFrame:
-    """One row per target line, spread over all tasks before the lines are filled."""
-    return images.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("_th") - 1))).repartition("image_id", "y")
+def _inverse(angle: str, unit_steps: bool = False) -> dict[str, str]:
+    """Places read by target line ``y``, for :func:`tiles.gather`."""
+    t = rotation_terms(angle, unit_steps=unit_steps)
+    return {"ax": f"({t['_fx']} + y * {t['_x2']})", "bx": t["_x1"], "ay": f"({t['_fy']} + y * {t['_y2']})", "by": t["_y1"]}
 
 
-def target_grid(images: DataFrame, columns: list[str]) -> DataFrame:
-    """All target pixels (``x, y``) of each image with ``_tw`` x ``_th`` pixels."""
-    return target_rows(images).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("_tw") - 1))).select("image_id", "x", "y", *columns)
+def _sized(images: DataFrame, width: str, height: str) -> DataFrame:
+    return images.withColumns({"_tw": F.expr(f"cast({width} AS int)"), "_th": F.expr(f"cast({height} AS int)")})
 
 
-def rotate_free(pixels: DataFrame, images: DataFrame, angle: str, width: str, height: str, background: tuple[int, int, int]) -> DataFrame:
-    """Any rotation about the centre with nearest-pixel reads; background outside.
+def _nearest(window, left, top, w, h, x, line, background):
+    sx, sy = (line["ax"] + x * line["bx"]) >> 16, (line["ay"] + x * line["by"]) >> 16
+    return tiles.window_at(window, left, top, w, h, sx, sy, background)
 
-    ``images`` has one row per image (``image_id, w, h``); ``angle``, ``width`` and ``height`` are SQL over it.
-    """
-    sized = images.withColumns({"_tw": F.expr(width), "_th": F.expr(height)})
-    mapped = sized.withColumns({k: F.expr(v) for k, v in rotation_terms(angle).items()})
-    grid = target_grid(mapped, ["_tw", "_th", "_fx", "_fy", "_x1", "_y1", "_x2", "_y2"]).selectExpr(
-        "image_id", "_tw AS w", "_th AS h", "x", "y",
-        "cast(shiftright(_fx + x * _x1 + y * _x2, 16) AS int) AS _sx", "cast(shiftright(_fy + x * _y1 + y * _y2, 16) AS int) AS _sy",
-    )
-    source = pixels.selectExpr("image_id", "x AS _sx", "y AS _sy", "b", "g", "r")
-    return _with_background(grid.join(source, ["image_id", "_sx", "_sy"], "left").drop("_sx", "_sy"), background)
 
+def _gathered(pixels: DataFrame, images: DataFrame, terms: dict[str, str], reach: int, read, background, flags=None) -> DataFrame:
+    return tiles.from_tiles(tiles.gather(tiles.to_tiles(pixels), images, terms, reach, read, background, flags))
 
-def _with_background(df: DataFrame, background: tuple[int, int, int]) -> DataFrame:
-    return df.fillna(dict(zip(COLOURS, background)))
 
+def rotate_free(pixels: DataFrame, images: DataFrame, angle: str, width: str, height: str, background: tuple[int, int, int]) -> DataFrame:
+    """Any rotation about the centre with nearest-pixel reads; background outside.
 
-def bicubic_weights(phase: Column | str, phases: list[list[int]]) -> Column:
-    """The four tap weights of a sub-pixel phase, from the fixed table of phases."""
-    table = F.array(*[F.array(*[F.lit(v) for v in taps]) for taps in phases])
-    return F.element_at(table, (F.expr(phase) if isinstance(phase, str) else phase).cast("int") + 1)
+    ``images`` has one row per image (``image_id, w, h``); ``angle``, ``width`` and ``height`` are SQL over it.
+    """
+    return _gathered(pixels, _sized(images, width, height), _inverse(angle), 0, _nearest, background)
 
 
 def rotate_bicubic(pixels: DataFrame, images: DataFrame, angle: str, width: str, height: str, background: tuple[int, int, int], phases: list[list[int]]) -> DataFrame:
     """Any rotation about the centre with 4x4 bicubic taps and 64 sub-pixel phases.
 
-    The sixteen taps of a target pixel join on (image, source x, source y);
-    taps outside the source read the background. Rows are rounded per line
-    first and then across lines, as integer arithmetic asks for.
+    Taps outside the source read the background, and a source line wholly outside is plain background. Rows are rounded per line first and then across
+    lines, as integer arithmetic asks for.
     """
-    sized = images.withColumns({"_tw": F.expr(width), "_th": F.expr(height)})
-    mapped = sized.withColumns({k: F.expr(v) for k, v in rotation_terms(angle, unit_steps=True).items()})
-    grid = target_grid(mapped, ["w", "h", "_tw", "_th", "_fx", "_fy", "_x1", "_y1", "_x2", "_y2"]).selectExpr(
-        "image_id", "w AS _w", "h AS _h", "_tw", "_th", "x", "y", "_fx + x * _x1 + y * _x2 AS _px", "_fy + x * _y1 + y * _y2 AS _py"
-    ).selectExpr(
-        "image_id", "_w", "_h", "_tw", "_th", "x", "y", "cast(shiftright(_px, 16) AS int) AS _sx", "cast(shiftright(_py, 16) AS int) AS _sy",
-        "cast(shiftright(_px & 65535, 10) AS int) AS _phx", "cast(shiftright(_py & 65535, 10) AS int) AS _phy",
-    )
-    near = "_sx >= -1 AND _sx <= _w AND _sy >= -1 AND _sy <= _h"
-    taps = grid.filter(near).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    taps = taps.withColumn("_wx", F.element_at(bicubic_weights("_phx", phases), F.col("_i") + 1)).withColumn(
-        "_wy", F.element_at(bicubic_weights("_phy", phases), F.col("_j") + 1)
-    )
-    source = pixels.selectExpr("image_id", "x AS _tx", "y AS _ty", "b", "g", "r")
-    read = taps.withColumn("_tx", F.expr("_sx + _i - 1")).withColumn("_ty", F.expr("_sy + _j - 1")).join(source, ["image_id", "_tx", "_ty"], "left")
-    read = _with_background(read, background)
-    key = ["image_id", "_tw", "_th", "x", "y"]
-    # a line wholly outside keeps the plain background value
-    lines = read.groupBy(*key, "_j").agg(
-        F.max("_wy").alias("_wy"),
-        F.expr("max(IF(_ty >= 0 AND _ty < _h, 1, 0)) = 1").alias("_real"),
-        *[F.sum(F.expr(f"{c} * _wx")).alias(c) for c in COLOURS],
-    )
-    for c, v in zip(COLOURS, background):
-        lines = lines.withColumn(c, F.expr(f"CASE WHEN _real THEN shiftright({c} + 8192, 14) ELSE {v} END * _wy"))
-    summed = lines.groupBy(*key).agg(*[F.expr(f"cast({clamp(f'shiftright(sum({c}) + 8192, 14)')} AS int)").alias(c) for c in COLOURS])
-    inside = summed.withColumnsRenamed({"_tw": "w", "_th": "h"})
-    outside = grid.filter(f"NOT ({near})").selectExpr("image_id", "_tw AS w", "_th AS h", "x", "y", *[f"{v} AS {c}" for c, v in zip(COLOURS, background)])
-    return inside.unionByName(outside)
+    weights = np.array(phases)
+
+    def read(window, left, top, w, h, x, line, background):
+        px, py = line["ax"] + x * line["bx"], line["ay"] + x * line["by"]
+        sx, sy = px >> 16, py >> 16
+        wx, wy = weights[(px & 65535) >> 10], weights[(py & 65535) >> 10]
+        total = 0
+        for j in range(4):
+            ty = sy + j - 1
+            along = sum(tiles.window_at(window, left, top, w, h, sx + i - 1, ty, background) * wx[..., i, None] for i in range(4))
+            real = ((ty >= 0) & (ty < h))[..., None]
+            total = total + np.where(real, (along + 8192) >> 14, background) * wy[..., j, None]
+        near = ((sx >= -1) & (sx <= w) & (sy >= -1) & (sy <= h))[..., None]
+        return np.where(near, np.clip((total + 8192) >> 14, 0, 255), background)
+
+    return _gathered(pixels, _sized(images, width, height), _inverse(angle, True), 2, read, background)
 
 
 # --- perspective -----------------------------------------------------------------------------
@@ -290,20 +269,14 @@ def _source_line(t: Trapezoid, target_h: str, line: str) -> str:
 
 def perspective_point(pixels: DataFrame, images: DataFrame, t: Trapezoid, width: str, height: str, background: tuple[int, int, int]) -> DataFrame:
     """Trapezoid correction with nearest-pixel reads; the x step is linear within a line."""
-    sized = images.withColumns({"_tw": F.expr(width), "_th": F.expr(height)})
-    rows = target_rows(sized)
     tall = f"(({t['y2']}) - ({t['y1']}))"
     left = f"((({t['x1s']}) - ({t['x2s']})) * 0.5D)"
-    rows = rows.selectExpr(
-        "*", f"cast(shiftright({_source_line(t, '_th', 'y')}, 16) AS int) AS _sy",
-        f"{left} + y * (cast(({t['x2s']}) - ({t['x1s']}) AS double) / {tall}) AS _t1",
-        f"{left} + ({t['x1e']}) - ({t['x1s']}) + y * (cast(({t['x2e']}) - ({t['x1e']}) AS double) / {tall}) AS _t2",
-    ).selectExpr("*", "cast(65536.0D * w / (_t2 - _t1 + 1) AS bigint) + 1 AS _inc").selectExpr("*", "cast(-_t1 * _inc AS bigint) AS _start")
-    grid = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("_tw") - 1))).selectExpr(
-        "image_id", "_tw AS w", "_th AS h", "x", "y", "cast(shiftright(_start + x * _inc, 16) AS int) AS _sx", "_sy"
-    )
-    source = pixels.selectExpr("image_id", "x AS _sx", "y AS _sy", "b", "g", "r")
-    return _with_background(grid.join(source, ["image_id", "_sx", "_sy"], "left").drop("_sx", "_sy"), background)
+    begin = f"({left} + y * (cast(({t['x2s']}) - ({t['x1s']}) AS double) / {tall}))"
+    end = f"({left} + ({t['x1e']}) - ({t['x1s']}) + y * (cast(({t['x2e']}) - ({t['x1e']}) AS double) / {tall}))"
+    step = f"(cast(65536.0D * w / nullif({end} - {begin} + 1, 0) AS bigint) + 1)"
+    line = f"shiftleft(shiftright(cast({_source_line(t, '_th', 'y')} AS bigint), 16), 16)"
+    terms = {"ax": f"(-{begin} * {step})", "bx": step, "ay": line, "by": "0"}
+    return _gathered(pixels, _sized(images, width, height), terms, 0, _nearest, background)
 
 
 def perspective_bicubic(
@@ -316,41 +289,34 @@ def perspective_bicubic(
     filtered (kept behaviour). ``origin`` is the corner of the wanted part.
     """
     ox, oy = origin
-    tall = f"(({t['y2']}) - ({t['y1']}))"
-    sized = images.withColumns({"_tw": F.expr(width), "_th": F.expr(height)})
-    rows = target_rows(sized)
-    line = f"(y + ({oy}))"
-    rows = rows.selectExpr(
-        "*", f"{_source_line(t, f'({tall} + 1)', line)} AS _cy", f"{tall} + 1 AS _lines",
-        f"({t['x1s']}) + {line} * (cast(({t['x2s']}) - ({t['x1s']}) AS double) / {tall}) AS _t1",
-        f"({t['x1e']}) + {line} * (cast(({t['x2e']}) - ({t['x1e']}) AS double) / {tall}) AS _t2",
-    ).selectExpr(
-        "*", "cast(65536.0D * (w - 1) / (_t2 - _t1) AS bigint) AS _inc", f"cast(65536.0D * (w - 1) * (({ox}) - _t1) / (_t2 - _t1) AS bigint) AS _start",
-        "cast(shiftright(_cy, 16) AS int) AS _sy", "cast(shiftright(_cy & 65535, 10) AS int) AS _phy",
-    )
-    filtered = "_sy > 0 AND _sy < _lines - 2"
-    taps = rows.selectExpr("image_id", "y", "_sy", "_phy", f"{filtered} AS _fil").withColumn(
-        "_j", F.explode(F.expr("IF(_fil, array(0, 1, 2, 3), array(1))"))
-    )
-    taps = taps.withColumn("_wy", F.element_at(bicubic_weights("_phy", phases), F.col("_j") + 1)).withColumn("_ty", F.expr("_sy + _j - 1"))
-    source = pixels.selectExpr("image_id", "x AS _sx", "y AS _ty", "b", "g", "r")
-    across = (
-        taps.join(source, ["image_id", "_ty"])
-        .groupBy("image_id", "y", "_sx", "_fil")
-        .agg(*[F.expr(f"CASE WHEN _fil THEN {clamp(f'shiftright(sum({c} * _wy) + 8192, 6)', 0, 65535)} ELSE max({c}) * 256 END").alias(c) for c in COLOURS])
-        .drop("_fil")
-    )
-    grid = (
-        rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("_tw") - 1)))
-        .selectExpr("image_id", "w AS _w", "_tw", "_th", "x", "y", "_start + x * _inc AS _px")
-        .selectExpr("*", "cast(shiftright(_px, 16) AS int) AS _cx", "cast(shiftright(_px & 65535, 10) AS int) AS _phx")
-    )
-    near = "_cx >= -1 AND _cx <= _w"
-    along = grid.filter(near).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    along = along.withColumn("_wx", F.element_at(bicubic_weights("_phx", phases), F.col("_i") + 1)).withColumn("_sx", F.expr("_cx + _i - 1"))
-    read = along.join(across, ["image_id", "y", "_sx"], "left").fillna({c: v * 256 for c, v in zip(COLOURS, background)})
-    inside = read.groupBy("image_id", F.col("_tw").alias("w"), F.col("_th").alias("h"), "x", "y").agg(
-        *[F.expr(f"cast({clamp(f'shiftright(sum({c} * _wx) + 8192, 22)')} AS int)").alias(c) for c in COLOURS]
-    )
-    outside = grid.filter(f"NOT ({near})").selectExpr("image_id", "_tw AS w", "_th AS h", "x", "y", *[f"{v} AS {c}" for c, v in zip(COLOURS, background)])
-    return inside.unionByName(outside)
+    weights = np.array(phases)
+    tall, y = f"(({t['y2']}) - ({t['y1']}))", f"(y + ({oy}))"
+    begin = f"(({t['x1s']}) + {y} * (cast(({t['x2s']}) - ({t['x1s']}) AS double) / {tall}))"
+    width_of = f"nullif((({t['x1e']}) + {y} * (cast(({t['x2e']}) - ({t['x1e']}) AS double) / {tall})) - {begin}, 0)"
+    line = f"cast({_source_line(t, f'({tall} + 1)', y)} AS bigint)"
+    terms = {"ax": f"(65536.0D * (w - 1) * (({ox}) - {begin}) / {width_of})", "bx": f"(65536.0D * (w - 1) / {width_of})", "ay": line, "by": "0"}
+    flags = {"filtered": f"coalesce(shiftright({line}, 16) > 0 AND shiftright({line}, 16) < {tall} - 1, false)"}
+
+    def read(window, left, top, w, h, x, line, background):
+        px = line["ax"] + x * line["bx"]
+        cx, sy = px >> 16, line["ay"] >> 16
+        wx, wy = weights[(px & 65535) >> 10], weights[(line["ay"] & 65535) >> 10]
+        filtered = (line["filtered"] > 0)[..., None]
+        total = 0
+        for i in range(4):
+            sx = cx + i - 1
+            column = (sx >= 0) & (sx < w)
+            across, any_line = 0, np.zeros(sx.shape, bool)
+            for j in range(4):
+                ty = np.broadcast_to(sy + j - 1, sx.shape)
+                own = tiles.window_at(window, left, top, w, h, sx, ty, np.zeros(3, np.int64))
+                here = column & (ty >= 0) & (ty < h) & (filtered[..., 0] | (j == 1))
+                any_line |= here
+                across = across + own * wy[..., j, None]
+                plain = own * 256 if j == 1 else plain if j else 0
+            value = np.where(filtered, np.clip((across + 8192) >> 6, 0, 65535), plain)
+            total = total + np.where(any_line[..., None], value, background * 256) * wx[..., i, None]
+        near = ((cx >= -1) & (cx <= w))[..., None]
+        return np.where(near, np.clip((total + 8192) >> 22, 0, 255), background)
+
+    return _gathered(pixels, _sized(images, width, height), terms, 2, read, background, flags)

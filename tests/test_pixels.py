@@ -7,7 +7,36 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import arrays_of, fits, random_images
-from pixelquarry.operators import hashes, kernels, luts, pixels as px, stages, stats
+from pixelquarry.operators import hashes, kernels, luts, pixels as px, stages, stats, tiles
+
+
+@pytest.fixture(params=[128, 4])
+def tile(request, monkeypatch):
+    """Tiles that hold each image of these tests whole, and tiles so small that every filter reaches over several."""
+    monkeypatch.setattr(tiles, "SIZE", request.param)
+
+
+def test_tiles_round_trip(image, tile):
+    img = random_images([(7, 5), (4, 4), (1, 9), (13, 130)])
+    df = image(img).withColumn("keep", F.lit("k"))
+    made = tiles.to_tiles(df, keep=["keep"])
+    assert made.columns == ["image_id", "w", "h", "keep", "ty", "tx", "b", "g", "r"]
+    fits(arrays_of(tiles.from_tiles(made)), img)
+
+
+def test_small_and_giant_images_together(image, monkeypatch):
+    img = random_images([(5, 4), (30, 17), (8, 8), (9, 3), (64, 2)])
+    df = image(img)
+    want = [arrays_of(f(df)) for f in (lambda d: kernels.resize(d, "w div 2 + 1", "h + 3", "lanczos"), lambda d: kernels.unsharp(d, 1.5, 1.0, 2.0))]
+    monkeypatch.setattr(tiles, "SIZE", 8)
+    got = [arrays_of(f(df)) for f in (lambda d: kernels.resize(d, "w div 2 + 1", "h + 3", "lanczos"), lambda d: kernels.unsharp(d, 1.5, 1.0, 2.0))]
+    for a, b in zip(got, want, strict=True):
+        fits(a, b)
+
+
+def test_no_row_per_pixel_and_tap(image):
+    plan = kernels.resize(image(random_images([(9, 7)])), "5", "4")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
 
 
 def test_four_turns_and_two_mirrors_are_identity(image):
@@ -69,7 +98,7 @@ def _resized(a, kx, ky, tw, th):
 
 
 @pytest.mark.parametrize("name,tw,th", [("quality", 5, 4), ("lanczos", 6, 7), ("narrow", 4, 3), ("bicubic", 15, 13)])
-def test_filtered_resize_matches_brute_force(image, name, tw, th):
+def test_filtered_resize_matches_brute_force(image, tile, name, tw, th):
     img = random_images([(11, 9), (11, 9)])
     kx, ky = kernels.ResizeTaps(11, tw, name, 0.15).table(), kernels.ResizeTaps(9, th, name, 0.15).table()
     want = {i: _resized(a, kx, ky, tw, th) for i, a in img.items()}
@@ -84,7 +113,7 @@ def test_taps_add_up_to_one_and_stay_inside(src, dst, name):
     assert (t.groupby("dst")["weight"].sum() == kernels.ONE).all()
 
 
-def test_flat_image_stays_flat(image):
+def test_flat_image_stays_flat(image, tile):
     flat = {0: np.full((9, 12, 3), 77)}
     for name, w, h in [("quality", 5, 4), ("bicubic", 20, 21)]:
         out = arrays_of(kernels.resize(image(flat), str(w), str(h), name))[0]
@@ -96,7 +125,7 @@ def test_step_sizes():
     assert kernels.step_sizes(1000, 40, 500, 20) == [(200, 100), (40, 20)]
 
 
-def test_resize_in_steps_is_a_chain_of_resizes(image):
+def test_resize_in_steps_is_a_chain_of_resizes(image, tile):
     img = random_images([(30, 24)])
     first, last = kernels.step_sizes(30, 4, 24, 3)
     soft = [kernels.ResizeTaps(a, b, "quality", 0.15).table() for a, b in zip((30, 24), first)]
@@ -148,7 +177,7 @@ def _near(v):
 
 
 @pytest.mark.parametrize("angle", [0.0, 0.3, -2.1])
-def test_bicubic_rotation_matches_brute_force(image, angle):
+def test_bicubic_rotation_matches_brute_force(image, tile, angle):
     img = random_images([(7, 6)])
     back, tw, th = (9, 8, 7), 8, 9
     h, w = img[0].shape[:2]
@@ -183,7 +212,7 @@ def _trapezoid_lines(t, n, src_h, dst_h, off):
 
 @pytest.mark.parametrize("t", [
     dict(x1s=2, x1e=9, x2s=0, x2e=11, y1=0, y2=8), dict(x1s=0, x1e=10, x2s=2, x2e=9, y1=0, y2=9), dict(x1s=1, x1e=9, x2s=1, x2e=9, y1=0, y2=6)])
-def test_bicubic_perspective_matches_brute_force(image, t):
+def test_bicubic_perspective_matches_brute_force(image, tile, t):
     img = random_images([(9, 8)], seed=4)
     a, back, tw = img[0], (5, 6, 7), 10
     h, w = a.shape[:2]
