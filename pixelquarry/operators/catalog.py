@@ -90,17 +90,71 @@ def rename_plan(catalog: DataFrame, pattern: str, pictures: str = "/pictures", t
     )
 
 
-def plan_summary(plan: DataFrame, existing_dirs: DataFrame) -> DataFrame:
-    """Counts of renamed and copied files and of folders that have to be made."""
+def rename_steps(plan: DataFrame, existing: DataFrame, path: str = "path", target: str = "target") -> DataFrame:
+    """A plan that can be carried out row by row, by ascending ``step``, without ever overwriting a file.
+
+    ``plan`` has ``path, target, copy``, each path once; ``existing`` the paths that exist. The result adds ``state`` (done, same, collision, exists),
+    ``step`` and ``via``: a file of a circle goes to its temporary name ``via`` in step 0 and from there to its target in its own step. Names are
+    compared without case.
+
+    Of several files with one target the one with the smallest path goes there. A file in the way is none if it is renamed itself, so plans are chains
+    that begin at a free name, chains that end at a file that stays (refused as a whole), and circles. Places in them come from doubling pointers: as many
+    rounds as the logarithm of the longest chain. Copies come first; their targets must be free from the start.
+    """
+    rows = plan.select(F.col(path).alias("path"), F.col(target).alias("target"), "copy", F.lower(path).alias("_from"), F.lower(target).alias("_to"))
+    best = rows.groupBy("_to").agg(F.min("path").alias("_first"))
+    there = existing.select(F.lower("path").alias("_to")).distinct().withColumn("_there", F.lit(True))
+    rows = rows.join(best, "_to").join(there, "_to", "left")
+    same = (F.col("_from") == F.col("_to")) & (F.col("path") == F.col("target"))
+    state = F.when(same, "same").when(F.col("path") != F.col("_first"), "collision")
+    state = state.when(F.col("copy") & F.col("_there"), "exists")
+    rows = materialise(rows.withColumn("state", state).drop("_first"))
+    moves = rows.filter("state IS NULL AND NOT copy")
+    # ends: -1 at a free name (or its own, spelled otherwise), -2 at a file that stays
+    after = moves.select(F.col("_from").alias("_to"), F.col("path").alias("_next"))
+    own = F.col("_from") == F.col("_to")
+    linked = moves.join(after, "_to", "left").select(
+        "path", F.when(own, None).otherwise(F.col("_next")).alias("to"), F.lit(1).cast("bigint").alias("hops"),
+        F.when(own | (F.col("_next").isNull() & F.col("_there").isNull()), -1).when(F.col("_next").isNull(), -2).alias("end"), F.col("path").alias("least"),
+    )
+    walked, before = materialise(linked), None
+    while True:
+        ahead = walked.filter("to IS NOT NULL")
+        now = ahead.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "least"))).first()
+        if not now[0] or now == before:  # nobody came to an end and no circle saw a smaller path: only circles are left
+            break
+        before = now
+        further = walked.select(F.col("path").alias("to"), F.col("to").alias("_to2"), F.col("hops").alias("_hops2"), F.col("end").alias("_end2"), F.col("least").alias("_least2"))
+        walked = materialise(walked.join(further, "to", "left").select(
+            "path", F.col("_to2").alias("to"), (F.col("hops") + F.coalesce("_hops2", F.lit(0))).alias("hops"), F.coalesce("end", "_end2").alias("end"), F.least("least", "_least2").alias("least")))
+    # who still has someone ahead goes round: the circle is cut at its smallest path
+    circle = walked.filter("to IS NOT NULL").select("path", F.col("least").alias("_cut")).join(moves.select("path", "_from", "_to"), "path")
+    cut = circle.join(circle.select(F.col("_from").alias("_to"), F.col("path").alias("_next")), "_to")
+    cut = cut.select("path", F.when(F.col("_next") == F.col("_cut"), None).otherwise(F.col("_next")).alias("to"), F.lit(1).cast("bigint").alias("hops"), (F.col("path") == F.col("_cut")).alias("first"))
+    cut = materialise(cut)
+    while not cut.filter("to IS NOT NULL").isEmpty():
+        ahead = cut.select(F.col("path").alias("to"), F.col("to").alias("_to2"), F.col("hops").alias("_hops2"))
+        cut = materialise(cut.join(ahead, "to", "left").select("path", F.col("_to2").alias("to"), (F.col("hops") + F.coalesce("_hops2", F.lit(0))).alias("hops"), "first"))
+    placed = walked.filter("to IS NULL").select("path", "hops", F.when(F.col("end") == -1, "done").otherwise("exists").alias("_state"), F.lit(False).alias("first"))
+    placed = placed.unionByName(cut.select("path", "hops", F.lit("done").alias("_state"), "first"))
+    out = rows.join(placed, "path", "left").withColumn("state", F.coalesce("state", "_state", F.lit("done")))
+    done = F.col("state") == "done"
+    step = F.when(done, F.when(F.col("copy"), 0).otherwise(F.col("hops"))).cast("bigint")
+    return out.select("path", "target", "copy", "state", step.alias("step"), F.when(done & F.col("first"), F.concat("path", F.lit(".~moving"))).alias("via"))
+
+
+def plan_summary(plan: DataFrame, existing_dirs: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """Counts of renamed and copied files and of folders that have to be made; with the ``steps`` of the plan only of files that go through, and of failures."""
+    failed = None
+    if steps is not None:
+        plan = plan.join(steps.select("path", "state"), "path")
+        failed = plan.filter("state IN ('collision', 'exists')").selectExpr("IF(copy, 'copies failed', 'renames failed') AS what")
+        plan = plan.filter("state = 'done'")
     new_dirs = (
         plan.select(F.col("target_dir").alias("dir")).distinct().join(existing_dirs.select("dir").distinct(), "dir", "left_anti")
     )
-    return (
-        plan.selectExpr("IF(copy, 'copied', 'renamed') AS what")
-        .unionByName(new_dirs.selectExpr("'folders created' AS what"))
-        .groupBy("what")
-        .agg(F.count("*").alias("n"))
-    )
+    what = plan.selectExpr("IF(copy, 'copied', 'renamed') AS what").unionByName(new_dirs.selectExpr("'folders created' AS what"))
+    return (what if failed is None else what.unionByName(failed)).groupBy("what").agg(F.count("*").alias("n"))
 
 
 def verify(catalog: DataFrame, existing: DataFrame) -> DataFrame:

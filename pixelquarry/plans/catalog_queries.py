@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from pixelquarry.functions import formats, text
 from pixelquarry.operators import catalog as cat
+from pixelquarry.operators.scaling import number_rows, shifted
 from pixelquarry.plans import views
 from pixelquarry.plans.registry import Registry
-from pixelquarry.session import shared_folder
-from pixelquarry.sources import files, playlist
+from pixelquarry.session import materialise, shared_folder
+from pixelquarry.sources import files, listing, playlist, text_lines
 
 R = Registry()
 
@@ -21,20 +22,24 @@ LISTED = f"""listed AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY n
 # --- sources ---------------------------------------------------------------------------------
 
 def _written_files(s, d):
-    """Text files that Spark writes from the documents, one folder per language."""
+    """A text file for every document, in folders by language and source."""
     target = f"{shared_folder(s)}/scan-{uuid.uuid4().hex}"
-    views.table(s, d, "documents").select("lang", F.concat_ws(" ", "doc_id", "text").alias("line")).repartition("lang").write.partitionBy("lang").text(target)
-    return target
+    line = F.concat_ws(" ", "doc_id", "text").alias("line")
+    views.table(s, d, "documents").select("lang", "source", line).write.option("maxRecordsPerFile", 1).partitionBy("lang", "source").text(target)
+    return s.read.format("binaryFile").option("recursiveFileLookup", "true").load(target).select("path").first()[0].split("/lang=")[0]
 
 
-@R.add("catalog_scan")
+_FILES = "SELECT 'txt' AS ext, strlen(concat_ws(' ', doc_id, text)) + 1 AS size, 'source=' || source AS folder"
+
+
+@R.add("catalog_scan", f"{_FILES} FROM documents")
 def catalog_scan(s, d):
-    return files.scan_folder(s, f"{_written_files(s, d)}/lang=*", ["txt"]).select("ext", "size", text.title_of(F.col("dir")).alias("folder"))
+    return files.scan_folder(s, f"{_written_files(s, d)}/lang=*/source=*", ["txt"]).select("ext", "size", text.title_of(F.col("dir")).alias("folder"))
 
 
-@R.add("catalog_scan_recursive")
+@R.add("catalog_scan_recursive", f"{_FILES}, 2 AS depth FROM documents")
 def catalog_scan_recursive(s, d):
-    return files.scan_tree(s, _written_files(s, d), ["txt"]).select("ext", "size", "depth", text.title_of(F.col("dir")).alias("folder"))
+    return listing.list_tree(s, _written_files(s, d), ["txt"]).select("ext", "size", "depth", text.title_of(F.col("dir")).alias("folder"))
 
 
 R.add("supported_extensions", f"""WITH e AS (SELECT unnest([{','.join(f"'{e}'" for e in formats.BUILT_IN_ENDINGS)}]) AS ext
@@ -94,7 +99,7 @@ LIST_FOLDER = "C:\\photos\\1995\\1"
 CUT = """placed AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY list_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM playlist),
 cut AS (SELECT list_id, line_no, CASE WHEN strlen(line) > {limit} - start THEN left(line, ({limit} - start)::INT) ELSE line END AS line FROM placed WHERE start < {limit})"""
 ENTRIES = CUT.format(limit=2147483647) + r""",
-good AS (SELECT * FROM cut WHERE list_id NOT IN (SELECT list_id FROM cut WHERE length(line) >= 512)),
+good AS (SELECT * FROM cut),
 ent AS (SELECT list_id, line_no, CASE WHEN instr(line, '\\') > 0 THEN regexp_extract(line[instr(line, '\\'):], '^([^\r\n"<]*)', 1)
   WHEN instr(line[2:], ':\') > 0 THEN regexp_extract(line[instr(line[2:], ':\'):], '^([^\r\n"<]*)', 1)
   WHEN regexp_matches(line, '\.(jpg|jpeg|png|tif|tiff|gif|nef)', 'i') THEN 'C:\photos\1995\1\' || regexp_extract(line, '([^"<>\r\n]*)$', 1) END AS name FROM good),
@@ -102,6 +107,43 @@ entries AS (SELECT * FROM ent WHERE name IS NOT NULL)"""
 R.add("playlist_source", f"WITH {ENTRIES} SELECT * FROM entries", "playlist")(
     lambda s, d: playlist.playlist_entries(views.playlist(s, d), LIST_FOLDER))
 
+R.add("playlist_refused", "SELECT list_id, 'long line' AS reason FROM playlist WHERE length(line) >= 512 GROUP BY 1", "playlist")(
+    lambda s, d: playlist.refused_lists(views.playlist(s, d), playlist.LINE_LIMIT))
+
+
+def _list_files(s, d):
+    """A file for every list: UTF-8 with and without a mark, UTF-16 with and without one, and single bytes of the Western European code page."""
+    folder = f"{shared_folder(s)}/lists-{uuid.uuid4().hex}"
+    s.range(1).write.parquet(f"{folder}/where")
+    root = s.read.parquet(f"{folder}/where").inputFiles()[0].rsplit("/where", 1)[0]
+
+    def write(rows):
+        import pyarrow.fs as pafs
+
+        rows = rows.sort_values("line_no")
+        at = int(rows["list_id"].iloc[0])
+        raw = "".join(x + "\r\n" for x in rows["line"])
+        encoded = [b"\xef\xbb\xbf" + raw.encode(), raw.encode(), b"\xff\xfe" + raw.encode("utf-16-le"), raw.encode("utf-16-le"), raw.encode("cp1252")][at % 5]
+        fs, name = pafs.FileSystem.from_uri(f"{root}/{at}.txt")
+        with fs.open_output_stream(name) as f:
+            f.write(encoded)
+        return rows[["list_id"]].head(1)
+
+    lines = views.playlist(s, d).withColumn("line", F.expr(ACCENT))
+    materialise(lines.groupBy("list_id").applyInPandas(write, "list_id bigint"))
+    return f"{root}/*.txt"
+
+
+ACCENT = "IF(line_no % 4 = 0, replace(line, 'photos', 'ph\u00f6tos'), line)"
+
+
+@R.add("playlist_files", f"""SELECT list_id, row_number() OVER (PARTITION BY list_id ORDER BY line_no) AS line_no, {ACCENT.replace("IF(", "CASE WHEN ").replace(" = 0, ", " = 0 THEN ", 1).replace("), line)", ") ELSE line END")} AS line FROM playlist""", "playlist")
+def playlist_files(s, d):
+    lines = text_lines.read_text(s, _list_files(s, d), range_bytes=1 << 14)
+    number = F.regexp_extract("list_id", r"(\d+)\.txt$", 1).cast("bigint")
+    return lines.select(number.alias("list_id"), "line_no", F.regexp_replace("line", "\r$", "").alias("line"))
+
+
 R.add("take_first_kb", f"WITH {CUT.format(limit=2048)} SELECT * FROM cut", "playlist")(
     lambda s, d: playlist.first_kilobytes(views.playlist(s, d), 2).select("list_id", "line_no", "line"))
 
@@ -175,6 +217,40 @@ R.add("batch_summary", f"""WITH {PLAN} SELECT CASE WHEN copy THEN 'copied' ELSE
  UNION ALL SELECT 'folders created', count(DISTINCT target_dir) FROM acts WHERE target_dir NOT IN (SELECT dir FROM catalog)""", "catalog")(
     lambda s, d: cat.plan_summary(_plan(s, d), views.catalog(s, d)))
 
+_MOVES = """pl AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY file_id) AS pos, lead(title) OVER (PARTITION BY dir ORDER BY file_id) AS nx, lag(title) OVER (PARTITION BY dir ORDER BY file_id) AS pv FROM catalog),
+ p AS (SELECT path, pos % 10 = 7 AS copy, CASE WHEN pos % 10 IN (0, 2, 3, 5, 6) THEN dir || '/' || coalesce(nx, title) WHEN pos % 10 = 1 THEN dir || '/' || coalesce(pv, title) WHEN pos % 10 = 4 THEN dir || '/new_' || title
+   WHEN pos % 10 = 7 THEN CASE WHEN file_id % 2 = 0 THEN '/backup/' || title ELSE dir || '/' || coalesce(pv, title) END ELSE dir || '/same_' || (pos // 10) || '.jpg' END AS target FROM pl WHERE pos % 10 <> 7 OR file_id % 3 > 0),
+ st AS (SELECT p.*, lower(p.path) AS f, lower(target) AS t, c.path IS NOT NULL AS there, CASE WHEN p.path = target THEN 'same' WHEN p.path <> min(p.path) OVER (PARTITION BY lower(target)) THEN 'collision' WHEN copy AND c.path IS NOT NULL THEN 'exists' END AS state
+   FROM p LEFT JOIN catalog c ON lower(c.path) = lower(target)),
+ mv AS (SELECT * FROM st WHERE state IS NULL AND NOT copy),
+ walk AS (SELECT path AS start, f AS origin, t AS pos, 1::BIGINT AS hops, path AS seen, there FROM mv UNION ALL SELECT w.start, origin, m.t, hops + 1, m.path, m.there FROM walk w JOIN mv m ON m.f = w.pos WHERE w.pos <> w.origin),
+ ways AS (SELECT start, max(hops) AS hops, max_by(there, hops) AS there, max_by(pos, hops) = any_value(origin) AS circle, min(seen) AS least FROM walk GROUP BY start),
+ turns AS (SELECT w.start, min(w.hops) AS step FROM walk w JOIN ways y USING (start) WHERE circle AND w.pos = lower(least) GROUP BY 1),
+ steps AS (SELECT st.path, target, copy, coalesce(state, CASE WHEN copy OR circle OR NOT y.there THEN 'done' ELSE 'exists' END) AS state, y.hops, circle, least, turns.step FROM st LEFT JOIN ways y ON y.start = st.path AND state IS NULL LEFT JOIN turns ON turns.start = st.path)"""
+
+
+def _moves(s, d):
+    numbered = number_rows(views.catalog(s, d), ["dir"], [F.col("file_id")])
+    near = shifted(numbered, ["dir"], {"nx": ("title", 1), "pv": ("title", -1)}).filter("pos % 10 <> 7 OR file_id % 3 > 0")
+    return near.selectExpr(
+        "path", "pos % 10 = 7 AS copy",
+        "CASE WHEN pos % 10 IN (0, 2, 3, 5, 6) THEN concat(dir, '/', coalesce(nx, title)) WHEN pos % 10 = 1 THEN concat(dir, '/', coalesce(pv, title)) WHEN pos % 10 = 4 THEN concat(dir, '/new_', title) "
+        "WHEN pos % 10 = 7 THEN IF(file_id % 2 = 0, concat('/backup/', title), concat(dir, '/', coalesce(pv, title))) ELSE concat(dir, '/same_', pos div 10, '.jpg') END AS target")
+
+
+R.add("rename_steps", f"""WITH RECURSIVE {_MOVES} SELECT path, target, copy, state, CASE WHEN state <> 'done' THEN NULL WHEN copy THEN 0 WHEN circle THEN step ELSE hops END::BIGINT AS step,
+ CASE WHEN state = 'done' AND circle AND path = least THEN path || '.~moving' END AS via FROM steps""", "catalog")(
+    lambda s, d: cat.rename_steps(_moves(s, d), views.catalog(s, d)))
+
+
+@R.add("batch_failures", f"""WITH RECURSIVE {_MOVES} SELECT CASE WHEN state = 'done' THEN CASE WHEN copy THEN 'copied' ELSE 'renamed' END WHEN copy THEN 'copies failed' ELSE 'renames failed' END AS what, count(*) AS n
+  FROM steps WHERE state <> 'same' GROUP BY 1
+ UNION ALL SELECT 'folders created', count(DISTINCT regexp_extract(target, '^(.*)/', 1)) FROM steps WHERE state = 'done' AND regexp_extract(target, '^(.*)/', 1) NOT IN (SELECT dir FROM catalog)""", "catalog")
+def batch_failures(s, d):
+    plan = materialise(_moves(s, d)).withColumn("target_dir", text.folder_of(F.col("target")))
+    return cat.plan_summary(plan, views.catalog(s, d), cat.rename_steps(plan, views.catalog(s, d)))
+
+
 R.add("batch_numbering", f"WITH {PICKED} SELECT path, number FROM picked", "catalog")(
     lambda s, d: cat.number_selected(views.catalog(s, d)).select("path", "number"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pixelquarry.functions.formats import supported_endings
 from pixelquarry.operators.scaling import number_rows
 
-#: A list with a longer line is refused where this limit is asked for.
+#: The usual limit where one is asked for: a list with a line of so many characters is refused.
 LINE_LIMIT = 512
 
 
@@ -47,14 +47,14 @@ def first_kilobytes(lines: DataFrame, kilobytes: int = 200) -> DataFrame:
     )
 
 
-def refused_lists(lines: DataFrame, line_limit: int | None = LINE_LIMIT) -> DataFrame:
+def refused_lists(lines: DataFrame, line_limit: int | None = None) -> DataFrame:
     """``list_id, reason`` of lists with a NUL in a line, or with a line of ``line_limit`` or more characters."""
     reason = F.when(F.col("line").contains("\0"), F.lit("NUL"))
     reason = reason.when(F.length("line") >= line_limit, F.lit("long line")) if line_limit is not None else reason
     return lines.withColumn("reason", reason).filter("reason IS NOT NULL").groupBy("list_id").agg(F.min("reason").alias("reason"))
 
 
-def valid_lists(lines: DataFrame, line_limit: int | None = LINE_LIMIT) -> DataFrame:
+def valid_lists(lines: DataFrame, line_limit: int | None = None) -> DataFrame:
     """Leaves out the lists that :func:`refused_lists` names."""
     return lines.join(refused_lists(lines, line_limit), "list_id", "left_anti")
 
@@ -80,7 +80,7 @@ def entry_of(line: Column, folder: str, endings: list[str] | None = None, sep: s
     )
 
 
-def playlist_entries(lines: DataFrame, folder: str, kilobytes: int | None = None, endings: list[str] | None = None, sep: str = "\\", line_limit: int | None = LINE_LIMIT) -> DataFrame:
+def playlist_entries(lines: DataFrame, folder: str, kilobytes: int | None = None, endings: list[str] | None = None, sep: str = "\\", line_limit: int | None = None) -> DataFrame:
     """``list_id, line_no, name`` of every usable line of every accepted list; ``kilobytes`` reads only the beginning of each list."""
     kept = valid_lists(first_kilobytes(lines, kilobytes) if kilobytes is not None else lines, line_limit)
     named = kept.withColumn("name", entry_of(F.col("line"), folder, endings, sep))
