@@ -296,9 +296,9 @@ R.add("first_last", f"""WITH {LISTED} SELECT dir, max(CASE WHEN pos = 1 THEN pat
 R.add("peek_k", f"""WITH {LISTED} SELECT path, lead(path, 3) OVER w AS ahead, lag(path, 3) OVER w AS behind FROM listed WINDOW w AS (PARTITION BY dir ORDER BY nat, path)""", "catalog")(
     lambda s, d: cat.peek(views.catalog(s, d), 3).select("path", "ahead", "behind"))
 
-R.add("folder_walk_siblings", """WITH f AS (SELECT DISTINCT dir, regexp_extract(dir, '^(.*)/[^/]*$', 1) AS parent FROM catalog WHERE file_id % 3 = 0)
+R.add("folder_walk_siblings", """WITH f AS (SELECT DISTINCT dir, regexp_extract(dir, '^(.*)/[^/]*$', 1) AS parent FROM catalog)
  SELECT parent, dir, CASE WHEN count(*) OVER (PARTITION BY parent) > 1 THEN coalesce(lead(dir) OVER (PARTITION BY parent ORDER BY dir), min(dir) OVER (PARTITION BY parent)) END AS next_dir FROM f""", "catalog")(
-    lambda s, d: cat.sibling_folders(views.catalog(s, d).filter("file_id % 3 = 0")))
+    lambda s, d: cat.sibling_folders(views.catalog(s, d)))
 
 R.add("folder_walk_subtree", f"""SELECT path, row_number() OVER (ORDER BY string_split(dir, '/'), nat, path) AS pos
  FROM (SELECT *, {NAT} AS nat FROM (SELECT path, title, CASE WHEN file_id % 5 = 0 THEN regexp_replace(dir, '/[^/]*$', '') ELSE dir END AS dir FROM catalog))

@@ -23,11 +23,11 @@ def p8(s, d):
 
 
 def wide8(s, d):
-    """8x8 images cut to 8x6, so that width and height differ."""
-    return px.crop(p8(s, d), 0, 0, 8, 6)
+    """The pixels of 8x8 images as 16x4 ones, so that width and height differ."""
+    return p8(s, d).selectExpr("image_id", "16 AS w", "4 AS h", "(y * 8 + x) % 16 AS x", "cast((y * 8 + x) div 16 AS int) AS y", "b", "g", "r")
 
 
-WIDE = "wide AS (SELECT image_id, 8 AS w, 6 AS h, x, y, b, g, r FROM pixels WHERE y < 6)"
+WIDE = "wide AS (SELECT image_id, 16 AS w, 4 AS h, (y * 8 + x) % 16 AS x, (y * 8 + x) // 16 AS y, b, g, r FROM pixels)"
 
 # --- moves and fills -------------------------------------------------------------------------
 
@@ -71,11 +71,12 @@ R.add("px_gray14", f"SELECT image_id, x, y, {GRAY14} AS gray14 FROM pixels", "pi
 _POINT = """SELECT p.image_id, {tw} AS w, {th} AS h, tx.i AS x, ty.i AS y, p.b, p.g, p.r FROM pixels32 p, range(0, {tw}) tx(i), range(0, {th}) ty(i) WHERE p.x = (tx.i * {ix}) >> 16 AND p.y = (ty.i * {iy}) >> 16"""
 R.add("px_resize_point", _POINT.format(tw=13, th=20, ix=32 * 65536 // 13 + 1, iy=32 * 65536 // 20 + 1) + " UNION ALL " + _POINT.format(tw=40, th=35, ix=(65536 * 31 + 65535) // 39, iy=(65536 * 31 + 65535) // 34), "pixels32")(
     lambda s, d: px.resize_point(views.pixels32(s, d), "13", "20").unionByName(px.resize_point(views.pixels32(s, d), "40", "35")))
-_GW = 4 * ((int(32 / 24 * (1500 / (32 / 24)) ** 0.5) + 3) // 4)
-_GH = 4 * ((int(_GW / (32 / 24)) + 3) // 4)
-R.add("point_sample_grid", f"""SELECT p.image_id, {_GW} AS w, {_GH} AS h, tx.i AS x, ty.i AS y, p.b, p.g, p.r FROM pixels32 p, range(0, {_GW}) tx(i), range(0, {_GH}) ty(i)
- WHERE p.y < 24 AND p.x = (tx.i * {32 * 65536 // _GW}) >> 16 AND p.y = (ty.i * {24 * 65536 // _GH}) >> 16""", "pixels32")(
-    lambda s, d: px.sample_grid(px.crop(views.pixels32(s, d), 0, 0, 32, 24), 1500))
+_GW = 4 * ((int(64 / 16 * (1500 / (64 / 16)) ** 0.5) + 3) // 4)
+_GH = 4 * ((int(_GW / (64 / 16)) + 3) // 4)
+R.add("point_sample_grid", f"""WITH p AS (SELECT image_id, (y % 2) * 32 + x AS x, y // 2 AS y, b, g, r FROM pixels32)
+ SELECT p.image_id, {_GW} AS w, {_GH} AS h, tx.i AS x, ty.i AS y, p.b, p.g, p.r FROM p, range(0, {_GW}) tx(i), range(0, {_GH}) ty(i)
+ WHERE p.x = (tx.i * {64 * 65536 // _GW}) >> 16 AND p.y = (ty.i * {16 * 65536 // _GH}) >> 16""", "pixels32")(
+    lambda s, d: px.sample_grid(views.pixels32(s, d).selectExpr("image_id", "64 AS w", "16 AS h", "(y % 2) * 32 + x AS x", "cast(y div 2 AS int) AS y", "b", "g", "r"), 1500))
 
 # --- tables ----------------------------------------------------------------------------------
 
@@ -211,7 +212,7 @@ R.add("lut_auto_contrast", f"WITH {AUTO} SELECT image_id, v_in, lut_b::BIGINT AS
     lambda s, d: long_luts(auto_luts(s, d)))
 
 
-@R.add("lut_compose", f"""WITH {AUTO}, au AS MATERIALIZED (SELECT image_id, v_in, lut_b::BIGINT AS lut_b, lut_g::BIGINT AS lut_g, lut_r::BIGINT AS lut_r FROM {_cvl} WHERE image_id % 4 <> 1),
+@R.add("lut_compose", f"""WITH {AUTO}, au AS MATERIALIZED (SELECT image_id, v_in, lut_b::BIGINT AS lut_b, lut_g::BIGINT AS lut_g, lut_r::BIGINT AS lut_r FROM {_cvl}),
  {CGAMMA}, sg AS MATERIALIZED (SELECT p.hash AS lut_id, v_in, _out::BIGINT AS v_out FROM {_cgl} c JOIN params p USING (contrast, gamma)),
  pr AS (SELECT DISTINCT image_id, CASE WHEN image_id % 3 = 0 THEN -1 ELSE image_id % 40 END AS lut_id FROM pixels),
  v AS (SELECT image_id, lut_id, unnest(range(0, 256)) AS v0 FROM pr), one AS (SELECT v.image_id, v0, coalesce(sg.v_out, v0) AS v1 FROM v LEFT JOIN sg ON v.lut_id = sg.lut_id AND sg.v_in = v0)
@@ -220,7 +221,7 @@ def lut_compose(s, d):
     params = views.params(s, d)
     first = params.select(F.col("hash").alias("lut_id"), "contrast", "gamma").join(luts.contrast_gamma(params), ["contrast", "gamma"]).select("lut_id", "lut")
     pairs = p8(s, d).select("image_id").distinct().withColumn("lut_id", F.expr("IF(image_id % 3 = 0, -1, image_id % 40)"))
-    return long_luts(luts.compose(first, auto_luts(s, d).filter("image_id % 4 <> 1"), pairs, hot_rows=50))
+    return long_luts(luts.compose(first, auto_luts(s, d), pairs, hot_rows=50))
 
 
 @R.add("px_apply_lut", f"""WITH {AUTO}, au AS MATERIALIZED (SELECT image_id, list(lut_b::BIGINT ORDER BY v_in) AS lb, list(lut_g::BIGINT ORDER BY v_in) AS lg, list(lut_r::BIGINT ORDER BY v_in) AS lr FROM {_cvl} GROUP BY 1)
@@ -229,13 +230,13 @@ def px_apply_lut(s, d):
     return luts.apply_luts(p8(s, d), auto_luts(s, d).withColumns({"w": F.lit(8), "h": F.lit(8)}))
 
 
-@R.add("px_saturate_lut", f"""WITH sat AS ({sat_duck('pixels', '((image_id % 9) / 4.0::DOUBLE)')}), {CGAMMA}, sg AS MATERIALIZED (SELECT v_in, _out::BIGINT AS v_out FROM {_cgl} c JOIN params p USING (contrast, gamma) WHERE p.hash = 5)
- SELECT image_id, w, h, x, y, ub.v_out AS b, ug.v_out AS g, ur.v_out AS r FROM sat JOIN sg ub ON ub.v_in = b JOIN sg ug ON ug.v_in = g JOIN sg ur ON ur.v_in = r""", "pixels params")
+@R.add("px_saturate_lut", f"""WITH sat AS ({sat_duck('pixels', '((image_id % 9) / 4.0::DOUBLE)')}), {CGAMMA}, sg AS MATERIALIZED (SELECT p.hash, v_in, _out::BIGINT AS v_out FROM {_cgl} c JOIN params p USING (contrast, gamma))
+ SELECT image_id, w, h, x, y, ub.v_out AS b, ug.v_out AS g, ur.v_out AS r FROM sat JOIN sg ub ON ub.hash = image_id + 1 AND ub.v_in = b JOIN sg ug ON ug.hash = image_id + 1 AND ug.v_in = g JOIN sg ur ON ur.hash = image_id + 1 AND ur.v_in = r""", "pixels params")
 def px_saturate_lut(s, d):
     rows = luts.saturate(p8(s, d), "(image_id % 9) / 4.0D")
-    lut = luts.contrast_gamma(views.params(s, d).filter("hash = 5")).select(F.lit(0).alias("lut_id"), "lut")
-    images = rows.select("image_id", "w", "h").distinct()
-    arrays = join_hot_keys(images.withColumn("lut_id", F.lit(0)), lut, ["lut_id"], "inner", hot_rows=100)
+    params = views.params(s, d)
+    lut = params.select((F.col("hash") - 1).alias("image_id"), "contrast", "gamma").join(luts.contrast_gamma(params), ["contrast", "gamma"]).select("image_id", "lut")
+    arrays = rows.select("image_id", "w", "h").distinct().join(lut, "image_id")
     return luts.apply_luts(rows, arrays.select("image_id", "w", "h", *[F.col("lut").alias(f"lut_{c}") for c in "bgr"]))
 
 
@@ -278,13 +279,12 @@ R.add("lut_density_gain", f"WITH {GP32} SELECT * FROM gains", "pixels32")(
     lambda s, d: gains32(s, d).select("image_id", F.posexplode("gain").alias("v_in", "gain")))
 _LDC = f"""{GP32}, {DENSITY}, {SMOOTH.format(src='dm')}, {SCALED},
  pos AS (SELECT *, x * ((65536 * 7) // 31 - 1) AS cx, y * ((65536 * 7) // 31 - 1) AS cy FROM pixels32),
- nb AS (SELECT p.*, tl.m AS tl, tr.m AS tr, bl.m AS bl, br.m AS br FROM pos p JOIN sc tl ON tl.image_id = p.image_id AND tl.x = p.cx >> 16 AND tl.y = p.cy >> 16
-  JOIN sc tr ON tr.image_id = p.image_id AND tr.x = least(7, (p.cx >> 16) + 1) AND tr.y = p.cy >> 16 JOIN sc bl ON bl.image_id = p.image_id AND bl.x = p.cx >> 16 AND bl.y = least(7, (p.cy >> 16) + 1)
-  JOIN sc br ON br.image_id = p.image_id AND br.x = least(7, (p.cx >> 16) + 1) AND br.y = least(7, (p.cy >> 16) + 1)),
+ sl AS (SELECT image_id, list(m ORDER BY y, x) AS ms FROM sc GROUP BY 1), gl2 AS (SELECT image_id, list(gain ORDER BY v_in) AS gs FROM gains GROUP BY 1),
+ at4 AS (SELECT p.*, ms, gs, (cy >> 16) * 8 AS up, least(7, (cy >> 16) + 1) * 8 AS down, (cx >> 16) + 1 AS west, least(7, (cx >> 16) + 1) + 1 AS east FROM pos p JOIN sl USING (image_id) JOIN gl2 USING (image_id)),
+ nb AS (SELECT *, ms[up + west] AS tl, ms[up + east] AS tr, ms[down + west] AS bl, ms[down + east] AS br FROM at4),
  lr AS (SELECT *, floor((cy & 65535) * (bl - tl) / 65536.0::DOUBLE)::BIGINT + tl AS lf, floor((cy & 65535) * (br - tr) / 65536.0::DOUBLE)::BIGINT + tr AS rt FROM nb),
  mk AS (SELECT *, floor((cx & 65535) * (rt - lf) / 65536.0::DOUBLE)::BIGINT + lf - 127 AS mask FROM lr),
- ldc AS (SELECT k.image_id, w, h, x, y, """ + ", ".join(CLAMP.format(f"{c} + floor(mask * g{c}.gain / 16384.0::DOUBLE)::BIGINT") + f" AS {c}" for c in "bgr") + """ FROM mk k
-  JOIN gains gb ON gb.image_id = k.image_id AND gb.v_in = b JOIN gains gg ON gg.image_id = k.image_id AND gg.v_in = g JOIN gains gr ON gr.image_id = k.image_id AND gr.v_in = r)"""
+ ldc AS (SELECT image_id, w, h, x, y, """ + ", ".join(CLAMP.format(f"{c} + floor(mask * gs[{c} + 1] / 16384.0::DOUBLE)::BIGINT") + f" AS {c}" for c in "bgr") + """ FROM mk)"""
 
 
 @R.add("px_density_correct", f"WITH {_LDC} SELECT * FROM ldc", "pixels32")

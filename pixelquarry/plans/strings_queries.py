@@ -12,12 +12,12 @@ _LINES = """lines AS (SELECT n_name AS lang, p_partkey * 3 + k AS line_no, CASE
    WHEN 0 THEN CASE WHEN (p_partkey + n_nationkey) % 5 = 0 THEN '//' || p_name || p_partkey || chr(9) || n_name || p_partkey ELSE p_name || p_partkey || ' ' || chr(9) || n_name || ' ' || p_partkey || '  ' END
    WHEN 1 THEN CASE WHEN p_partkey % 10 = 0 THEN '//: Key ' || (p_partkey % 70) || ': value: ' || p_partkey || ' ' WHEN p_partkey % 10 = 1 THEN '// just a note ' || p_partkey ELSE '' END
    ELSE CASE WHEN p_partkey % 40 = 0 THEN p_name || p_partkey || chr(9) || 'again' WHEN p_partkey % 41 = 1 THEN 'alone ' || p_partkey ELSE '' END END AS line
-  FROM (SELECT *, unnest([0, 1, 2]) AS k FROM part), nation WHERE n_nationkey < 4)"""
+  FROM (SELECT *, unnest([0, 1, 2]) AS k FROM part), nation)"""
 
 
 def catalog_lines(s, d):
-    langs = views.table(s, d, "nation").filter("n_nationkey < 4").select("n_nationkey", F.col("n_name").alias("lang"))
-    parts = views.table(s, d, "part").withColumn("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    langs = views.table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("lang"))
+    parts = views.table(s, d, "part").withColumn("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(24)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
     return parts.join(langs, "n_nationkey").selectExpr(
         "lang", "p_partkey * 3 + k AS line_no",
         "CASE k WHEN 0 THEN IF((p_partkey + n_nationkey) % 5 = 0, concat('//', p_name, p_partkey, '\t', lang, p_partkey), concat(p_name, p_partkey, ' ', '\t', lang, ' ', p_partkey, '  ')) "
@@ -41,14 +41,14 @@ def string_catalog_source(s, d):
     )
 
 
-R.add("translate_lookup", """SELECT a.lang, a.key, coalesce(nullif(s.value, ''), a.key) AS text FROM (SELECT n_name AS lang, key FROM strings_ref, nation WHERE n_nationkey < 8) a LEFT JOIN strings s ON s.lang = a.lang AND s.key = a.key""", "strings_ref strings")(
+R.add("translate_lookup", """SELECT a.lang, a.key, coalesce(nullif(s.value, ''), a.key) AS text FROM (SELECT n_name AS lang, key FROM strings_ref, nation) a LEFT JOIN strings s ON s.lang = a.lang AND s.key = a.key""", "strings_ref strings")(
     lambda s, d: st.lookup(
-        views.strings_ref(s, d).select("key", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("n_nationkey"))
+        views.strings_ref(s, d).select("key", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("n_nationkey"))
         .join(views.table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("lang")), "n_nationkey").select("lang", "key"),
         views.strings(s, d)))
 
 STATE = """st AS (SELECT coalesce(a.lang, s.lang) AS lang, coalesce(a.key, s.key) AS key, s.value, CASE WHEN a.key IS NULL THEN 'out of date' WHEN coalesce(s.value, '') = '' THEN 'missing' WHEN s.value = s.key THEN 'same' ELSE 'done' END AS state
- FROM (SELECT n_name AS lang, key FROM strings_ref, nation WHERE n_nationkey < 8) a FULL JOIN strings s ON s.lang = a.lang AND s.key = a.key)"""
+ FROM (SELECT n_name AS lang, key FROM strings_ref, nation) a FULL JOIN strings s ON s.lang = a.lang AND s.key = a.key)"""
 R.add("strings_reconcile", f"WITH {STATE} SELECT * FROM st", "strings_ref strings")(lambda s, d: st.reconcile(views.strings_ref(s, d), views.strings(s, d)))
 
 R.add("placeholder_check", """SELECT lang, r.key, (length(value) - length(replace(value, '%d', ''))) // 2 = (length(r.key) - length(replace(r.key, '%d', ''))) // 2 AND (length(value) - length(replace(value, '%s', ''))) = (length(r.key) - length(replace(r.key, '%s', '')))

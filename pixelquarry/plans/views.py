@@ -49,11 +49,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """32x32 images, sixteen consecutive vectors per image (a trailing part image is left out)."""
-    src = table(spark, sf_dir, "embeddings")
-    whole = src.count() // 16 * 16
+    """32x32 images, sixteen consecutive vectors per image; the last one is filled up with vectors of zeros."""
+    src = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding")
+    last = src.agg(F.max("vec_id").alias("m")).filter("m % 16 <> 15")
+    rest = last.select(F.explode(F.expr("sequence(m + 1, m div 16 * 16 + 15)")).alias("vec_id")).withColumn("embedding", F.expr("array_repeat(cast(0 AS float), 64)"))
     return (
-        src.filter(F.col("vec_id") < whole)
+        src.withColumn("embedding", F.col("embedding").cast("array<float>")).unionByName(rest)
         .selectExpr("vec_id", "posexplode(embedding) AS (p, e)")
         .selectExpr("vec_id", "p", "cast(floor(cast(e AS double) * 1000) AS int) AS v", "cast(vec_id % 16 AS int) AS t")
         .selectExpr(
@@ -150,18 +151,19 @@ BLOB_EXTENSIONS = ["jpg", "png", "gif", "bmp", "webp", "jxl", "avif", "heic", "c
 
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of each document behind a signature; some once more, cut to their first bytes."""
     magic = ",".join(f"'{m}'" for m in MAGIC_HEX)
     ext = ",".join(f"'{e}'" for e in BLOB_EXTENSIONS)
     return (
         table(spark, sf_dir, "documents")
         .selectExpr(
-            "doc_id",
+            "explode(IF(doc_id % 25 IN (7, 9), array(0, 1), array(0))) AS copy", "doc_id",
             f"concat('f', doc_id, '.', element_at(array({ext}), cast(doc_id % 12 AS int) + 1)) AS name",
             f"concat(unhex(element_at(array({magic}), cast(doc_id % 14 AS int) + 1)), encode(text, 'UTF-8')) AS whole",
         )
         .selectExpr(
-            "doc_id", "name",
-            "CASE WHEN doc_id % 25 = 7 THEN substring(whole, 1, 1) WHEN doc_id % 25 = 9 THEN substring(whole, 1, 2 + cast(doc_id % 13 AS int)) ELSE whole END AS content",
+            "IF(copy = 1, -doc_id - 1, doc_id) AS doc_id", "IF(copy = 1, concat('short-', name), name) AS name",
+            "CASE WHEN copy = 0 THEN whole WHEN doc_id % 25 = 7 THEN substring(whole, 1, 1) ELSE substring(whole, 1, 2 + cast(doc_id % 13 AS int)) END AS content",
         )
     )
 
@@ -174,9 +176,9 @@ def strings_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Translations in eight languages: some missing, some equal to the key, some with a lost placeholder, three stale keys each."""
-    langs = table(spark, sf_dir, "nation").filter("n_nationkey < 8").select("n_nationkey", F.col("n_name").alias("lang"))
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("n_nationkey"))
+    """Translations in all languages: some missing, some equal to the key, some with a lost placeholder, three stale keys each."""
+    langs = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("lang"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("n_nationkey"))
     ref = strings_ref(spark, sf_dir)
     rows = (
         parts.join(ref, parts.p_partkey == ref.seq)
@@ -302,7 +304,8 @@ DUCK: dict[str, str] = {
  SELECT vec_id // 16 AS image_id, 32 AS w, 32 AS h, (t % 4) * 8 + p % 8 AS x, (t // 4) * 8 + p // 8 AS y, {_MOD.format('v')} AS b,
   {_MOD.format('v * 7 + 31 * p')} AS g, {_MOD.format('v * 13 + 17 * p')} AS r FROM (
   SELECT vec_id, p, vec_id % 16 AS t, floor(embedding[p + 1]::DOUBLE * 1000)::BIGINT AS v
-  FROM (SELECT *, unnest(range(len(embedding))) AS p FROM embeddings WHERE vec_id < ((SELECT count(*) FROM embeddings) // 16) * 16))""",
+  FROM (SELECT *, unnest(range(len(embedding))) AS p FROM embeddings) UNION ALL
+  SELECT vec_id, p, vec_id % 16, 0 FROM (SELECT unnest(range(m + 1, m // 16 * 16 + 16)) AS vec_id FROM (SELECT max(vec_id) AS m FROM embeddings)), range(64) t(p))""",
     "pixel_samples": """
  SELECT l_suppkey AS image_id, l_partkey % 256 AS b, l_orderkey % 256 AS g, (floor(l_quantity) * 5 % 256)::BIGINT AS r FROM lineitem""",
     "params": f" SELECT p_partkey AS hash, p_partkey * 2 AS seq, {_PARAMS_DUCK} FROM part",
@@ -336,8 +339,9 @@ DUCK: dict[str, str] = {
   CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE 'jc ' || c_mktsegment END AS jpeg_comment
  FROM orders JOIN customer ON o_custkey = c_custkey""",
     "blobs": f"""
- SELECT doc_id, name, CASE WHEN doc_id % 25 = 7 THEN whole[1:1] WHEN doc_id % 25 = 9 THEN whole[1:2 + doc_id % 13] ELSE whole END AS content FROM (
-  SELECT doc_id, 'f' || doc_id || '.' || (([{_EXT_DUCK}])[doc_id % 12 + 1]) AS name,
+ SELECT CASE WHEN copy = 1 THEN -doc_id - 1 ELSE doc_id END AS doc_id, CASE WHEN copy = 1 THEN 'short-' || name ELSE name END AS name,
+  CASE WHEN copy = 0 THEN whole WHEN doc_id % 25 = 7 THEN whole[1:1] ELSE whole[1:2 + doc_id % 13] END AS content FROM (
+  SELECT unnest(CASE WHEN doc_id % 25 IN (7, 9) THEN [0, 1] ELSE [0] END) AS copy, doc_id, 'f' || doc_id || '.' || (([{_EXT_DUCK}])[doc_id % 12 + 1]) AS name,
    unhex(([{_MAGIC_DUCK}])[doc_id % 14 + 1]) || encode(text) AS whole FROM documents)""",
     "strings_ref": """
  SELECT p_partkey AS seq, p_name || ' ' || p_partkey || CASE WHEN p_partkey % 4 = 0 THEN ' %d' ELSE '' END
@@ -345,8 +349,8 @@ DUCK: dict[str, str] = {
     "strings": """
  SELECT n_name AS lang, key, CASE WHEN (seq + n_nationkey) % 13 = 0 THEN key WHEN (seq + n_nationkey) % 19 = 0 THEN ''
    WHEN (seq + n_nationkey) % 17 = 0 THEN n_name || ' ' || replace(replace(key, '%d', ''), '%s', '') ELSE n_name || ' ' || key END AS value
- FROM strings_ref, nation WHERE n_nationkey < 8 AND (seq + n_nationkey) % 9 <> 0
- UNION ALL SELECT n_name, 'old key ' || i, n_name || ' old ' || i FROM nation, range(1, 4) t(i) WHERE n_nationkey < 8""",
+ FROM strings_ref, nation WHERE (seq + n_nationkey) % 9 <> 0
+ UNION ALL SELECT n_name, 'old key ' || i, n_name || ' old ' || i FROM nation, range(1, 4) t(i)""",
     "playlist": r"""
  SELECT list_id, line_no, CASE WHEN list_id = 7 AND line_no % 1001 = 3 THEN rpad(line0, 600, 'x') ELSE line0 END AS line FROM (
   SELECT list_id, file_id * 2 + copy + 1 AS line_no,
@@ -390,7 +394,8 @@ def duck_with(views: list[str], sql: str) -> str:
                 wanted.append(name)
     if not wanted:
         return sql
-    body = ",\n".join(f"{name} AS ({DUCK[name]})" for name in wanted)
+    # a view with a union would be put into every place that reads it, and joins over it be ordered without its size
+    body = ",\n".join(f"{name} AS {'MATERIALIZED ' if name == 'pixels32' else ''}({DUCK[name]})" for name in wanted)
     sql = sql.lstrip()
     if sql.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {body},\n{sql[15:]}"

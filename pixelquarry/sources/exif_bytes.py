@@ -62,18 +62,18 @@ class _Tiff:
     def number(self, entry: int | None) -> int:
         return self.short(entry) or self.long(entry)
 
-    def raw_text(self, entry: int | None, limit: int = 65536) -> bytes:
+    def raw_text(self, entry: int | None, limit: int | None = None) -> bytes:
         if entry is None or self.get("H", entry + 2) != 2:
             return b""
         size = self.get("I", entry + 4)
-        if size > limit:
+        if limit is not None and size > limit:
             return b""
         start = entry + 8 if size <= 4 else self.get("I", entry + 8)
         if start > len(self.data):
             raise struct.error("text past block")
         return self.data[start:start + size].split(b"\0")[0]
 
-    def text(self, entry: int | None, limit: int = 65536) -> str | None:
+    def text(self, entry: int | None, limit: int | None = None) -> str | None:
         return self.raw_text(entry, limit).decode("cp1252", "replace") or None
 
     def fraction(self, entry: int | None, index: int = 0) -> tuple[int, int] | None:
@@ -96,7 +96,7 @@ class _Tiff:
         if entry is None or self.get("H", entry + 2) != 7:
             return None
         size = self.get("I", entry + 4)
-        if not 10 < size <= 4096:
+        if size <= 8:  # the name of the encoding alone
             return None
         start = self.get("I", entry + 8)
         body = self.data[start:start + size]

@@ -71,13 +71,22 @@ def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
 
     The image id is a hash of the file path, so it stays the same in every run.
     """
-    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(folder)
+    images = _images(spark, folder).filter("image.nChannels > 0")
     flat = images.select(
         F.xxhash64("image.origin").alias("image_id"), "image.width", "image.height", "image.nChannels", "image.data"
     )
     return explode_pixels(flat)
 
 
+def _images(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("image").option("recursiveFileLookup", "true").load(folder)
+
+
+def undecodable(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, reason`` of the files that :func:`read_pixels` gives no pixels for."""
+    return _images(spark, folder).filter("image.nChannels <= 0").select(F.col("image.origin").alias("path"), F.lit("not an image that can be decoded").alias("reason"))
+
+
 def explode_pixels(images: DataFrame) -> DataFrame:
     """Decoded images (``image_id, width, height, nChannels, data``) to pixel rows, in chunks of about a million."""
     return images.select("image_id", "width", "height", "nChannels", "data").mapInPandas(
