@@ -9,8 +9,8 @@ compared word by word along it. An overlap is the stretch that scores best with
 Training hashes first meet a bitmap of the test hashes (its size is fixed by ``BITMAP_BITS``, whatever the tables' sizes); what passes is joined
 exactly. Candidates are written to the shared folder once; only texts with candidates meet them again.
 
-Words are ``[^\x20\x09-\x0D]+`` of the text with A-Z in lower case. Cases: null and empty texts match nothing; items of fewer than ``min_words`` words
-match nothing (too short to tell); items that may overlap in fewer words than a mask counts have a mask of their own; equal item texts count once, under the smallest item id; repeated rows
+Words are ``[^\x20\x09-\x0D]+`` of the text with A-Z in lower case. Cases: null and empty texts match nothing; an item of fewer than ``min_words`` words
+is met by texts that have just its words (as a part of longer texts so few words tell nothing); items that may overlap in fewer words than a mask counts have a mask of their own; equal item texts count once, under the smallest item id; repeated rows
 give one result; an empty table on either side gives an empty result; other columns are not read; a null doc_id stays null.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelquarry.llm import words as W
+from pixelquarry.llm.keys import row_key
 from pixelquarry.operators.scaling import broadcast_if_small
 from pixelquarry.session import materialise
 
@@ -114,8 +115,9 @@ def _overlaps(
     tests = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).filter("item_text IS NOT NULL")
     tests = tests.groupBy("item_text").agg(F.min("item_id").alias("item_id"))
     n_words = F.size(F.regexp_extract_all("item_text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
-    tests = tests.withColumn("item", F.xxhash64("item_text")).withColumn("item_words", n_words).filter(F.col("item_words") >= min_words)
+    tests = tests.withColumn("item", F.xxhash64("item_text")).withColumn("item_words", n_words)
     needed = F.least(F.lit(min_matched), F.ceil(F.col("item_words") * 4 / 5))
+    tiny, tests = tests.filter(F.col("item_words").between(1, min_words - 1)), tests.filter(F.col("item_words") >= min_words)
     short = [r[0] for r in tests.filter(needed < 2 * penalty + 1).select("item_words").distinct().collect()]  # few lengths
     seeds = _seeds(short, min_matched, penalty)
     scan = F.arrow_udf(lambda column: _scan(column, seeds, None), HITS)
@@ -128,33 +130,43 @@ def _overlaps(
         bitmap[r["at"]] = r["bits"]
     shared = spark.sparkContext.broadcast(bitmap.view(np.uint64))
     train = F.arrow_udf(lambda column: _scan(column, seeds, shared.value), HITS)
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("key", row_key("doc_id", "text"))
     hits = source.select("key", F.explode(train("text")).alias("hit")).select("key", F.col("hit.gram").alias("gram"), F.col("hit.pos").alias("pos"))
     joined = hits.join(broadcast_if_small(grams, BROADCAST_ROWS), "gram")
     pairs = materialise(joined.select("key", "item", (F.col("pos") - F.col("t_pos")).alias("diagonal")).distinct())
-    known = tests.select("item", "item_id", "item_text")
-    by_doc = pairs.join(known, "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "item_text", "diagonal")).alias("tries"))
-    met = source.join(broadcast_if_small(pairs.select("key").distinct(), BROADCAST_ROWS), "key", "left_semi")
-    met = met.join(by_doc, "key").select("key", "doc_id", "text", "tries")
-
-    kind = items.schema[item_id].dataType.simpleString()
-    result = f"array<struct<item_id: {kind}, doc_start: int, doc_end: int, item_start: int, n_matched: int, similarity: double>>"
-
-    def verify(texts: pa.Array, tries: pa.Array) -> pa.Array:
-        out = []
-        for body, own in zip(texts.to_pylist(), tries.to_pylist(), strict=True):
-            doc, found = words_of(body), []
-            split: dict[str, list[str]] = {}
-            for t in own:
-                item = split.get(t["item_text"]) or split.setdefault(t["item_text"], words_of(t["item_text"]))
-                met = overlap(doc, item, t["diagonal"], penalty)
+    # pair by pair, so that a text that meets many items, or one item many times, is never gathered with all of them
+    by_pair = pairs.groupBy("key", "item").agg(F.collect_list("diagonal").alias("diagonals"))
+    met = source.join(broadcast_if_small(pairs.select("key").distinct(), BROADCAST_ROWS), "key", "left_semi").dropDuplicates(["key"])
+    met = met.join(by_pair, "key").join(tests.select("item", "item_id", "item_text"), "item").select("key", "doc_id", "text", "item_id", "item_text", "diagonals")
+
+    result = "array<struct<doc_start: int, doc_end: int, item_start: int, n_matched: int, similarity: double>>"
+    names = ["doc_start", "doc_end", "item_start", "n_matched", "similarity"]
+
+    def verify(texts: pa.Array, item_texts: pa.Array, diagonals: pa.Array) -> pa.Array:
+        out, before, doc = [], None, []
+        for body, item_text, own in zip(texts.to_pylist(), item_texts.to_pylist(), diagonals.to_pylist(), strict=True):
+            if body != before:
+                before, doc = body, words_of(body)
+            item, found = words_of(item_text), set()
+            for diagonal in own:
+                met = overlap(doc, item, diagonal, penalty)
                 if met and met[2] >= _needed(len(item), min_matched):
-                    found.append((t["item_id"], met[0] + t["diagonal"], met[0] + t["diagonal"] + met[1], met[0], met[2], met[2] / met[1]))
-            out.append([dict(zip(("item_id", "doc_start", "doc_end", "item_start", "n_matched", "similarity"), x, strict=True)) for x in sorted(set(found), key=repr)])
-        fields = [("item_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("doc_start", pa.int32()), ("doc_end", pa.int32()), ("item_start", pa.int32()), ("n_matched", pa.int32()), ("similarity", pa.float64())]
-        return pa.array(out, pa.list_(pa.struct(fields)))
-
-    return met.select("key", "doc_id", F.explode(F.arrow_udf(verify, result)("text", "tries")).alias("o")).select("key", "doc_id", "o.*")
+                    found.add((met[0] + diagonal, met[0] + diagonal + met[1], met[0], met[2], met[2] / met[1]))
+            out.append([dict(zip(names, x, strict=True)) for x in sorted(found)])
+        return pa.array(out, pa.list_(pa.struct([*((n, pa.int32()) for n in names[:-1]), (names[-1], pa.float64())])))
+
+    found = met.select("key", "doc_id", "item_id", F.explode(F.arrow_udf(verify, result)("text", "item_text", "diagonals")).alias("o")).select("key", "doc_id", "item_id", "o.*")
+    small = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda text: F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    shortest = tiny.withColumn("_words", words(F.translate("item_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    shortest = shortest.groupBy("_words").agg(F.min("item_id").alias("item_id"))
+    if shortest.isEmpty():
+        return found
+    # only texts that can't have more than so few words are split
+    brief = source.withColumn("_words", F.when(~F.coalesce("text", F.lit("")).rlike(rf"(?s)^\s*(\S+\s+){{{min_words}}}"), words(small)))
+    n = F.size("_words")
+    whole = brief.join(broadcast_if_small(shortest, BROADCAST_ROWS), "_words")
+    return found.unionByName(whole.select("key", "doc_id", "item_id", F.lit(0).alias("doc_start"), n.alias("doc_end"), F.lit(0).alias("item_start"), n.alias("n_matched"), F.lit(1.0).alias("similarity")))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -168,4 +180,4 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` without an overlap, with all their columns."""
     found = materialise(_overlaps(docs, items, doc_id, text, **options).select(F.col("key").alias("_leaked")).distinct())
-    return docs.join(broadcast_if_small(found, BROADCAST_ROWS), F.xxhash64(docs[doc_id], docs[text]) == found["_leaked"], "left_anti")
+    return docs.join(broadcast_if_small(found, BROADCAST_ROWS), row_key(docs[doc_id], docs[text]) == found["_leaked"], "left_anti")

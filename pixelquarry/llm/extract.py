@@ -2,8 +2,11 @@
 
 A page becomes lines: the text of each block element, with the place it stands in (the article, page furniture such as navigation, headers, footers,
 sidebars, notices, adverts, forms and comments, or neither). Pages of a host are ordered by URL path; each is paired with that neighbour whose path
-shares the longer beginning; pages of a host with equal lines are copies and stand there once. The two pages' lines are aligned by a longest common subsequence. Shared lines are what the site repeats: they are deleted
-unless the page marks them as its article, because articles of one site may share passages. Furniture that the markup names is left out in any case.
+shares the longer beginning; pages of a host with equal lines are copies and stand there once. The two pages' lines are aligned by a longest common subsequence.
+
+Shared lines are what the site repeats. They are deleted outside the article. Inside it they are deleted where a class or role names them furniture, or where
+the site repeats them on ``SITE_SHARE`` of its pages (and ``SITE_PAGES`` at least), since articles of one site may share passages. Furniture elements, and
+outside the article whatever is named furniture, are left out in any case.
 
 Pairs come from row numbers over (host, path) and neighbours in small chunks of numbers, so a host with a third of all pages is spread over all tasks;
 only keys are ordered, and digests of a page's lines move to the page that is compared with it.
@@ -14,8 +17,8 @@ own host ''; repeated rows give one result each; an empty table gives an empty r
 
 from __future__ import annotations
 
-import bisect
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -31,7 +34,7 @@ from pixelquarry.session import materialise
 
 #: Elements of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button".split())
+UNSEEN = frozenset("script style noscript template head title svg iframe canvas audio video select textarea button".split())
 FURNITURE = frozenset("nav header footer aside form dialog menu".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr big strike".split())
 #: Class, id or role tokens that name page furniture: one of these words, alone or together with words of place and form only.
@@ -41,7 +44,12 @@ PLACES = frozenset("site page global main top bottom left right primary secondar
 WHOLE = frozenset("html body main".split())
 CHUNK = 64
 
-ARTICLE, FURNISHED, PLAIN = 1, 2, 0
+#: Furniture by name inside an article: deleted if shared.
+ARTICLE, FURNISHED, PLAIN, DOUBTED = 1, 2, 0, 3
+#: A line inside articles is the site's own if more than this share of its different pages has it, and so many pages at least.
+SITE_SHARE, SITE_PAGES = 0.5, 5
+#: Bits that the alignment of two pages keeps at once.
+ROW_BITS = 1 << 29
 BROADCAST_PAGES = 500_000
 
 
@@ -79,12 +87,16 @@ class _Lines(HTMLParser):
             if self.open[at][0] == "p" or tag == "li" and self.open[at][0] == "li":
                 del self.open[at:]
         _, kind, unseen = self.open[-1]
-        names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
+        inside = kind in (ARTICLE, DOUBTED)  # there an id is an anchor, and a header is the article's own
+        names = " ".join(v for k, v in attrs if v and k in (("class", "role") if inside else ("class", "id", "role")))
         named = tag not in WHOLE and names_furniture(names)
         if kind != FURNISHED:
-            if tag in FURNITURE or named:
+            if tag in FURNITURE and not (inside and tag == "header"):
                 kind = FURNISHED
                 self.close_line() if tag in INLINE else None
+            elif named:
+                kind = DOUBTED if inside else FURNISHED
+                self.close_line() if tag in INLINE else None
             elif tag in ("article", "main"):
                 kind = ARTICLE
         elif tag in ("article", "main") and not named and not any(x[0] in FURNITURE and x[0] != "form" for x in self.open):
@@ -116,46 +128,77 @@ def page_lines(html: str | None) -> list[tuple[int, str]]:
     return parser.lines
 
 
-def common_lines(a: list[str], b: list[str]) -> list[int]:
-    """Places in ``a`` of a longest common subsequence with ``b`` (matching pairs by ascending place, and longest increasing run by binary search)."""
+def _steps(a: list, masks: dict, full: int) -> Iterator[int]:
+    """Rows of the alignment table by bits: place j is 0 where the common length grows at j. One step a line, whatever lines repeat."""
+    row = full
+    for x in a:
+        met = row & masks.get(x, 0)
+        row = (row + met | row - met) & full
+        yield row
+
+
+def _masks(b: list) -> dict:
+    where: dict = {}
+    for j, x in enumerate(b):
+        where.setdefault(x, []).append(j)
+    out = {}
+    for x, places in where.items():
+        raw = bytearray(len(b) // 8 + 1)
+        for j in places:
+            raw[j >> 3] |= 1 << (j & 7)
+        out[x] = int.from_bytes(raw, "little")
+    return out
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Common length of all of ``a`` with every beginning of ``b``."""
+    row = full = (1 << len(b)) - 1
+    for row in _steps(a, _masks(b), full):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.append(0, np.cumsum(bits == 0))
+
+
+def _aligned(a: list, b: list) -> list[int]:
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > ROW_BITS:  # halves of a, with b cut where they have most in common
+        half = len(a) // 2
+        at = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        return _aligned(a[:half], b[:at]) + [half + i for i in _aligned(a[half:], b[at:])]
+    rows = list(_steps(a, _masks(b), (1 << len(b)) - 1))
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append(i)
+    return out[::-1]
+
+
+def common_lines(a: list, b: list) -> list[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``; work and memory are bounded also where lines repeat."""
     lead = 0
     while lead < min(len(a), len(b)) and a[lead] == b[lead]:
         lead += 1
     tail = 0
     while tail < min(len(a), len(b)) - lead and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    where: dict[str, list[int]] = {}
-    for j in range(len(b) - tail - 1, lead - 1, -1):
-        where.setdefault(b[j], []).append(j)  # descending, so that a line of a is used once
-    ends: list[int] = []
-    chain: list[tuple[int, tuple | None]] = []
-    for i in range(lead, len(a) - tail):
-        for j in where.get(a[i], ()):
-            k = bisect.bisect_left(ends, j)
-            link = (i, chain[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chain.append(link)
-            else:
-                ends[k], chain[k] = j, link
-    middle, link = [], chain[-1] if chain else None
-    while link:
-        middle.append(link[0])
-        link = link[1]
-    return [*range(lead), *reversed(middle), *range(len(a) - tail, len(a))]
-
-
-def shared_places(own: list, other: list | None) -> list[int]:
-    """Lines that a page shares with another; of a copy none, as it tells nothing about what the site repeats."""
-    found = common_lines(own, other) if other else []
-    return [] if len(found) == len(own) else found
-
-
-def main_text(lines: list[tuple[int, str]], shared: set[int]) -> tuple[str, int]:
+    also = set(b)
+    own = [i for i in range(lead, len(a) - tail) if a[i] in also]
+    there = set(a)
+    middle = _aligned([a[i] for i in own], [x for x in b[lead : len(b) - tail] if x in there])
+    return [*range(lead), *(own[i] for i in middle), *range(len(a) - tail, len(a))]
+
+
+def main_text(lines: list[tuple[int, str]], shared: set[int], sitewide: set[int] = frozenset()) -> tuple[str, int]:
     """Text of a page, and how many of its shared lines are not in it."""
     kept, deleted = [], 0
     for i, (kind, text) in enumerate(lines):
-        if kind == FURNISHED or kind != ARTICLE and i in shared:
+        if kind == FURNISHED or i in shared and (kind != ARTICLE or i in sitewide):
             deleted += i in shared
         else:
             kept.append(text)
@@ -187,7 +230,8 @@ def nearest_pages(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def shared_lines(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """key (a hash of id, URL and HTML) and the places of the lines that a page shares with its nearest one, for pages that share any."""
+    """key (a hash of id, URL and HTML), the places of the lines that a page shares with its nearest one, and which of them the site repeats, for pages that
+    share any."""
 
     def digests(column: pa.Array) -> pa.Array:
         lines = [np.array([xxhash.xxh3_64_intdigest(t) for _, t in page_lines(x.as_py())], np.uint64).view(np.int64) for x in column]
@@ -205,12 +249,19 @@ def shared_lines(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     pairs = near.join(lines, "key").join(lines.select(F.col("key").alias("other"), F.col("lines").alias("other_lines")), "other")
 
     def common(own: pa.Array, other: pa.Array) -> pa.Array:
-        found = [shared_places(a.as_py(), b.as_py()) for a, b in zip(own, other, strict=True)]
+        found = [common_lines(a.as_py(), b.as_py()) for a, b in zip(own, other, strict=True)]
         return pa.array(found, pa.list_(pa.int32()))
 
-    found = pairs.select("key", F.arrow_udf(common, "array<int>")("lines", "other_lines").alias("shared")).filter(F.size("shared") > 0)
-    found = firsts.join(found, "key").select("host", "same", "shared")
-    return join_hot_keys(facts.select("key", "host", "same").distinct(), found, ["host", "same"], "inner").select("key", "shared")
+    found = materialise(pairs.select("key", F.arrow_udf(common, "array<int>")("lines", "other_lines").alias("shared")).filter(F.size("shared") > 0))
+    # only lines that some neighbours share can be the site's own; each page counts a line once
+    sharing = found.join(lines, "key").join(firsts.select("key", "host", "same"), "key")
+    n_pages = firsts.groupBy("host").agg(F.count("*").alias("n_pages"))
+    counted = sharing.select("host", F.explode(F.expr("array_distinct(transform(shared, i -> lines[i]))")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    own = counted.join(n_pages, "host").filter((F.col("n") > SITE_SHARE * F.col("n_pages")) & (F.col("n") >= SITE_PAGES)).select("host", "line")
+    met = join_hot_keys(sharing.select("key", "host", F.explode(F.expr("transform(shared, i -> struct(i AS at, lines[i] AS line))")).alias("s")).select("key", "host", "s.*"), own, ["host", "line"], "inner")
+    sitewide = met.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("sitewide"))
+    found = firsts.join(found, "key").join(sitewide, "key", "left").select("host", "same", "shared", F.coalesce("sitewide", F.array().cast("array<int>")).alias("sitewide"))
+    return join_hot_keys(facts.select("key", "host", "same").distinct(), found, ["host", "same"], "inner").select("key", "shared", "sitewide")
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -220,15 +271,15 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     """
     shared = materialise(shared_lines(pages, page_id, url, html))
 
-    def read(column: pa.Array, places: pa.Array) -> pa.Array:
+    def read(column: pa.Array, places: pa.Array, everywhere: pa.Array) -> pa.Array:
         out = []
-        for body, own in zip(column, places, strict=True):
+        for body, own, site in zip(column, places, everywhere, strict=True):
             lines, met = page_lines(body.as_py()), set(own.as_py() or ())
-            text, deleted = main_text(lines, met)
+            text, deleted = main_text(lines, met, set(site.as_py() or ()))
             out.append({"text": text, "n_lines": len(lines), "n_shared": len(met), "n_deleted": deleted})
         return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_shared", pa.int64()), ("n_deleted", pa.int64())]))
 
     base = pages.select(F.xxhash64(page_id, url, html).alias("key"), F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     met = base.join(broadcast_if_small(shared, BROADCAST_PAGES), "key", "left")
-    done = met.select("page_id", "url", F.arrow_udf(read, "struct<text: string, n_lines: bigint, n_shared: bigint, n_deleted: bigint>")("html", "shared").alias("d"))
+    done = met.select("page_id", "url", F.arrow_udf(read, "struct<text: string, n_lines: bigint, n_shared: bigint, n_deleted: bigint>")("html", "shared", "sitewide").alias("d"))
     return done.select("page_id", "url", "d.text", F.char_length("d.text").cast("bigint").alias("n_chars"), "d.n_lines", "d.n_shared", "d.n_deleted")

@@ -1,7 +1,7 @@
 """URL filters: a blocked Bloom filter before an exact hash join.
 
-Listed entries are canonical ``host/path-beginning`` keys with an action. Every URL has one key for each suffix of its host's labels and each length of
-path beginning that the list uses. A blocked Bloom filter of the listed keys (one 512-bit block per key, eight bits in it) passes possible hits; those
+Listed entries are canonical ``host/path-beginning`` keys with an action. Every URL has one key for each number of
+last host labels and length of path beginning that the list uses, however many labels it has itself. A blocked Bloom filter of the listed keys (one 512-bit block per key, eight bits in it) passes possible hits; those
 meet the list in an exact hash join, which removes the false positives. URLs without a possible hit never move. The filter's size is bounded by
 ``MAX_BLOCKS`` whatever the list's size: a longer list passes more, and the join stays exact.
 
@@ -74,13 +74,15 @@ def bloom_filter(listed: DataFrame, key: str = "key", bits_per_key: int = BITS_P
     return out.view(np.uint64)
 
 
-def url_keys(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Keys under which a URL may be listed."""
-    if not host:
+def url_keys(host: str, path: str, shapes: list[tuple[int, int]]) -> list[str]:
+    """Keys under which a URL may be listed; ``shapes``: the (labels of the host, length of the path) that listed keys have."""
+    if not host or not shapes:
         return []
-    labels = host.split(".")
-    beginnings = [path[:n] for n in lengths if n <= len(path)]
-    return [".".join(labels[i:]) + p for i in range(len(labels)) for p in beginnings]
+    most = max(n for n, _ in shapes)
+    labels = host.rsplit(".", most)  # a host of more labels keeps its head in one piece, which no listed key reaches
+    whole = len(labels) if len(labels) <= most else most
+    ends = {n: ".".join(labels[-n:]) for n in {n for n, _ in shapes} if n <= whole}
+    return [ends[n] + path[:k] for n, k in shapes if n in ends and k <= len(path)]
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, page_id: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
@@ -90,12 +92,14 @@ def judge_urls(pages: DataFrame, listed: DataFrame, page_id: str = "page_id", ur
     """
     spark = pages.sparkSession
     entries = listed.groupBy("tier", "key").agg(F.min("action").alias("action"))
-    lengths = sorted(r[0] for r in entries.select(F.char_length(_split_key(F.col("key"))[1])).distinct().collect())  # path lengths in use: few
+    own_host, own_path = _split_key(F.col("key"))
+    n_labels = F.char_length(own_host) - F.char_length(F.replace(own_host, F.lit("."), F.lit(""))) + 1
+    shapes = sorted(tuple(r) for r in entries.select(n_labels, F.char_length(own_path)).distinct().collect())  # label counts and path lengths in use: few
     shared = spark.sparkContext.broadcast(bloom_filter(entries.select("key").distinct()))
 
     def possible(hosts: pa.Array, paths: pa.Array) -> pa.Array:
         table = shared.value
-        keys = [url_keys(h, p, lengths) for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True)]
+        keys = [url_keys(h, p, shapes) for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True)]
         flat = [k for own in keys for k in own]
         if not flat:
             return pa.array([[] for _ in keys], pa.list_(pa.string()))
@@ -106,11 +110,13 @@ def judge_urls(pages: DataFrame, listed: DataFrame, page_id: str = "page_id", ur
     base = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     probed = base.withColumn("keys", F.arrow_udf(possible, "array<string>")("host", "path"))
     clear = probed.filter(F.size("keys") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("entry"), F.lit(None).cast("int").alias("tier"), F.lit(default).alias("verdict"))
-    hits = probed.filter(F.size("keys") > 0).withColumn("row", F.monotonically_increasing_id()).select("*", F.explode("keys").alias("key")).drop("keys")
+    same = ["page_id", "host", "path"]  # rows that are alike are judged together and given back one by one
+    rows = probed.filter(F.size("keys") > 0).groupBy(*same).agg(F.first("keys").alias("keys"), F.count("*").alias("n_rows"))
+    hits = rows.select(*same, "n_rows", F.explode("keys").alias("key"))
     small = entries.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     met = hits.join(broadcast_if_small(entries, BROADCAST_KEYS), "key", "left") if small else join_hot_keys(hits, entries, ["key"], "left")
     best = F.max_by(F.struct("key", "tier", "action"), F.when(F.col("action").isNotNull(), F.struct(-F.col("tier"), F.char_length("key"), F.col("key"))))
-    judged = met.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("best"))
+    judged = met.groupBy(*same).agg(F.max("n_rows").alias("n_rows"), best.alias("best")).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_rows"))))
     judged = judged.select("page_id", "host", "path", F.col("best.key").alias("entry"), F.col("best.tier").alias("tier"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
     return clear.union(judged)
 

@@ -81,6 +81,37 @@ def test_license_spans_tolerate_changes(spark):
     assert got[2].labels == "" and got[2].score == 0
 
 
+def test_repeats_of_a_part_are_no_license(spark):
+    full, part = "Licensed under CC BY-SA 4.0", "BY-SA 4.0"
+    texts = [f"{part}, {part}", full, f"x {full} y {part} {part}", "4.0 BY-SA by CC under Licensed", " ".join([full] * 9), f"{full[:15]} very {full[15:]}"]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert [got[i].labels for i in range(6)] == ["", "cc-by,cc-by-sa", "cc-by,cc-by-sa", "", "cc-by,cc-by-sa", "cc-by"]
+    assert got[1].score == 1.0 and got[4].n_base == 9
+
+
+def test_labels_against_all_alignments(spark):
+    """A template is found if a rising run of its k-grams, on diagonals near each other, covers enough of it."""
+    rng = np.random.default_rng(8)
+    own = licenses.Template("one two three four five six seven eight nine ten", "ten")
+    words = own.words() + ["x", "y"]
+    docs = [[words[i] for i in rng.integers(0, 12, 6)] + own.words()[: int(rng.integers(5, 11))] + [words[i] for i in rng.integers(0, 12, 6)] for _ in range(80)]
+    rows = licenses.scan_licenses(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id int, text string"), [own]).collect()
+    grams = [tuple(own.words()[i : i + 3]) for i in range(8)]
+    want = {}
+    for i, d in enumerate(docs):
+        runs, best = [(p, grams.index(tuple(d[p : p + 3]))) for p in range(len(d) - 2) if tuple(d[p : p + 3]) in grams], 0
+        for diagonal in {p - t for p, t in runs}:
+            best = max(best, sum(p - t == diagonal for p, t in runs))
+        want[i] = best
+    assert all((r.labels == "ten") >= (want[r.doc_id] >= 7) and (r.labels == "") >= (want[r.doc_id] < 4) for r in rows) and len(set(r.labels for r in rows)) == 2
+
+
+def test_a_long_text_of_hits(spark):
+    text = "all rights reserved licensed under cc by 4.0 " * 30_000
+    one = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    assert one.n_words == 270_000 and one.n_base == 60_000 and one.base_labels == "cc-by,reserved"
+
+
 def test_urls(spark):
     cases = [
         ("http://A.Example.org/en/12?x", "a.example.org", "/en/12", "example.org/en/1", "block"), ("https://org/x#y", "org", "/x", "org/", "allow"),
@@ -97,6 +128,16 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge_urls(pages, urls.listed_entries(spark).limit(0)).collect()} == {"allow"}
 
 
+def test_url_keys_of_long_hosts_and_urls(spark):
+    shapes = [(1, 0), (2, 4), (3, 1)]
+    assert urls.url_keys("a.b.c.d", "/xyz/", shapes) == ["d", "c.d/xyz", "b.c.d/"] and urls.url_keys("d", "", shapes) == ["d"]
+    assert urls.url_keys("b.c.d", "/", shapes) == ["d", "b.c.d/"] and urls.url_keys("", "/", shapes) == []
+    far = "http://" + "a." * 500_000 + "example.org/es/" + "x" * 500_000
+    pages = spark.createDataFrame([(1, far), (1, far), (2, "http://" + "." * 400_000)], "page_id bigint, url string")
+    rows = urls.judge_urls(pages, urls.listed_entries(spark)).collect()
+    assert sorted((r.page_id, r.entry, r.verdict) for r in rows) == [(1, "example.org/es/", "block"), (1, "example.org/es/", "block"), (2, None, "allow")]
+
+
 def test_url_filter_passes_every_listed_key(spark):
     listed = spark.range(3000).select(F.concat(F.lit("h"), "id", F.lit(".com/")).alias("key"))
     table = urls.bloom_filter(listed, max_blocks=40)
@@ -202,6 +243,31 @@ def test_names_are_whole_tokens():
     assert text(f'<aside>{article}</aside><div class="ad">Buy</div><div id="comments">nice</div><div class="cookie-notice">yes</div><p>Rest</p>') == "Rest"
 
 
+def test_an_article_keeps_its_own():
+    text = lambda html, shared=(): extract.main_text(extract.page_lines(html), set(shared))[0]
+    page = '<article><header><h1>Title</h1></header><h2 id="share">Share prices fell</h2><section class="navigation">how birds navigate</section><p>x <math>1</math></p><nav>Menu</nav></article>'
+    assert text(page) == "Title Share prices fell how birds navigate x 1"
+    assert text(page, [2]) == "Title Share prices fell x 1"
+    assert text('<h2 id="share">Follow</h2><p>Body</p>') == "Body"
+
+
+def test_lines_that_a_site_repeats(spark):
+    body = "<article><p>Story {0}</p><p>Subscribe now</p><p>Passage {1}</p></article>"
+    html = {f"http://h/{i}": body.format(i, i // 2) for i in range(8)} | {"http://k/1": body.format("k1", 0), "http://k/2": body.format("k2", 0)}
+    html |= {"http://m/1": "<div>Menu</div><p>Foot</p>", "http://m/2": "<div>Menu</div><p>News</p><p>Foot</p>"}
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(html.items())], "page_id bigint, url string, html string")
+    got = {r.url: r.text for r in extract.extract_pages(pages).collect()}
+    want = {f"http://h/{i}": f"Story {i} Passage {i // 2}" for i in range(8)}  # passages of two pages stay, and so does what few pages repeat
+    assert got == want | {f"http://k/{i}": f"Story k{i} Subscribe now Passage 0" for i in (1, 2)} | {"http://m/1": "", "http://m/2": "News"}
+
+
+def test_common_lines_of_repeated_lines(monkeypatch):
+    a, b = ["0"] * 20_000 + ["x"], ["y"] + ["0"] * 15_000
+    assert len(extract.common_lines(a, b)) == 15_000
+    monkeypatch.setattr(extract, "ROW_BITS", 40)
+    test_common_lines_are_longest()
+
+
 def test_common_lines_are_longest():
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -357,14 +423,25 @@ def items(spark):
 
 def test_decontamination(docs, none, items):
     rows = decontam.contaminated(docs, items).collect()
-    assert {(r.doc_id, r.item_id) for r in rows} == {(14, 1), (6, 5), (7, 5), (8, 5), (12, 5), (None, 5)}
+    # item 4 is too short to tell anything inside a longer text; document 15 is it
+    assert {(r.doc_id, r.item_id) for r in rows} == {(14, 1), (6, 5), (7, 5), (8, 5), (12, 5), (None, 5), (15, 4)}
     leak = next(r for r in rows if r.doc_id == 14)
     assert (leak.doc_start, leak.doc_end, leak.item_start, leak.n_matched) == (5, 21, 0, 15)
     left = decontam.decontaminate(docs, items)
-    assert left.columns == docs.columns and left.count() == len(TEXTS) - 7
+    assert left.columns == docs.columns and left.count() == len(TEXTS) - 8
     assert decontam.contaminated(none, items).count() == 0 and decontam.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_a_text_full_of_items(spark):
+    items = spark.createDataFrame([(i, f"a b c d e f g h i{i} j k l m n") for i in range(30)], "item_id bigint, text string")
+    body = " ".join(f"a b c d e f g h i{i} j k l m n" for i in range(30)) + " a b c d" * 500
+    docs = spark.createDataFrame([(1, body), (1, body), (2, "a b c d"), (3, " One\n")], "doc_id bigint, text string")
+    tiny = items.union(spark.sql("SELECT 100L, 'one' UNION ALL SELECT 101L, 'ONE ' UNION ALL SELECT 102L, ''"))
+    rows = decontam.contaminated(docs, tiny).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {*((1, i) for i in range(30)), (3, 100)}
+    assert [r.doc_id for r in decontam.decontaminate(docs, tiny).collect()] == [2]
+
+
 def test_masks_hit_every_accepted_pattern():
     from itertools import combinations, product
 
