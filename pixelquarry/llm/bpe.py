@@ -28,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelquarry.llm.pieces import PLAIN, PieceTable, byte_level_cuts, encode_column, id_lists, whole_texts
+from pixelquarry.llm.pieces import PLAIN, PieceTable, byte_level_cuts, encode_column, give_back, id_lists, whole_texts
 
 _2_64 = 1 << 64
 _CODECS: dict[bytes, tuple[BytePairs, PieceTable]] = {}
+#: Text bytes encoded at once, and bytes of remembered pieces.
+SLICE_BYTES, REMEMBERED_BYTES = 2 << 20, 32 << 20
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -163,7 +165,7 @@ def _codec(content: bytes, pattern: str, whole: PerfectHash) -> tuple[BytePairs,
         codec = BytePairs(read_ranks(content), pattern, whole)
         known = pattern == public_tokenizers.PATTERN
         whole_text = lambda found: [np.asarray(codec.encode(x.decode()), "<u4").tobytes() for x in found]
-        _CODECS[key] = codec, PieceTable(codec.encode_pieces if known else whole_text)
+        _CODECS[key] = codec, PieceTable(codec.encode_pieces if known else whole_text, REMEMBERED_BYTES)
     return _CODECS[key]
 
 
@@ -175,7 +177,8 @@ def codec_functions(spark, rank_file: str, pattern: str) -> tuple[Callable, Call
     cut = byte_level_cuts if pattern == public_tokenizers.PATTERN else whole_texts
 
     def encode(column: pa.Array) -> pa.Array:
-        return id_lists(*encode_column(column, cut, _codec(*shared.value)[1]))
+        give_back()  # a reused worker may hold what another stage took
+        return id_lists(*encode_column(column, cut, _codec(*shared.value)[1], SLICE_BYTES))
 
     def decode(column: pa.Array) -> pa.Array:
         codec = _codec(*shared.value)[0]

@@ -7,6 +7,7 @@ remembered between slices, bounded by bytes; what is remembered never changes a
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable
 
@@ -146,6 +147,14 @@ def whole_texts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, None
     return np.unique(offsets[:-1][np.diff(offsets) > 0]), None
 
 
+def give_back() -> None:
+    """Free memory that this process keeps goes back to the system, where the C library knows how."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
