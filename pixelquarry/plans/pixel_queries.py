@@ -297,40 +297,86 @@ def px_density_correct(s, d):
 # --- kernels ---------------------------------------------------------------------------------
 
 
-def values_of(table) -> str:
-    return "(VALUES " + ", ".join(f"({a}, {b}, {c})" for a, b, c in zip(table["dst"], table["src"], table["weight"])) + ") t(dst, src, weight)"
+_D = "::DOUBLE"
+_SUM = "list_reduce(list_prepend(0.0::DOUBLE, {0}), lambda s, v: s + v)"
+_LOBE = "(CASE WHEN abs(x) < 1e-6 THEN 1.0 ELSE 2 * sin(pi() * x) * sin(pi() / 2 * x) / (pi() * pi() * x * x) END)"
+_PROFILE = {
+    "quality": "CASE WHEN abs(x) > 2 THEN 0.0::DOUBLE WHEN abs(x) < 1 THEN 1 - x * x ELSE -s * (1 - (2 * abs(x) - 3) * (2 * abs(x) - 3)) END",
+    "narrow": "CASE WHEN abs(x) > 1.5 THEN 0.0::DOUBLE WHEN abs(x) < 0.5 THEN 1 - 4 * x * x ELSE -s * (1 - (2 * abs(x) - 2) * (2 * abs(x) - 2)) END",
+    "lanczos": f"CASE WHEN abs(x) > 2 THEN 0.0::DOUBLE WHEN abs(x) < 1 THEN {_LOBE} ELSE s * {_LOBE} END",
+}
+
 
+def taps_duck(name: str, pairs: str, sharpen: float, out: str) -> str:
+    """Common table expressions that end in the taps ``out`` (src_size, dst_size, dst, src, weight) of the size pairs a query gives."""
+    s = f"{sharpen!r}::DOUBLE"
+    mult, length, strength = {
+        "quality": ("CASE WHEN fa < 2 THEN 1 / (fa - 0.5::DOUBLE) ELSE 1 / ((fa + 1) * 0.5::DOUBLE) END", "trunc(4 * ((fa + 1) * 0.5::DOUBLE) + 0.99::DOUBLE)::BIGINT", f"CASE WHEN abs(fa - 1) < 0.01 THEN 0.0::DOUBLE ELSE {s} END"),
+        "narrow": ("1 / fa", "trunc(4 * fa + 0.99::DOUBLE)::BIGINT", f"{s} / 2"),
+        "lanczos": ("1 / fa", "trunc(5 * fa)::BIGINT", f"1 + {s} * 7"),
+        "bicubic": ("1.0::DOUBLE", "4", "0.0::DOUBLE"),
+    }[name]
+    if name == "bicubic":
+        step = "greatest(1, CASE WHEN src_size = 1 OR dst_size = 1 THEN (src_size * 65536) // dst_size ELSE ((src_size - 1) * 65536) // (dst_size - 1) END) AS st, 0 AS b0, 1 AS o"
+        raw = "[-0.5::DOUBLE * power(1 + f, 3) + 2.5::DOUBLE * power(1 + f, 2) - 4 * (1 + f) + 2, 1.5::DOUBLE * power(f, 3) - 2.5::DOUBLE * power(f, 2) + 1, 1.5::DOUBLE * power(1 - f, 3) - 2.5::DOUBLE * power(1 - f, 2) + 1, -0.5::DOUBLE * power(2 - f, 3) + 2.5::DOUBLE * power(2 - f, 2) - 4 * (2 - f) + 2]"
+    else:
+        step = "(src_size * 65536) // dst_size + 1 AS st, ((src_size * 65536) // dst_size - 65535) >> 1 AS b0, (le - 1) // 2 AS o"
+        points = "lambda j: list_transform(range(0, 32), lambda i: mu * (j - o - f) + (-0.5::DOUBLE + i * (1.0::DOUBLE / 31)) * mu)" if name != "lanczos" else "lambda j: [mu * (j - o - f)]"
+        raw = f"list_transform(list_transform(range(0, le), {points}), lambda xs: {_SUM.format(f'list_transform(xs, lambda x: {_PROFILE[name]})')})"
+    rounded = "list_transform(raw, lambda v: trunc(CASE WHEN 16383 * v / t < 0 THEN 16383 * v / t - 0.5 ELSE 16383 * v / t + 0.5 END)::BIGINT)"
+    return f"""{out}0 AS (SELECT *, src_size::DOUBLE / dst_size AS fa FROM (SELECT DISTINCT src_size::BIGINT AS src_size, dst_size::BIGINT AS dst_size FROM ({pairs}))),
+ {out}1 AS (SELECT *, {mult} AS mu, {length} AS le, {strength} AS s FROM {out}0), {out}2 AS (SELECT *, {step} FROM {out}1), {out}3 AS (SELECT *, unnest(range(0, dst_size)) AS dst FROM {out}2),
+ {out}4 AS (SELECT *, (b0 + st * dst) >> 16 AS wh, (b0 + st * dst) & 65535 AS fr FROM {out}3), {out}5 AS (SELECT *, wh < o AS lo, wh >= o AND wh - o + le > src_size AS up FROM {out}4),
+ {out}6 AS (SELECT *, CASE WHEN lo OR up THEN fr ELSE (fr >> 9) * 516 END / 65535.0::DOUBLE AS f FROM {out}5), {out}7 AS (SELECT *, {raw} AS raw FROM {out}6),
+ {out}8 AS (SELECT *, {_SUM.format('raw')} AS t FROM {out}7), {out}9 AS (SELECT *, {rounded} AS q FROM {out}8), {out}a AS (SELECT * EXCLUDE (q), list_prepend(q[1] + 16383 - list_sum(q)::BIGINT, q[2:]) AS q FROM {out}9),
+ {out}b AS (SELECT *, CASE WHEN lo THEN q[o - wh + 1:][1:src_size] WHEN up THEN q[1:least(src_size, src_size - wh + o)] ELSE q END AS k FROM {out}a),
+ {out}c AS (SELECT *, CASE WHEN (lo OR up) AND list_sum(k) > 0 THEN list_transform(k, lambda v: trunc(v * 16383 / list_sum(k)::DOUBLE)::BIGINT) ELSE k END AS kk FROM {out}b),
+ {out}d AS (SELECT *, CASE WHEN (lo OR up) AND list_sum(k) > 0 THEN list_prepend(kk[1] + 16383 - list_sum(kk)::BIGINT, kk[2:]) ELSE kk END AS kz FROM {out}c),
+ {out} AS (SELECT src_size, dst_size, dst, CASE WHEN lo THEN 0 ELSE wh - o END + n - 1 AS src, kz[n] AS weight FROM (SELECT *, unnest(range(1, len(kz) + 1)) AS n FROM {out}d))"""
+
+
+def gauss_duck(sizes: str, radius: float, out: str) -> str:
+    """The same for blur taps of a query's ``src_size``."""
+    scale = "CASE WHEN list_sum({0}) <= 0 THEN {0} ELSE list_transform({0}, lambda v: trunc(v * 16383 / list_sum({0})::DOUBLE)::BIGINT) END"
+    close = "CASE WHEN list_sum({0}) <= 0 THEN {0} ELSE list_prepend({0}[1] + 16383 - list_sum({0})::BIGINT, {0}[2:]) END"
+    return f"""{out}0 AS (SELECT list_transform(range(0, 8), lambda i: exp(-(i * i) / (2 * {radius!r}::DOUBLE * {radius!r}::DOUBLE))) AS hf),
+ {out}1 AS (SELECT list_transform(list_filter(list_transform(hf, lambda v: v / (hf[1] + 2 * {_SUM.format('hf[2:]')})), lambda v: v > 0.002), lambda v: trunc(v * 16383 + 0.5)::BIGINT) AS hf FROM {out}0),
+ {out}2 AS (SELECT list_concat(list_reverse(hf[2:]), hf) AS q, len(hf) - 1 AS o FROM {out}1), {out}3 AS (SELECT o, {scale.format('q')} AS q FROM {out}2), {out}4 AS (SELECT o, {close.format('q')} AS q FROM {out}3),
+ {out}5 AS (SELECT *, unnest(range(0, src_size)) AS dst FROM (SELECT DISTINCT src_size::BIGINT AS src_size FROM ({sizes})), {out}4),
+ {out}6 AS (SELECT *, CASE WHEN dst < o THEN q[o - dst + 1:][1:src_size] WHEN dst >= src_size - o THEN q[1:least(src_size, o + src_size - dst)] ELSE q END AS k, dst < o OR dst >= src_size - o AS ed FROM {out}5),
+ {out}7 AS (SELECT *, CASE WHEN ed THEN {scale.format('k')} ELSE k END AS kk FROM {out}6), {out}8 AS (SELECT *, CASE WHEN ed THEN {close.format('kk')} ELSE kk END AS kz FROM {out}7),
+ {out} AS (SELECT src_size, src_size AS dst_size, dst, CASE WHEN dst < o THEN 0 ELSE dst - o END + n - 1 AS src, kz[n] AS weight FROM (SELECT *, unnest(range(1, len(kz) + 1)) AS n FROM {out}8) WHERE CASE WHEN dst < o THEN 0 ELSE dst - o END + n - 1 < src_size)"""
+
+
+def resize_duck(src, sizes, filter_, sharpen, name="rz"):
+    """Pixels of ``src`` resized from (w, h) to (tw, th), with taps of its own."""
+    w, h, tw, th = sizes
 
-def resize_duck(src, kx, ky, tw, th, name="rz"):
     def sums(c):
         return CLAMP.format(f"floor((sum({c} * weight)::BIGINT + 255) / 16384.0::DOUBLE)::BIGINT") + f" AS {c}"
-    return f"""{name}kx AS (SELECT * FROM {values_of(kx)}), {name}ky AS (SELECT * FROM {values_of(ky)}),
- {name}x AS (SELECT image_id, y, dst AS x, {', '.join(sums(c) for c in 'bgr')} FROM {src} JOIN {name}kx ON src = x GROUP BY image_id, y, dst),
- {name} AS (SELECT image_id, {tw} AS w, {th} AS h, x, dst AS y, {', '.join(sums(c) for c in 'bgr')} FROM {name}x JOIN {name}ky ON src = y GROUP BY image_id, x, dst)"""
+    pairs = f"SELECT {w} AS src_size, {tw} AS dst_size UNION SELECT {h}, {th}"
+    return f"""{taps_duck(filter_, pairs, sharpen, name + "k")}, {name}m AS MATERIALIZED (SELECT * FROM {name}k),
+ {name}x AS (SELECT image_id, y, dst AS x, {', '.join(sums(c) for c in 'bgr')} FROM {src} JOIN {name}m ON src = x AND src_size = {w} AND dst_size = {tw} GROUP BY image_id, y, dst),
+ {name} AS (SELECT image_id, {tw} AS w, {th} AS h, x, dst AS y, {', '.join(sums(c) for c in 'bgr')} FROM {name}x JOIN {name}m ON src = y AND src_size = {h} AND dst_size = {th} GROUP BY image_id, x, dst)"""
 
 
-_DOWN = resize_duck("pixels32", kernels.ResizeTaps(32, 11, "quality", 0.15).table(), kernels.ResizeTaps(32, 14, "quality", 0.15).table(), 11, 14, "dn")
-_UP = resize_duck("pixels", kernels.ResizeTaps(8, 13, "bicubic").table(), kernels.ResizeTaps(8, 10, "bicubic").table(), 13, 10, "up")
+_DOWN = resize_duck("pixels32", (32, 32, 11, 14), "quality", 0.15, "dn")
+_UP = resize_duck("pixels", (8, 8, 13, 10), "bicubic", 0.0, "up")
 R.add("px_resize_hq", f"WITH {_DOWN}, {_UP} SELECT 'down' AS how, * FROM dn UNION ALL SELECT 'up', * FROM up", "pixels32 pixels")(
     lambda s, d: kernels.resize(views.pixels32(s, d), "11", "14", "quality", 0.15).withColumn("how", F.lit("down"))
     .unionByName(kernels.resize(p8(s, d), "13", "10", "bicubic").withColumn("how", F.lit("up"))))
-R.add("px_resize_steps")(lambda s, d: kernels.resize_steps(views.pixels32(s, d), (32, 32), (5, 4), "sharpen medium"))
-
-BICUBIC_DUCK = """pr AS (SELECT DISTINCT p_size + 2 AS src_size, p_size * 2 + 5 AS dst_size FROM part),
- st AS (SELECT *, ((src_size - 1) * 65536) // (dst_size - 1) AS step FROM pr), tg AS (SELECT *, unnest(range(0, dst_size)) AS dst FROM st),
- atp AS (SELECT *, (dst * step) >> 16 AS xi, (dst * step) & 65535 AS fr FROM tg), ph AS (SELECT *, xi >= 1 AND xi + 3 <= src_size AS inn, CASE WHEN xi >= 1 AND xi + 3 <= src_size THEN (fr >> 9) * 516 ELSE fr END / 65535.0::DOUBLE AS f FROM atp),
- rw AS (SELECT *, [-0.5::DOUBLE * power(1 + f, 3) + 2.5::DOUBLE * power(1 + f, 2) - 4 * (1 + f) + 2, 1.5::DOUBLE * power(f, 3) - 2.5::DOUBLE * power(f, 2) + 1,
-   1.5::DOUBLE * power(1 - f, 3) - 2.5::DOUBLE * power(1 - f, 2) + 1, -0.5::DOUBLE * power(2 - f, 3) + 2.5::DOUBLE * power(2 - f, 2) - 4 * (2 - f) + 2] AS raw FROM ph),
- wt AS (SELECT *, list_transform(raw, lambda v: trunc(CASE WHEN v < 0 THEN 16383 * v / (raw[1] + raw[2] + raw[3] + raw[4]) - 0.5 ELSE 16383 * v / (raw[1] + raw[2] + raw[3] + raw[4]) + 0.5 END)::BIGINT) AS q FROM rw),
- w2 AS (SELECT * EXCLUDE (q), list_concat([q[1] + 16383 - list_sum(q)::BIGINT], q[2:4]) AS q FROM wt),
- cu AS (SELECT *, CASE WHEN inn THEN q WHEN xi < 1 THEN q[2 - xi:4][1:src_size] ELSE q[1:least(src_size, src_size - xi + 1)] END AS k FROM w2),
- fi AS (SELECT *, CASE WHEN inn THEN k ELSE list_transform(k, lambda v: trunc(v * 16383 / list_sum(k)::DOUBLE)::BIGINT) END AS kk FROM cu),
- fo AS (SELECT *, CASE WHEN inn THEN kk ELSE list_concat([kk[1] + 16383 - list_sum(kk)::BIGINT], kk[2:]) END AS kz FROM fi)"""
-R.add("kernel_bicubic", f"WITH {BICUBIC_DUCK}, ex AS (SELECT *, unnest(range(1, len(kz) + 1)) AS n FROM fo) SELECT src_size, dst_size, dst, CASE WHEN xi < 1 THEN 0 ELSE xi - 1 END + n - 1 AS src, kz[n] AS weight FROM ex")(
+# two steps of a factor of sqrt(32 / 5) each, rounded down: 32x32 to 12x12 (softer filter), then to 5x4
+_STEPS = f"{resize_duck('pixels32', (32, 32, 12, 12), 'quality', 0.15, 's1')}, {resize_duck('s1', (12, 12, 5, 4), 'quality', 0.3, 's2')}"
+R.add("px_resize_steps", f"WITH {_STEPS} SELECT * FROM s2", "pixels32")(lambda s, d: kernels.resize_steps(views.pixels32(s, d), (32, 32), (5, 4), "sharpen medium"))
+
+_GROWING = "SELECT p_size + 2 AS src_size, p_size * 2 + 5 AS dst_size FROM part"
+R.add("kernel_bicubic", f"WITH {taps_duck('bicubic', _GROWING, 0.0, 'k')} SELECT * FROM k")(
     lambda s, d: kernels.kernel_table(views.table(s, d, "part").selectExpr("p_size + 2 AS src_size", "p_size * 2 + 5 AS dst_size"), "bicubic"))
 
 
-@R.add("kernel_downsample")
+_SHRINKING = "SELECT p_size + 20 AS src_size, p_size // 3 + 5 AS dst_size FROM part"
+@R.add("kernel_downsample", "WITH " + ", ".join(taps_duck(n, _SHRINKING, 0.15, n) for n in ("quality", "lanczos", "narrow"))
+       + " SELECT *, 'quality' AS filter FROM quality UNION ALL SELECT *, 'lanczos' FROM lanczos UNION ALL SELECT *, 'narrow' FROM narrow")
 def kernel_downsample(s, d):
     pairs = views.table(s, d, "part").selectExpr("p_size + 20 AS src_size", "cast(p_size div 3 AS int) + 5 AS dst_size")
     out = None
@@ -340,10 +386,9 @@ def kernel_downsample(s, d):
     return out
 
 
-R.add("kernel_gauss")(lambda s, d: kernels.gauss_kernels(views.table(s, d, "part").selectExpr("p_size + 3 AS src_size"), 1.5))
+R.add("kernel_gauss", f"WITH {gauss_duck('SELECT p_size + 3 AS src_size FROM part', 1.5, 'k')} SELECT * FROM k")(lambda s, d: kernels.gauss_kernels(views.table(s, d, "part").selectExpr("p_size + 3 AS src_size"), 1.5))
 
-_GT = values_of(kernels.gauss_table(8, 1.0))
-GAUSS = f"""g0 AS (SELECT image_id, w, h, x, y, b, g, r, {GRAY14} AS gray14 FROM pixels), gk AS (SELECT * FROM {_GT}),
+GAUSS = f"""{gauss_duck("SELECT 8 AS src_size", 1.0, "gt")}, g0 AS (SELECT image_id, w, h, x, y, b, g, r, {GRAY14} AS gray14 FROM pixels), gk AS MATERIALIZED (SELECT dst, src, weight FROM gt),
  g1 AS (SELECT image_id, y, dst AS x, floor(sum(gray14 * weight)::BIGINT / 16384.0::DOUBLE)::BIGINT AS gray14 FROM g0 JOIN gk ON src = x GROUP BY image_id, y, dst),
  g2 AS (SELECT image_id, x, dst AS y, floor(sum(gray14 * weight)::BIGINT / 16384.0::DOUBLE)::BIGINT AS gray14 FROM g1 JOIN gk ON src = y GROUP BY image_id, x, dst)"""
 R.add("px_gauss", f"WITH {GAUSS} SELECT image_id, x, y, gray14 FROM g2", "pixels")(
@@ -392,7 +437,7 @@ R.add("px_perspective_bicubic")(
 
 # --- stages ----------------------------------------------------------------------------------
 
-_TH = resize_duck("pixels32", kernels.ResizeTaps(32, 14, "quality").table(), kernels.ResizeTaps(32, 14, "quality").table(), 14, 14, "th")
+_TH = resize_duck("pixels32", (32, 32, 14, 14), "quality", 0.0, "th")
 R.add("thumbnail", f"WITH {_TH} SELECT * FROM th", "pixels32")(lambda s, d: stages.thumbnail(views.pixels32(s, d), (20, 14)))
 
 _CHAIN = f"""pt AS ({_POINT.format(tw=13, th=20, ix=32 * 65536 // 13 + 1, iy=32 * 65536 // 20 + 1)}), sat AS ({sat_duck('pt', '1.4::DOUBLE')}),

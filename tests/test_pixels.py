@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+import taps
 from pyspark.sql import functions as F
 
 from helpers import arrays_of, fits, random_images
@@ -100,14 +101,14 @@ def _resized(a, kx, ky, tw, th):
 @pytest.mark.parametrize("name,tw,th", [("quality", 5, 4), ("lanczos", 6, 7), ("narrow", 4, 3), ("bicubic", 15, 13)])
 def test_filtered_resize_matches_brute_force(image, tile, name, tw, th):
     img = random_images([(11, 9), (11, 9)])
-    kx, ky = kernels.ResizeTaps(11, tw, name, 0.15).table(), kernels.ResizeTaps(9, th, name, 0.15).table()
+    kx, ky = taps.ResizeTaps(11, tw, name, 0.15).table(), taps.ResizeTaps(9, th, name, 0.15).table()
     want = {i: _resized(a, kx, ky, tw, th) for i, a in img.items()}
     fits(arrays_of(kernels.resize(image(img), str(tw), str(th), name, 0.15)), want)
 
 
 @pytest.mark.parametrize("src,dst,name", [(64, 10, "quality"), (50, 49, "quality"), (33, 8, "lanczos"), (9, 5, "narrow"), (8, 31, "bicubic"), (2, 5, "bicubic"), (3, 2, "quality")])
 def test_taps_add_up_to_one_and_stay_inside(src, dst, name):
-    t = kernels.ResizeTaps(src, dst, name, 0.2).table()
+    t = taps.ResizeTaps(src, dst, name, 0.2).table()
     assert t["src"].between(0, src - 1).all()
     assert sorted(t["dst"].unique()) == list(range(dst))
     assert (t.groupby("dst")["weight"].sum() == kernels.ONE).all()
@@ -128,8 +129,8 @@ def test_step_sizes():
 def test_resize_in_steps_is_a_chain_of_resizes(image, tile):
     img = random_images([(30, 24)])
     first, last = kernels.step_sizes(30, 4, 24, 3)
-    soft = [kernels.ResizeTaps(a, b, "quality", 0.15).table() for a, b in zip((30, 24), first)]
-    hard = [kernels.ResizeTaps(a, b, "quality", 0.3).table() for a, b in zip(first, last)]
+    soft = [taps.ResizeTaps(a, b, "quality", 0.15).table() for a, b in zip((30, 24), first)]
+    hard = [taps.ResizeTaps(a, b, "quality", 0.3).table() for a, b in zip(first, last)]
     want = _resized(_resized(img[0], *soft, *first), *hard, *last)
     fits(arrays_of(kernels.resize_steps(image(img), (30, 24), (4, 3), "sharpen medium")), {0: want})
 
@@ -143,11 +144,32 @@ def test_thumbnail_uses_the_sub_sample_for_large_images(image):
 
 def test_gauss_keeps_the_sum_and_is_symmetric():
     for radius in (0.6, 1.0, 2.5):
-        taps = kernels.gauss_taps(radius)
-        assert taps.sum() == kernels.ONE and len(taps) % 2 == 1 and len(taps) <= 15
-        assert (taps[1:-1] == taps[1:-1][::-1]).all()
-    table = kernels.gauss_table(5, 2.0)
+        own = taps.gauss_taps(radius)
+        assert own.sum() == kernels.ONE and len(own) % 2 == 1 and len(own) <= 15
+        assert (own[1:-1] == own[1:-1][::-1]).all()
+        half = kernels.blur_profile(radius)
+        assert len(half) == len(own) // 2 + 1
+    table = taps.gauss_table(5, 2.0)
     assert (table.groupby("dst")["weight"].sum() > 0).all() and table["src"].between(0, 4).all()
+    assert kernels.bicubic_phases()[0] == [0, kernels.ONE, 0, 0] and all(sum(p) == kernels.ONE for p in kernels.bicubic_phases())
+
+
+def _as_rows(table):
+    return sorted(map(tuple, table[["src_size", "dst_size", "dst", "src", "weight"]].itertuples(index=False)))
+
+
+@pytest.mark.parametrize("name", ["quality", "lanczos", "narrow", "bicubic"])
+def test_kernel_tables(spark, name):
+    pairs = [(8, 13), (1, 5), (2, 9), (5, 1), (3, 100)] if name == "bicubic" else [(32, 11), (9, 9), (100, 99), (7, 1), (640, 3), (2, 2), (1, 1), (33, 17)]
+    got = kernels.kernel_table(spark.createDataFrame([*pairs, pairs[0]], "src_size int, dst_size int"), name, 0.2).toPandas()
+    assert _as_rows(got) == sorted(r for a, b in pairs for r in _as_rows(taps.ResizeTaps(a, b, name, 0.2).table()))
+
+
+def test_blur_tables(spark):
+    for radius in (0.7, 1.5, 12.0):
+        sizes = [1, 2, 5, 16, 200]
+        got = kernels.gauss_kernels(spark.createDataFrame([(s,) for s in sizes], "src_size int"), radius).toPandas()
+        assert _as_rows(got) == sorted(r for s in sizes for r in _as_rows(taps.gauss_table(s, radius)))
 
 
 def _bicubic(a, fx, fy, back):
@@ -327,6 +349,6 @@ def test_saved_results_are_registered_once(spark, image, tmp_path):
 
 
 def test_wide_filters_read_every_source_pixel():
-    taps = kernels.ResizeTaps(6000, 160, "quality", 0.0).table()
-    assert taps["src"].nunique() == 6000
-    assert kernels.gauss_taps(12.0).size > 50  # weights above 0.002 reach about 28 pixels to each side
+    own = taps.ResizeTaps(6000, 160, "quality", 0.0).table()
+    assert own["src"].nunique() == 6000
+    assert taps.gauss_taps(12.0).size > 50  # weights above 0.002 reach about 28 pixels to each side
