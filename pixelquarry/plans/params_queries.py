@@ -151,3 +151,18 @@ def settings_layer(s, d):
     return rows.groupBy("profile").agg(
         one("Cores", cfg.as_int(2, 1, 16)).alias("cores"), one("Gamma", cfg.as_double(1.0, 0.5, 4.0)).alias("gamma"),
         one("AutoContrast", cfg.as_bool(True)).alias("auto_contrast"), one("Language", cfg.as_text()).alias("language"))
+
+
+_VALUE = """CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN c_custkey || ' ' || (c_nationkey - 9) || ' ' || (c_custkey % 300) || '  -' || c_nationkey || ' x'
+ WHEN 2 THEN '  ' || c_nationkey || ' ' || (c_custkey % 400) WHEN 3 THEN (c_custkey % 300) || ' ' || c_nationkey || ' ' || (c_custkey % 7) WHEN 4 THEN 'max ' || c_custkey ELSE c_nationkey || 'px 3 4 5' END"""
+
+
+@R.add("settings_values", f"""WITH t AS (SELECT c_custkey AS profile, {_VALUE} AS set_value FROM customer), n AS (SELECT *, list_transform(string_split(trim(regexp_replace(set_value, '\\s+', ' ', 'g')), ' '), lambda x: TRY_CAST(x AS INT)) AS v FROM t),
+ k AS (SELECT profile, v, CASE WHEN len(v) >= 4 AND v[1] + v[2] + v[3] + v[4] IS NOT NULL THEN v[1:4] ELSE [0, 0, 0, 0] END AS r, CASE WHEN len(v) >= 2 AND v[1] + v[2] IS NOT NULL THEN [greatest(1, v[1]), greatest(1, v[2])] ELSE [320, 240] END AS s,
+  CASE WHEN len(v) >= 3 AND v[1] + v[2] + v[3] IS NOT NULL THEN [v[1] & 255, v[2] & 255, v[3] & 255] ELSE [243, 242, 231] END AS c FROM n)
+ SELECT profile, least(r[1], r[3]) AS left_, least(r[2], r[4]) AS top_, greatest(r[1], r[3]) AS right_, greatest(r[2], r[4]) AS bottom_, s[1] AS width, s[2] AS height, c[1] AS red, c[2] AS green, c[3] AS blue FROM k""")
+def settings_values(s, d):
+    """Rectangles, sizes and colours from one text per profile."""
+    rows = views.table(s, d, "customer").selectExpr("c_custkey AS profile", f"{_VALUE} AS set_value")
+    typed = rows.select("profile", cfg.as_rect((0, 0, 0, 0)).alias("rect"), cfg.as_size((320, 240)).alias("size"), cfg.as_color((243, 242, 231)).alias("color"))
+    return typed.selectExpr("profile", "rect.left AS left_", "rect.top AS top_", "rect.right AS right_", "rect.bottom AS bottom_", "size.width", "size.height", "color.red", "color.green", "color.blue")

@@ -49,3 +49,29 @@ def as_bool(default: bool, text: str = "set_value") -> Column:
 
 def as_text(text: str = "set_value", default: str = "default_value") -> Column:
     return F.expr(f"coalesce({text}, {default})")
+
+
+def _integers(text: str, count: int) -> str:
+    """SQL of the first ``count`` integers of a text as an array, NULL if it doesn't begin with so many."""
+    each = r"([+-]?\\d+)"
+    pattern = r"^\\s*" + r"(?:\\s+|(?=[+-]))".join([each] * count)
+    numbers = ", ".join(f"try_cast(regexp_extract({text}, '{pattern}', {i}) AS int)" for i in range(1, count + 1))
+    return f"IF(exists(array({numbers}), v -> v IS NULL), NULL, array({numbers}))"
+
+
+def as_rect(default: tuple[int, int, int, int], text: str = "set_value") -> Column:
+    """``left top right bottom`` with the corners in order; anything else is the default."""
+    found = f"coalesce({_integers(text, 4)}, array({', '.join(map(str, default))}))"
+    return F.expr(f"transform(array({found}), r -> named_struct('left', least(r[0], r[2]), 'top', least(r[1], r[3]), 'right', greatest(r[0], r[2]), 'bottom', greatest(r[1], r[3])))[0]")
+
+
+def as_size(default: tuple[int, int], text: str = "set_value") -> Column:
+    """``width height``, one pixel each at least; anything else is the default."""
+    found = f"coalesce(transform({_integers(text, 2)}, v -> greatest(1, v)), array({', '.join(map(str, default))}))"
+    return F.expr(f"transform(array({found}), r -> named_struct('width', r[0], 'height', r[1]))[0]")
+
+
+def as_color(default: tuple[int, int, int], text: str = "set_value") -> Column:
+    """``red green blue``, the low byte of each; anything else is the default."""
+    found = f"coalesce(transform({_integers(text, 3)}, v -> v & 255), array({', '.join(map(str, default))}))"
+    return F.expr(f"transform(array({found}), r -> named_struct('red', r[0], 'green', r[1], 'blue', r[2]))[0]")
