@@ -164,7 +164,8 @@ DENSITY_GAIN = [
 _cg, _cgl = chain("cgv", CONTRAST_GAMMA, "cg")
 CGAMMA = f"cgp AS (SELECT DISTINCT contrast, gamma FROM params), cgv AS (SELECT *, unnest(range(0, 256)) AS v_in FROM cgp), {_cg}"
 R.add("lut_contrast_gamma", f"WITH {CGAMMA} SELECT contrast, gamma, v_in, _out::BIGINT AS v_out FROM {_cgl}", "params")(
-    lambda s, d: luts.contrast_gamma(views.params(s, d)).select("contrast", "gamma", F.posexplode("lut").alias("v_in", "v_out")))
+    # not posexplode: Spark would test the size of each row's array before the distinct, and so make the array for every row of the table
+    lambda s, d: luts.contrast_gamma(views.params(s, d)).select("contrast", "gamma", F.posexplode_outer("lut").alias("v_in", "v_out")))
 
 _ROUND = "trunc(CASE WHEN {v} < 0 THEN {v} - 0.5 ELSE {v} + 0.5 END)::BIGINT"
 _TERMS = {
