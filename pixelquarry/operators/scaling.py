@@ -16,6 +16,7 @@ TILE_PIXELS = 1 << 18
 HOT_ROWS = 1_000_000
 HOT_KEYS = 10_000
 CHUNK_ROWS = 1 << 16
+TASK_ROWS = 500_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -26,6 +27,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread_rows(df: DataFrame, times: int = 1, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` in so many tasks that none makes more than some ``task_rows`` rows where each row becomes ``times``.
+
+    A small file is one task, whatever is made of its rows. Tables below the bound stay as they are.
+    """
+    tasks = -(-df.count() * times // task_rows)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def _tile(x: str, tile_pixels: int) -> Column:
     return F.expr(f"cast(({x}) div {tile_pixels} AS int)")
 

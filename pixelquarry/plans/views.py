@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelquarry.operators.scaling import spread_rows
+
 FOLDERS = 20
+LANGUAGES = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -178,10 +181,12 @@ def strings_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Translations in all languages: some missing, some equal to the key, some with a lost placeholder, three stale keys each."""
     langs = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("lang"))
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("n_nationkey"))
-    ref = strings_ref(spark, sf_dir)
+    parts = spread_rows(table(spark, sf_dir, "part").select("p_partkey"), LANGUAGES)
+    # the keys grow with the table and are never sent to the driver; the languages fan out after they are met
+    ref = strings_ref(spark, sf_dir).hint("merge")
     rows = (
         parts.join(ref, parts.p_partkey == ref.seq)
+        .withColumn("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(LANGUAGES - 1))))
         .join(langs, "n_nationkey")
         .filter("(p_partkey + n_nationkey) % 9 <> 0")
         .selectExpr(
@@ -253,7 +258,7 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw ``key=value`` lines of three layers for one profile per customer."""
     return (
-        table(spark, sf_dir, "customer")
+        spread_rows(table(spark, sf_dir, "customer"), 10)
         .withColumn("line_no", F.explode(F.sequence(F.lit(1), F.lit(10))))
         .selectExpr(
             "c_custkey AS profile", "line_no",
