@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelquarry.functions.text import placeholder_counts_match
+from pixelquarry.session import materialise
 
 
 def lookup(keys: DataFrame, translations: DataFrame) -> DataFrame:
@@ -14,7 +15,7 @@ def lookup(keys: DataFrame, translations: DataFrame) -> DataFrame:
     ``keys`` carries ``lang, key``; ``translations`` ``lang, key, value``.
     """
     known = translations.filter("value <> ''").select("lang", "key", "value")
-    return keys.join(known, ["lang", "key"], "left").withColumn("text", F.coalesce("value", "key")).drop("value")
+    return keys.join(known.hint("merge"), ["lang", "key"], "left").withColumn("text", F.coalesce("value", "key")).drop("value")
 
 
 def reconcile(reference: DataFrame, translations: DataFrame, langs: list[str] | None = None) -> DataFrame:
@@ -38,8 +39,11 @@ def reconcile(reference: DataFrame, translations: DataFrame, langs: list[str] |
 
 
 def placeholder_check(reference: DataFrame, translations: DataFrame) -> DataFrame:
-    """Translated keys with a flag: is every placeholder kept as often as in the source?"""
-    pairs = reference.select("key").join(translations.filter("value <> ''"), "key")
+    """Translated keys with a flag: is every placeholder kept as often as in the source?
+
+    The reference list is as long as the texts are many, so both sides are shuffled and it is never broadcast.
+    """
+    pairs = reference.select("key").hint("merge").join(translations.filter("value <> ''"), "key")
     return pairs.select("lang", "key", placeholder_counts_match("key", "value").alias("fits"))
 
 
@@ -125,22 +129,26 @@ def parse_catalog(lines: DataFrame) -> dict[str, DataFrame]:
         .when(F.col("line").startswith("//"), "comment")
         .when(F.length("line") > 0, "pair"),
     )
-    info = rows.filter("kind = 'info'").select(
-        "lang", F.regexp_extract("line", r"^//: ([^:]*):", 1).alias("k"), F.trim(F.regexp_extract("line", r"^//: [^:]*:(.*)$", 1)).alias("v"), "line_no"
-    )
-    info = info.groupBy("lang", "k").agg(F.max_by("v", "line_no").alias("v"))
-    body = F.when(F.col("kind") == "old", F.expr("substring(line, 3)")).otherwise(F.col("line"))
-    pairs = rows.filter("kind IN ('pair', 'old')").select("lang", "line_no", "kind", body.alias("t")).selectExpr(
-        "lang", "line_no", "kind", "trim(BOTH ' \t' FROM substring_index(t, '\t', 1)) AS key",
-        r"regexp_replace(IF(instr(t, '\t') > 0, substring(t, instr(t, '\t') + 1), ''), IF(kind = 'old', '^\\s+|\\s+$', '\\s+$'), '') AS value",
-    )
+    old = F.col("kind") == "old"
+    body = F.when(old, F.expr("substring(line, 3)")).otherwise(F.col("line"))
+    rest = F.expr(r"IF(instr(t, '\t') > 0, substring(t, instr(t, '\t') + 1), '')")
+    info = F.col("kind") == "info"
+    key = F.when(info, F.regexp_extract("line", r"^//: ([^:]*):", 1)).when(F.col("kind").isin("pair", "old"), F.expr(r"trim(BOTH ' \t' FROM substring_index(t, '\t', 1))"))
+    value = F.when(info, F.trim(F.regexp_extract("line", r"^//: [^:]*:(.*)$", 1))).when(F.col("kind") == "comment", F.col("line"))
+    value = value.when(old, F.regexp_replace(rest, r"^\s+|\s+$", "")).when(F.col("kind") == "pair", F.regexp_replace(rest, r"\s+$", ""))
+    # every line is taken apart once and written; the four tables read that
+    rows = materialise(rows.withColumn("t", body).select("lang", "line_no", "kind", key.alias("key"), value.alias("value")))
+    info = rows.filter("kind = 'info'").groupBy("lang", F.col("key").alias("k")).agg(F.max_by("value", "line_no").alias("v"))
+    pairs = rows.filter("kind IN ('pair', 'old')")
     # the first line of a key gives its value; a commented repeat is only an error if it says something else
     first = pairs.groupBy("lang", "key").agg(
         F.min_by("value", "line_no").alias("value"), F.min("line_no").alias("_at"), F.count("*").alias("_n"),
-        F.max(F.when(F.col("kind") == "pair", F.col("line_no"))).alias("_last_pair"), F.count_distinct("value").alias("_values"),
+        F.max(F.when(F.col("kind") == "pair", F.col("line_no"))).alias("_last_pair"), F.min("value").alias("_least"), F.max("value").alias("_most"),
     )
-    clash = first.filter("_n > 1 AND (_last_pair > _at OR _values > 1)").select("lang", "key", F.col("_n").alias("times"))
+    # read twice, written once
+    first = materialise(first.select("lang", "key", "value", F.when(F.expr("_n > 1 AND (_last_pair > _at OR _least <> _most)"), F.col("_n")).alias("_n")))
+    clash = first.filter("_n IS NOT NULL").select("lang", "key", F.col("_n").alias("times"))
     return {
         "strings": first.select("lang", "key", "value"), "info": info,
-        "comments": rows.filter("kind = 'comment'").select("lang", "line_no", "line"), "errors": clash,
+        "comments": rows.filter("kind = 'comment'").select("lang", "line_no", F.col("value").alias("line")), "errors": clash,
     }

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pixelquarry.operators import strings as st
+from pixelquarry.operators.scaling import spread_rows
 from pixelquarry.plans import views
 from pixelquarry.plans.registry import Registry
 
@@ -17,7 +18,7 @@ _LINES = """lines AS (SELECT n_name AS lang, p_partkey * 3 + k AS line_no, CASE
 
 def catalog_lines(s, d):
     langs = views.table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("lang"))
-    parts = views.table(s, d, "part").withColumn("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(24)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    parts = spread_rows(views.table(s, d, "part"), 3 * views.LANGUAGES).withColumn("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(24)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
     return parts.join(langs, "n_nationkey").selectExpr(
         "lang", "p_partkey * 3 + k AS line_no",
         "CASE k WHEN 0 THEN IF((p_partkey + n_nationkey) % 5 = 0, concat('//', p_name, p_partkey, '\t', lang, p_partkey), concat(p_name, p_partkey, ' ', '\t', lang, ' ', p_partkey, '  ')) "
@@ -43,7 +44,7 @@ def string_catalog_source(s, d):
 
 R.add("translate_lookup", """SELECT a.lang, a.key, coalesce(nullif(s.value, ''), a.key) AS text FROM (SELECT n_name AS lang, key FROM strings_ref, nation) a LEFT JOIN strings s ON s.lang = a.lang AND s.key = a.key""", "strings_ref strings")(
     lambda s, d: st.lookup(
-        views.strings_ref(s, d).select("key", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("n_nationkey"))
+        spread_rows(views.strings_ref(s, d), views.LANGUAGES).select("key", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("n_nationkey"))
         .join(views.table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("lang")), "n_nationkey").select("lang", "key"),
         views.strings(s, d)))
 
