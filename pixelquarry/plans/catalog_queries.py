@@ -1,5 +1,6 @@
 """Queries over the file catalog, playlists and names."""
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -21,12 +22,45 @@ LISTED = f"""listed AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY n
 
 # --- sources ---------------------------------------------------------------------------------
 
+def _shared_uri(s, name):
+    """A new folder all tasks can reach, as a URI."""
+    folder = f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+    s.range(1).write.parquet(f"{folder}/where")
+    return s.read.parquet(f"{folder}/where").inputFiles()[0].rsplit("/where", 1)[0]
+
+
+_ESCAPED = re.compile("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]")
+
+
+def _part_of(name, value):
+    """Folder of a value, as Spark names it when it writes a table in parts."""
+    return f"{name}=" + (_ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__")
+
+
 def _written_files(s, d):
-    """A text file for every document, in folders by language and source."""
-    target = f"{shared_folder(s)}/scan-{uuid.uuid4().hex}"
-    line = F.concat_ws(" ", "doc_id", "text").alias("line")
-    views.table(s, d, "documents").select("lang", "source", line).write.option("maxRecordsPerFile", 1).partitionBy("lang", "source").text(target)
-    return s.read.format("binaryFile").option("recursiveFileLookup", "true").load(target).select("path").first()[0].split("/lang=")[0]
+    """A text file for every document, in folders by language and source. Each task writes its own files in place, so that nobody has to move them all."""
+    root = f"{_shared_uri(s, 'scan')}/files"
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(root)
+        made = set()
+        for batch in batches:
+            for lang, source, n, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                folder = f"{base}/{_part_of('lang', lang)}/{_part_of('source', source)}"
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with fs.open_output_stream(f"{folder}/part-{n:015d}.txt") as f:
+                    f.write(line + b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    line = F.concat_ws(" ", "doc_id", "text").cast("binary").alias("line")
+    rows = views.table(s, d, "documents").select("lang", "source", F.monotonically_increasing_id().alias("n"), line)
+    rows.mapInArrow(write, "n bigint").write.format("noop").mode("overwrite").save()
+    return root
 
 
 _FILES = "SELECT 'txt' AS ext, strlen(concat_ws(' ', doc_id, text)) + 1 AS size, 'source=' || source AS folder"
@@ -112,25 +146,50 @@ R.add("playlist_refused", "SELECT list_id, 'long line' AS reason FROM playlist W
 
 
 def _list_files(s, d):
-    """A file for every list: UTF-8 with and without a mark, UTF-16 with and without one, and single bytes of the Western European code page."""
-    folder = f"{shared_folder(s)}/lists-{uuid.uuid4().hex}"
-    s.range(1).write.parquet(f"{folder}/where")
-    root = s.read.parquet(f"{folder}/where").inputFiles()[0].rsplit("/where", 1)[0]
+    """A file for every list: UTF-8 with and without a mark, UTF-16 with and without one, and single bytes of the Western European code page.
+
+    Tasks write the parts of lists that lie in their range, then the bytes of each list's parts are copied one after the other, so no task holds a list.
+    """
+    root = _shared_uri(s, "lists")
+    kinds = [(b"\xef\xbb\xbf", "utf-8"), (b"", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"", "utf-16-le"), (b"", "cp1252")]
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
 
-    def write(rows):
+        fs, base = pafs.FileSystem.from_uri(root)
+        fs.create_dir(f"{base}/parts", recursive=True)
+        now, f, written = None, None, []
+        for batch in batches:
+            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if key[:2] != now:
+                    if f:
+                        f.close()
+                    now = key[:2]
+                    written.append(now)
+                    f = fs.open_output_stream(f"{base}/parts/{now[0]}-{now[1]}", buffer_size=1 << 16)
+                f.write((key[2] + "\r\n").encode(kinds[now[0] % 5][1]))
+        if f:
+            f.close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in written], pa.int64()), pa.array([x[1] for x in written], pa.int32())], ["list_id", "part"])
+
+    def join(rows):
         import pyarrow.fs as pafs
 
-        rows = rows.sort_values("line_no")
+        fs, base = pafs.FileSystem.from_uri(root)
         at = int(rows["list_id"].iloc[0])
-        raw = "".join(x + "\r\n" for x in rows["line"])
-        encoded = [b"\xef\xbb\xbf" + raw.encode(), raw.encode(), b"\xff\xfe" + raw.encode("utf-16-le"), raw.encode("utf-16-le"), raw.encode("cp1252")][at % 5]
-        fs, name = pafs.FileSystem.from_uri(f"{root}/{at}.txt")
-        with fs.open_output_stream(name) as f:
-            f.write(encoded)
+        with fs.open_output_stream(f"{base}/{at}.txt") as f:
+            f.write(kinds[at % 5][0])
+            for part in sorted(rows["part"]):
+                with fs.open_input_stream(f"{base}/parts/{at}-{part}") as g:
+                    while data := g.read(1 << 20):
+                        f.write(data)
         return rows[["list_id"]].head(1)
 
     lines = views.playlist(s, d).withColumn("line", F.expr(ACCENT))
-    materialise(lines.groupBy("list_id").applyInPandas(write, "list_id bigint"))
+    ranged = lines.repartitionByRange("list_id", "line_no").sortWithinPartitions("list_id", "line_no")
+    parts = materialise(ranged.select("list_id", F.spark_partition_id().alias("part"), "line").mapInArrow(write, "list_id bigint, part int"))
+    materialise(parts.groupBy("list_id").applyInPandas(join, "list_id bigint"))
     return f"{root}/*.txt"
 
 

@@ -155,10 +155,15 @@ R.add("catalog_entries", f"""{_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)},
     lambda s, d: watch.entries(views.moves(s, d)))
 
 
+WATCHED_BYTES = 128 << 20
+
+
 def _watched(s, d):
-    """Watch a folder into which Spark wrote the documents as text files."""
+    """Watch a folder into which Spark wrote the documents as text files: four, or more where one would pass ``WATCHED_BYTES``."""
     base = f"{shared_folder(s)}/watch-{uuid.uuid4().hex}"
-    views.table(s, d, "documents").select(F.concat_ws(" ", "doc_id", "text").alias("line")).repartition(4).write.text(f"{base}/in")
+    lines = views.table(s, d, "documents").select(F.concat_ws(" ", "doc_id", "text").alias("line"))
+    total = lines.agg(F.sum(F.octet_length("line").cast("bigint"))).first()[0] or 0
+    lines.repartition(max(4, -(-total // WATCHED_BYTES))).write.text(f"{base}/in")
     stream = watch.watch_folder(s, f"{base}/in", ["txt"])
     query = (
         stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelquarry.functions import text
 from pixelquarry.functions.formats import supported_endings
+from pixelquarry.sources.listing import list_tree
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -28,9 +31,30 @@ def _as_catalog(files: DataFrame, endings: Iterable[str]) -> DataFrame:
 
 
 def scan_folder(spark: SparkSession, folder: str, endings: Iterable[str] | None = None, recursive: bool = False) -> DataFrame:
-    """Catalog of the picture files in a folder; file contents are not read."""
+    """Catalog of the picture files in a folder; file contents are not read.
+
+    A folder named by a URI that tasks can list (``*`` may stand in for names) is listed by them, so neither the driver nor its scheduler meets every file.
+    Other folders are left to Spark's reader.
+    """
+    endings = list(endings or supported_endings())
+    steps = folder.rstrip("/").split("/")
+    plain = next((i for i, x in enumerate(steps) if any(c in x for c in "*?[]{}")), len(steps))
+    if _listable("/".join(steps[:plain])) and not any(c in folder for c in "?[]{}"):
+        found = list_tree(spark, "/".join(steps[:plain]), endings, None if recursive else len(steps) - plain + 1, steps[plain:], hidden=False)
+        found = found.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), F.col("mtime").alias("modificationTime"), F.col("size").alias("length"))
+        return _as_catalog(found, endings)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return _as_catalog(files, endings or supported_endings())
+    return _as_catalog(files, endings)
+
+
+def _listable(folder: str) -> bool:
+    if ":/" not in folder:
+        return False
+    try:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        return fs.get_file_info(root).type == pafs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
 
 
 def scan_tree(spark: SparkSession, folder: str, endings: Iterable[str] | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ files that were written to only just now wait for the next pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import fnmatch
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -21,13 +22,18 @@ ENTRIES = "dir string, title string, is_dir boolean, size bigint, mtime timestam
 _KIND = pa.schema([("dir", pa.string()), ("title", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("depth", pa.int32())])
 
 
-def _listed(batches: Iterator[pa.RecordBatch], endings: frozenset[str]) -> Iterator[pa.RecordBatch]:
+def _listed(batches: Iterator[pa.RecordBatch], top: str, endings: frozenset[str], pattern: str | None, last: bool, hidden: bool) -> Iterator[pa.RecordBatch]:
+    fs, base = pafs.FileSystem.from_uri(top)
     for batch in batches:
         for folder, depth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            fs, root = pafs.FileSystem.from_uri(folder)
             rows = []
-            for e in fs.get_file_info(pafs.FileSelector(root, recursive=False, allow_not_found=True)):
+            # names below the top are names, not parts of a URI
+            for e in fs.get_file_info(pafs.FileSelector(base + folder[len(top) :], recursive=False, allow_not_found=True)):
                 is_dir = e.type == pafs.FileType.Directory
+                if not hidden and (e.base_name.startswith(".") or e.base_name.startswith("_") and "=" not in e.base_name):
+                    continue
+                if pattern is not None and not (fnmatch.fnmatchcase(e.base_name, pattern) and (is_dir or last)):
+                    continue
                 if is_dir or "." in e.base_name and e.base_name.rsplit(".", 1)[1].lower() in endings:
                     rows.append((folder, e.base_name, is_dir, None if is_dir else e.size, e.mtime, depth))
             for lo in range(0, len(rows), 10_000):
@@ -35,15 +41,19 @@ def _listed(batches: Iterator[pa.RecordBatch], endings: frozenset[str]) -> Itera
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _KIND, strict=True)], schema=_KIND)
 
 
-def list_tree(spark: SparkSession, folder: str, endings: Iterable[str] | None = None, levels: int | None = None) -> DataFrame:
+def list_tree(spark: SparkSession, folder: str, endings: Iterable[str] | None = None, levels: int | None = None, patterns: Sequence[str] = (), hidden: bool = True) -> DataFrame:
     """``path, dir, title, ext, size, mtime, depth`` of the files with known endings below a folder (a URI); ``levels`` 1: in the folder alone.
 
-    A folder that is gone meanwhile counts as empty.
+    A folder that is gone meanwhile counts as empty. ``patterns``: what names must look like on the first levels, as in ``lang=*/source=*``; files are
+    taken from the level of the last one on. Without ``hidden``, names that begin with a dot or an underscore are passed over, as Spark's readers do.
     """
     known = frozenset(e.lower() for e in (endings or supported_endings()))
-    level, parts, depth = spark.createDataFrame([(folder.rstrip("/"), 0)], "dir string, depth int"), [], 0
+    top = folder.rstrip("/")
+    level, parts, depth = spark.createDataFrame([(top, 0)], "dir string, depth int"), [], 0
     while True:
-        found = materialise(level.repartition("dir").mapInArrow(lambda b: _listed(b, known), ENTRIES))
+        own = (patterns[depth] if depth < len(patterns) else None, depth + 1 == len(patterns))
+        dealt = level.repartition(spark.sparkContext.defaultParallelism, "dir")
+        found = materialise(dealt.mapInArrow(lambda b, own=own: _listed(b, top, known, *own, hidden), ENTRIES))
         parts.append(found.filter("NOT is_dir"))
         below = found.filter("is_dir")
         depth += 1

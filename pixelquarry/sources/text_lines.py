@@ -80,7 +80,10 @@ def read_text(spark: SparkSession, path: str, ansi: str = "cp1252", range_bytes:
     """``list_id`` (the file), ``line_no`` from 1 and ``line`` of all text files at a path; empty files have no line."""
     step = max(2, range_bytes // 2 * 2)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").filter("length > 0")
-    ranges = files.withColumn("start", F.explode(F.expr(f"sequence(0L, length - 1, {step}L)"))).repartition("path", "start")
+    # a row stands for many bytes, so Spark's own number of tasks for so few rows would be too small
+    total = files.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // RANGE_BYTES))
+    ranges = files.withColumn("start", F.explode(F.expr(f"sequence(0L, length - 1, {step}L)"))).repartition(tasks, "path", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -44,3 +44,52 @@ def test_rows_made_of_a_small_file_are_spread(spark, tables, monkeypatch):
     assert views.settings(spark, tables).rdd.getNumPartitions() == 6
     assert strings_queries.catalog_lines(spark, tables).rdd.getNumPartitions() > 6
     assert params_queries.R.queries["settings_source"](spark, tables).count() > 30
+
+
+def test_files_of_documents_are_named_as_spark_names_them(spark, tmp_path):
+    from pixelquarry.plans import catalog_queries
+
+    rows = [(1, "en", "a b", "one"), (1, "en", "a b", "one"), (2, None, "x/y:z", "two\nlines"), (3, "", "50%", None)]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted([("txt", 6, "source=a b"), ("txt", 6, "source=a b"), ("txt", 12, "source=x%2Fy%3Az"), ("txt", 2, "source=50%25")])
+    assert sorted(map(tuple, catalog_queries.catalog_scan(spark, str(tmp_path)).collect())) == want
+    assert sorted((e, s, f) for e, s, _, f in map(tuple, catalog_queries.catalog_scan_recursive(spark, str(tmp_path)).collect())) == want
+
+
+def test_folder_listed_by_tasks_gives_what_the_reader_gives(spark, tmp_path):
+    from pixelquarry.sources import files
+
+    for name in ("a=1/x.jpg", "a=1/.x.jpg.crc", "a=1/_tmp.jpg", "a=1/sub/y.jpg", "b=2/z.JPG", "top.jpg", "_gone/w.jpg"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    for glob, deep in (("/*=*", False), ("/*=*", True), ("", True), ("/*.jpg", False)):
+        got = files.scan_folder(spark, tmp_path.as_uri() + glob, ["jpg"], deep)
+        want = files.scan_folder(spark, str(tmp_path) + glob, ["jpg"], deep)  # no URI: Spark's reader
+        assert got.dtypes == want.dtypes
+        by_ms = lambda df: sorted((r.path, r.size, r.title, r.ext, r.mtime.replace(microsecond=0)) for r in df.collect())
+        assert by_ms(got) == by_ms(want), glob
+
+
+def test_lists_are_not_gathered(spark, tmp_path, monkeypatch):
+    from pixelquarry.plans import catalog_queries
+
+    orders = [(i, i % 12, "1-HIGH") for i in range(300)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderpriority string").selectExpr(
+        "*", "CAST(100 AS double) AS o_totalprice", "TIMESTAMP_NTZ'1995-01-01 00:00:00' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    seen = []
+    real = catalog_queries.materialise
+    monkeypatch.setattr(catalog_queries, "materialise", lambda df: seen.append(plan(df)) or real(df))
+    got = [tuple(r) for r in catalog_queries.playlist_files(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) >= 300
+    assert all("line" not in p.split("FlatMapGroupsInPandas", 1)[1].splitlines()[0] for p in seen if "FlatMapGroupsInPandas" in p)
+    assert any("rangepartitioning(list_id" in p for p in seen)
+
+
+def test_watched_files_stay_small(spark, tmp_path, monkeypatch):
+    from pixelquarry.plans import source_queries
+
+    spark.createDataFrame([(i, "x" * 100) for i in range(100)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert source_queries._watched(spark, str(tmp_path)).count() == 4
+    monkeypatch.setattr(source_queries, "WATCHED_BYTES", 1000)
+    sizes = [r.length for r in source_queries._watched(spark, str(tmp_path)).collect()]
+    assert len(sizes) == 11 and max(sizes) < 2000
