@@ -84,10 +84,21 @@ def _jumps(times: np.ndarray, wait: int) -> np.ndarray:
     return np.searchsorted(times, times + wait, side="left")
 
 
-def _chunk_exits(pdf: pd.DataFrame, wait: int) -> pd.DataFrame:
+def _runs(keys: np.ndarray) -> zip:
+    """(start, stop) of the runs of equal keys."""
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return zip(starts.tolist(), np.append(starts[1:], len(keys)).tolist(), strict=True)
+
+
+def _table(pdf: pd.DataFrame, parts: list[tuple]) -> pd.DataFrame:
+    """Rows (dir, chunk, start, exit) of the tables of a folder's chunks."""
+    sizes = [len(starts) for _, starts, _ in parts]
+    out = pd.DataFrame({"start": np.concatenate([p[1] for p in parts]), "exit": np.concatenate([p[2] for p in parts])})
+    return out.assign(dir=pdf["dir"].iloc[0], chunk=np.repeat([p[0] for p in parts], sizes))[["dir", "chunk", "start", "exit"]]
+
+
+def _exits(times: np.ndarray, wait: int) -> tuple[np.ndarray, np.ndarray]:
     """For every event a chunk could start with: until when the chunk blocks what follows it."""
-    pdf = pdf.sort_values("pos")
-    times = pdf["t"].to_numpy()
     nxt = _jumps(times, wait)
     last = times.copy()
     for i in range(len(times) - 1, -1, -1):
@@ -97,14 +108,19 @@ def _chunk_exits(pdf: pd.DataFrame, wait: int) -> pd.DataFrame:
     # chunk starts with an event up to then or with the next one after it
     upto = min(len(times), int(np.searchsorted(times, times[0] + wait, side="left")) + 1)
     starts, exits = times[:upto], last[:upto] + wait
-    keep = np.r_[exits[1:] != exits[:-1], True]
-    out = pd.DataFrame({"start": starts[keep], "exit": exits[keep]})
-    return out.assign(dir=pdf["dir"].iloc[0], chunk=pdf["chunk"].iloc[0])[["dir", "chunk", "start", "exit"]]
+    keep = np.append(exits[1:] != exits[:-1], True)
+    return starts[keep], exits[keep]
 
 
-def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+def _chunk_exits(pdf: pd.DataFrame, wait: int) -> pd.DataFrame:
+    """The tables of a bundle of chunks."""
+    pdf = pdf.sort_values("pos")
+    chunk, times = pdf["chunk"].to_numpy(), pdf["t"].to_numpy()
+    return _table(pdf, [(chunk[lo], *_exits(times[lo:hi], wait)) for lo, hi in _runs(chunk)])
+
+
+def _composed(tables: list[tuple[np.ndarray, np.ndarray]], wait: int) -> tuple[np.ndarray, np.ndarray]:
     """One table for neighbouring chunks: the exit that follows from each entry through all of them."""
-    tables = [(part["start"].to_numpy(), part["exit"].to_numpy()) for _, part in pdf.sort_values(["chunk", "start"]).groupby("chunk", sort=True)]
     starts, exits = tables[0]
     for later, after in tables[1:]:
         at = np.searchsorted(later, exits, side="left")
@@ -112,30 +128,48 @@ def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
         through = np.where(at < len(later), after[np.minimum(at, len(later) - 1)], exits)
         rest = later > starts[-1]  # entries that no event of the chunks before takes
         starts, exits = np.append(starts, later[rest]), np.append(through, after[rest])
+        upto = int(np.searchsorted(starts, starts[0] + wait, side="left")) + 1  # no entry comes later, as in a chunk
+        starts, exits = starts[:upto], exits[:upto]
         keep = np.append(exits[1:] != exits[:-1], True)
         starts, exits = starts[keep], exits[keep]
-    return pd.DataFrame({"start": starts, "exit": exits}).assign(dir=pdf["dir"].iloc[0], chunk=pdf["up"].iloc[0])[["dir", "chunk", "start", "exit"]]
+    return starts, exits
+
+
+def _compose(pdf: pd.DataFrame, wait: int) -> pd.DataFrame:
+    """The tables of a bundle of chunks of the next level, each from its neighbours of the level below."""
+    pdf = pdf.sort_values(["chunk", "start"])
+    up, chunk, starts, exits = (pdf[c].to_numpy() for c in ("up", "chunk", "start", "exit"))
+    parts = []
+    for lo, hi in _runs(up):
+        parts.append((up[lo], *_composed([(starts[lo + x : lo + y], exits[lo + x : lo + y]) for x, y in _runs(chunk[lo:hi])], wait)))
+    return _table(pdf, parts)
 
 
 def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
     """The time until which each of a few neighbouring chunks is blocked on entry, from that of the first."""
-    free = int(pdf["free"].iloc[0])
+    pdf = pdf.sort_values(["chunk", "start"])
+    up, chunk, starts, exits, given = (pdf[c].to_numpy() for c in ("up", "chunk", "start", "exit", "free"))
     rows = []
-    for chunk, part in pdf.sort_values(["chunk", "start"]).groupby("chunk", sort=True):
-        rows.append((chunk, free))
-        hit = part[part["start"] >= free]
-        free = int(hit["exit"].iloc[0]) if len(hit) else free
+    for lo, hi in _runs(up):
+        free = int(given[lo])
+        for x, y in _runs(chunk[lo:hi]):
+            rows.append((chunk[lo + x], free))
+            at = lo + x + int(np.searchsorted(starts[lo + x : lo + y], free, side="left"))
+            free = int(exits[at]) if at < lo + y else free
     return pd.DataFrame(rows, columns=["chunk", "free"]).assign(dir=pdf["dir"].iloc[0])[["dir", "chunk", "free"]]
 
 
 def _accepted(pdf: pd.DataFrame, wait: int) -> pd.DataFrame:
     pdf = pdf.sort_values("pos")
-    times = pdf["t"].to_numpy()
-    nxt = _jumps(times, wait)
-    i, picks = int(np.searchsorted(times, pdf["free"].iloc[0], side="left")), []
-    while i < len(times):
-        picks.append(i)
-        i = int(nxt[i])
+    chunk, times, free = (pdf[c].to_numpy() for c in ("chunk", "t", "free"))
+    picks = []
+    for lo, hi in _runs(chunk):
+        own = times[lo:hi]
+        nxt = _jumps(own, wait)
+        i = int(np.searchsorted(own, free[lo], side="left"))
+        while i < len(own):
+            picks.append(lo + i)
+            i = int(nxt[i])
     return pdf.iloc[picks][["event_id"]]
 
 
@@ -148,7 +182,8 @@ def throttle(events: DataFrame, wait_ms: int = THROTTLE_MS, last_passed: DataFra
     entry. These step functions are composed as a tree, ``fan`` neighbours at a
     time, and entry times go down the same tree (a parallel prefix), so no task
     meets more than ``fan`` short tables however many chunks a folder has. Each
-    chunk then picks its events. ``last_passed`` (``dir, ts``) carries state
+    chunk then picks its events. Python is handed bundles of neighbouring
+    chunks, up to ``CHUNK_ROWS`` rows at once. ``last_passed`` (``dir, ts``) carries state
     between batches.
     """
     wait = wait_ms * 1000
@@ -157,19 +192,21 @@ def throttle(events: DataFrame, wait_ms: int = THROTTLE_MS, last_passed: DataFra
         known = last_passed.select("dir", (micros(last_passed) + wait).alias("free"))
         rows = rows.join(known, "dir", "left").filter("free IS NULL OR t >= free").drop("free")
     numbered = number_rows(rows, ["dir"], [F.col("ts"), F.col("event_id")])
-    chunks = numbered.selectExpr("dir", "event_id", "pos", "t", f"(pos - 1) div {chunk_rows} AS chunk")
+    bundle, bundle_up = max(1, CHUNK_ROWS // chunk_rows), max(1, CHUNK_ROWS // (chunk_rows * fan))
+    chunks = numbered.selectExpr("dir", "event_id", "pos", "t", f"(pos - 1) div {chunk_rows} AS chunk").withColumn("bundle", F.expr(f"chunk div {bundle}"))
+    grouped = lambda level: level.withColumn("up", F.expr(f"chunk div {fan}")).withColumn("bundle", F.expr(f"up div {bundle_up}"))
     table, entry = "dir string, chunk bigint, start bigint, exit bigint", "dir string, chunk bigint, free bigint"
-    levels = [materialise(chunks.groupBy("dir", "chunk").applyInPandas(lambda p: _chunk_exits(p, wait), table))]
+    levels = [materialise(chunks.groupBy("dir", "bundle").applyInPandas(lambda p: _chunk_exits(p, wait), table))]
+    tasks = events.sparkSession.sparkContext.defaultParallelism  # tables are short, but take long
     last = levels[0].agg(F.coalesce(F.max("chunk"), F.lit(0))).first()[0]
     while last > 0:
-        up = levels[-1].withColumn("up", F.expr(f"chunk div {fan}"))
-        levels.append(materialise(up.groupBy("dir", "up").applyInPandas(_compose, table)))
+        levels.append(materialise(grouped(levels[-1]).repartition(tasks, "dir", "bundle").groupBy("dir", "bundle").applyInPandas(lambda p: _compose(p, wait), table)))
         last //= fan
     blocked = levels.pop().select("dir", "chunk").distinct().withColumn("free", F.lit(-(1 << 62)).cast("bigint"))
     for level in reversed(levels):
         above = blocked.withColumnRenamed("chunk", "up")
-        blocked = level.withColumn("up", F.expr(f"chunk div {fan}")).join(above, ["dir", "up"]).groupBy("dir", "up").applyInPandas(_entries, entry)
-    picked = chunks.join(blocked, ["dir", "chunk"]).groupBy("dir", "chunk").applyInPandas(lambda p: _accepted(p, wait), "event_id bigint")
+        blocked = grouped(level).join(above, ["dir", "up"]).groupBy("dir", "bundle").applyInPandas(_entries, entry)
+    picked = chunks.join(blocked, ["dir", "chunk"]).groupBy("dir", "bundle").applyInPandas(lambda p: _accepted(p, wait), "event_id bigint")
     return events.join(picked, "event_id", "left_semi")
 
 

@@ -93,3 +93,25 @@ def test_watched_files_stay_small(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(source_queries, "WATCHED_BYTES", 1000)
     sizes = [r.length for r in source_queries._watched(spark, str(tmp_path)).collect()]
     assert len(sizes) == 11 and max(sizes) < 2000
+
+
+def test_small_chunks_reach_python_in_bundles(spark, monkeypatch):
+    import datetime
+
+    from pixelquarry.streaming import watch
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, f"/d{i % 2}", start + datetime.timedelta(milliseconds=i * i % 9001)) for i in range(600)]
+    events = spark.createDataFrame(rows, "event_id bigint, dir string, ts timestamp_ntz")
+    want, free = [], {}
+    for i, d, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        if d not in free or ts >= free[d]:
+            want.append(i)
+            free[d] = ts + datetime.timedelta(milliseconds=70)
+    seen = []
+    real = watch.materialise
+    monkeypatch.setattr(watch, "materialise", lambda df: seen.append(plan(df)) or real(df))
+    for rows_each, fan, limit in ((1, 2, 8), (3, 2, 8), (3, 32, 1 << 16), (16, 32, 64)):
+        monkeypatch.setattr(watch, "CHUNK_ROWS", limit)
+        assert sorted(r.event_id for r in watch.throttle(events, 70, chunk_rows=rows_each, fan=fan).collect()) == sorted(want)
+    assert all("bundle" in p for p in seen)
