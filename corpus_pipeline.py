@@ -36,7 +36,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8."""
+    """One document of each group of near duplicates stays: SimHash fingerprints by a trie self-join, verified at similarity 0.8 of five-word shingles, and an exact search for what they miss."""
     bounded_batches(spark)
     return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
 

@@ -374,9 +374,32 @@ def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
+def _similar(pairs: DataFrame, bearers: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose share of common shingles is ``similarity`` or more."""
+    ends = materialise(pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct())
+    bodies = bearers.join(broadcast_if_small(ends, BROADCAST_NODES), F.col("node") == F.col("_node"), "left_semi")
+    sets = materialise(bodies.select("node", shingle_sets(F.col("text"), words).alias("set")))
+    both = join_hot_keys(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), ["a"], "inner", HOT_ROWS)
+    both = join_hot_keys(both, sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), ["b"], "inner", HOT_ROWS)
+    return materialise(both.filter(F.arrow_udf(_jaccard, "double")("set_a", "set_b") >= similarity).select("a", "b"))
+
+
+def fingerprint_pairs(bearers: DataFrame, words: int = 5, budget: int = BUDGET) -> DataFrame:
+    """Pairs (a, b) of texts in one class of the trie self-join: each with the smallest node of its class, so no more pairs than texts."""
+    signed = materialise(bearers.select("node", fingerprint(F.col("text"), words).alias("fp")))
+    linked = connected(fingerprint_links(materialise(signed.select("fp").distinct()), budget))
+    firsts = signed.groupBy("fp").agg(F.min("node").alias("least"))
+    classes = materialise(firsts.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    heads = classes.join(classes.groupBy("root").agg(F.min("least").alias("a")), "root").select("fp", "a")
+    return materialise(join_hot_keys(signed, heads, ["fp"], "inner", HOT_ROWS).filter("a <> node").select("a", F.col("node").alias("b")))
+
+
 def similar_links(bearers: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Links (a, b) that join all texts whose share of common shingles is ``similarity`` or more into classes. ``bearers``: node, text, one row per text.
 
+    The trie self-join of the SimHash fingerprints comes first: its classes are verified and merged. What fingerprints of so few bits apart miss is found
+    by rare shingles, between texts that are still of different classes.
+
     Texts with a common prefix token form a bucket. In each round some members of a bucket are compared with all its members of other classes, verified
     links merge classes, and compared members leave. A bucket is done when its members are of one class or all compared; no pair of different classes is
     left out. A bucket first meets one member, then 16, then all that are left, those of its smaller classes first, so a large group takes no square of its size.
@@ -385,10 +408,14 @@ def similar_links(bearers: DataFrame, words: int = 5, similarity: float = 0.8) -
     prefixes = bearers.select("node", shingle_prefixes(F.col("text"), counts, words, similarity).alias("p"))
     prefixes = prefixes.select("node", "p.size", F.posexplode("p.tokens").alias("pos", "token"))
     bucket = Window.partitionBy("token")
-    members = materialise(prefixes.withColumn("n", F.count("*").over(bucket)).filter("n > 1").withColumn("rank", F.row_number().over(bucket.orderBy("node"))))
-    members = members.withColumn("root", F.col("node"))
+    tried = fingerprint_pairs(bearers, words)
+    links = _similar(tried, bearers, words, similarity)
+    roots = materialise(connected(links))
+    merged = broadcast_if_small(roots.withColumnRenamed("root", "_root"), BROADCAST_NODES)
+    members = prefixes.join(merged, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
+    members = members.withColumn("n", F.count("*").over(bucket)).withColumn("_least", F.min("root").over(bucket)).withColumn("_most", F.max("root").over(bucket))
+    members = materialise(members.filter("_least < _most").drop("_least", "_most").withColumn("rank", F.row_number().over(bucket.orderBy("node"))))
     share = similarity / (1 + similarity)
-    links, tried = None, None
     for most in ROUNDS:
         first = members.filter((F.col("rank") <= F.lit(most)) | (F.col("n") <= SMALL_BUCKET))
         first = first.select("token", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("pos").alias("pos_x"), F.col("rank").alias("rank_x"), F.col("root").alias("root_x"))
@@ -397,15 +424,9 @@ def similar_links(bearers: DataFrame, words: int = 5, similarity: float = 0.8) -
         possible = F.least(F.col("size") - F.col("pos"), F.col("size_x") - F.col("pos_x")) + 1e-6 >= share * (F.col("size") + F.col("size_x"))
         met = met.filter(possible | ((F.col("size") == 0) & (F.col("size_x") == 0)))
         pairs = met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
-        ends = materialise(pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct())
-        bodies = bearers.join(broadcast_if_small(ends, BROADCAST_NODES), F.col("node") == F.col("_node"), "left_semi")
-        sets = materialise(bodies.select("node", shingle_sets(F.col("text"), words).alias("set")))
-        both = join_hot_keys(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), ["a"], "inner", HOT_ROWS)
-        both = join_hot_keys(both, sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), ["b"], "inner", HOT_ROWS)
-        found = materialise(both.filter(F.arrow_udf(_jaccard, "double")("set_a", "set_b") >= similarity).select("a", "b"))
-        links = found if links is None else links.union(found)
+        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(pairs)
+        links = links.union(_similar(pairs, bearers, words, similarity))
         left = members.filter((F.col("rank") > F.lit(most)) & (F.col("n") > SMALL_BUCKET)).drop("n", "rank", "root")
         if left.isEmpty():
             return links

@@ -115,3 +115,15 @@ def test_small_chunks_reach_python_in_bundles(spark, monkeypatch):
         monkeypatch.setattr(watch, "CHUNK_ROWS", limit)
         assert sorted(r.event_id for r in watch.throttle(events, 70, chunk_rows=rows_each, fan=fan).collect()) == sorted(want)
     assert all("bundle" in p for p in seen)
+
+
+def test_near_duplicates_meet_by_fingerprints_first(spark, monkeypatch):
+    from pixelquarry.llm import simhash
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*words[:i], f"new{i}", *words[i + 1 :]]) for i in range(3, 43)] + [f"other text number {i} alone" for i in range(9)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    met, real = [], simhash.fingerprint_pairs
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda *a: met.append(real(*a)) or met[0])
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [0, *range(40, 49)]
+    assert 0 < met[0].count() < len(texts)
