@@ -231,11 +231,12 @@ def renames(events: DataFrame, within_ms: int = RENAME_MS, identity: Sequence[st
     spread = rows.withColumn("_home", home).withColumn("_part", F.explode(near))
     key = [f"_i{n}" for n in range(len(identity))]
     before = Window.partitionBy(*key, "_part").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*key, "_part").orderBy("t", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    # what follows, seen backwards: a frame up to the end would be gone through again for every row
+    after = Window.partitionBy(*key, "_part").orderBy(F.desc("t"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
     other = F.struct("t", "event_id", "path")
     for kind in ("deleted", "created"):
-        # of several at one time the smallest id: the first that follows, and before the row the first of the last time
-        spread = spread.withColumn(f"_{kind}_after", F.first(F.when(F.col("kind") == kind, other), ignorenulls=True).over(after))
+        # of several at one time the smallest id: the next that follows, and before the row the first of the last time
+        spread = spread.withColumn(f"_{kind}_after", F.last(F.when(F.col("kind") == kind, other), ignorenulls=True).over(after))
         latest = F.max(F.when(F.col("kind") == kind, F.struct("t", (-F.col("event_id")).alias("n"), "path"))).over(before)
         spread = spread.withColumn(f"_{kind}_before", latest)
 

@@ -127,3 +127,24 @@ def test_near_duplicates_meet_by_fingerprints_first(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprint_pairs", lambda *a: met.append(real(*a)) or met[0])
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [0, *range(40, 49)]
     assert 0 < met[0].count() < len(texts)
+
+
+def test_what_follows_is_not_gone_through_for_every_row(spark):
+    import datetime
+
+    from pixelquarry.streaming import watch
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = []
+    for i in range(120):  # one identity, many copies at the same time
+        at = start + datetime.timedelta(milliseconds=1000 * (i // 40))
+        rows += [(4 * i, f"/a{i}", "deleted", at, 7), (4 * i + 1, f"/b{i}", "created", at + datetime.timedelta(milliseconds=i % 40), 7)]
+    events = spark.createDataFrame(rows, "event_id bigint, path string, kind string, ts timestamp_ntz, length bigint").withColumn("mtime", watch.F.col("ts").cast("date"))
+    found = watch.renames(events)
+    assert "unboundedfollowing" not in plan(found).lower()
+    got = sorted((r.deleted_id, r.created_id) for r in found.collect())
+    made, gone = [r for r in rows if r[2] == "created"], [r for r in rows if r[2] == "deleted"]
+    near = lambda r, others: min(((abs(r[3] - o[3]), o[3], o[0]) for o in others if abs(r[3] - o[3]) <= datetime.timedelta(milliseconds=250)), default=None)
+    best = {r[0]: near(r, made) for r in gone}
+    back = {r[0]: near(r, gone) for r in made}
+    assert got == sorted((d, b[2]) for d, b in best.items() if b and back[b[2]][2] == d) and got
