@@ -139,7 +139,7 @@ ent AS (SELECT list_id, line_no, CASE WHEN instr(line, '\\') > 0 THEN regexp_ext
   WHEN regexp_matches(line, '\.(jpg|jpeg|png|tif|tiff|gif|nef)', 'i') THEN 'C:\photos\1995\1\' || regexp_extract(line, '([^"<>\r\n]*)$', 1) END AS name FROM good),
 entries AS (SELECT * FROM ent WHERE name IS NOT NULL)"""
 R.add("playlist_source", f"WITH {ENTRIES} SELECT * FROM entries", "playlist")(
-    lambda s, d: playlist.playlist_entries(views.playlist(s, d), LIST_FOLDER))
+    lambda s, d: playlist.playlist_entries(views.playlist(s, d), LIST_FOLDER, line_limit=None))
 
 R.add("playlist_refused", "SELECT list_id, 'long line' AS reason FROM playlist WHERE length(line) >= 512 GROUP BY 1", "playlist")(
     lambda s, d: playlist.refused_lists(views.playlist(s, d), playlist.LINE_LIMIT))
@@ -210,7 +210,7 @@ R.add("take_first_kb", f"WITH {CUT.format(limit=2048)} SELECT * FROM cut", "play
 @R.add("playlist_resolve", f"""WITH {ENTRIES} SELECT list_id, line_no, path, size FROM entries JOIN catalog
   ON lower(path) = replace(regexp_replace(lower(name), '^c:', ''), '\\', '/')""", "playlist")
 def playlist_resolve(s, d):
-    names = playlist.playlist_entries(views.playlist(s, d), LIST_FOLDER)
+    names = playlist.playlist_entries(views.playlist(s, d), LIST_FOLDER, line_limit=None)
     local = names.withColumn("name", F.translate(F.regexp_replace("name", "(?i)^c:", ""), "\\", "/"))
     return cat.resolve_playlist(local, views.catalog(s, d), hot_rows=1000).select("list_id", "line_no", "path", "size")
 
