@@ -304,8 +304,8 @@ def simhash_components(docs: DataFrame, words: int = 4, budget: int = BUDGET, do
 RARITY_BITS = 20
 #: Buckets of up to so many texts are compared pair by pair at once.
 SMALL_BUCKET = 4
-#: Members that all others of a larger bucket are compared with, in the first rounds; in the last one all that are left.
-ROUNDS = (1, 16, 1 << 31)
+#: Members that all others of a larger bucket are compared with: in the first round, in the second, and how many times more in each that follows.
+FIRST_HEADS, NEXT_HEADS, MORE_HEADS = 1, 16, 4
 
 
 def shingle_counts(texts: DataFrame, words: int = 5) -> np.ndarray:
@@ -400,23 +400,20 @@ def similar_links(bearers: DataFrame, words: int = 5, similarity: float = 0.8) -
     The trie self-join of the SimHash fingerprints comes first: its classes are verified and merged. What fingerprints of so few bits apart miss is found
     by rare shingles, between texts that are still of different classes.
 
-    Texts with a common prefix token form a bucket. In each round some members of a bucket are compared with all its members of other classes, verified
-    links merge classes, and compared members leave. A bucket is done when its members are of one class or all compared; no pair of different classes is
-    left out. A bucket first meets one member, then 16, then all that are left, those of its smaller classes first, so a large group takes no square of its size.
+    Texts with a common prefix token form a bucket. In each round some members of a bucket, its heads, are compared with all its members of other classes,
+    verified links merge classes, and heads leave. A bucket is done when its members are of one class or all compared; no pair of different classes is
+    left out. Heads are of the bucket's largest class, those with the fewest rare shingles of their own first: so a group of near copies gathers around
+    its middle, what has joined is not compared again, and what has not yet meets 16 more, then 64, and so on. A large group takes no square of its size.
     """
     counts = bearers.sparkSession.sparkContext.broadcast(shingle_counts(bearers, words))
     prefixes = bearers.select("node", shingle_prefixes(F.col("text"), counts, words, similarity).alias("p"))
     prefixes = prefixes.select("node", "p.size", F.posexplode("p.tokens").alias("pos", "token"))
-    bucket = Window.partitionBy("token")
     tried = fingerprint_pairs(bearers, words)
     links = _similar(tried, bearers, words, similarity)
     roots = materialise(connected(links))
-    merged = broadcast_if_small(roots.withColumnRenamed("root", "_root"), BROADCAST_NODES)
-    members = prefixes.join(merged, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
-    members = members.withColumn("n", F.count("*").over(bucket)).withColumn("_least", F.min("root").over(bucket)).withColumn("_most", F.max("root").over(bucket))
-    members = materialise(members.filter("_least < _most").drop("_least", "_most").withColumn("rank", F.row_number().over(bucket.orderBy("node"))))
-    share = similarity / (1 + similarity)
-    for most in ROUNDS:
+    members = _ranked(prefixes, roots)
+    share, most = similarity / (1 + similarity), FIRST_HEADS
+    while not members.isEmpty():
         first = members.filter((F.col("rank") <= F.lit(most)) | (F.col("n") <= SMALL_BUCKET))
         first = first.select("token", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("pos").alias("pos_x"), F.col("rank").alias("rank_x"), F.col("root").alias("root_x"))
         met = join_hot_keys(members, first, ["token"], "inner", HOT_ROWS).filter("rank > rank_x AND root <> root_x")
@@ -429,16 +426,21 @@ def similar_links(bearers: DataFrame, words: int = 5, similarity: float = 0.8) -
         links = links.union(_similar(pairs, bearers, words, similarity))
         left = members.filter((F.col("rank") > F.lit(most)) & (F.col("n") > SMALL_BUCKET)).drop("n", "rank", "root")
         if left.isEmpty():
-            return links
+            break
         roots = materialise(connected(links))
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        left = left.join(roots.withColumnRenamed("root", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
-        left = left.withColumn("_least", F.min("root").over(bucket)).withColumn("_most", F.max("root").over(bucket)).filter("_least < _most")
-        left = left.withColumn("_own", F.count("*").over(Window.partitionBy("token", "root"))).withColumn("n", F.count("*").over(bucket))
-        members = materialise(left.withColumn("rank", F.row_number().over(bucket.orderBy("_own", "node"))).drop("_least", "_most", "_own"))
-        if members.isEmpty():
-            return links
-    raise AssertionError
+        members, most = _ranked(left, roots), max(NEXT_HEADS, most * MORE_HEADS)
+    return links
+
+
+def _ranked(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets of several classes, with their class, the bucket's size and their rank as heads."""
+    bucket = Window.partitionBy("token")
+    merged = broadcast_if_small(roots.withColumnRenamed("root", "_root"), BROADCAST_NODES)
+    members = members.join(merged, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
+    members = members.withColumn("n", F.count("*").over(bucket)).withColumn("_least", F.min("root").over(bucket)).withColumn("_most", F.max("root").over(bucket))
+    members = members.filter("_least < _most").drop("_least", "_most").withColumn("_own", F.count("*").over(Window.partitionBy("token", "root")))
+    return materialise(members.withColumn("rank", F.row_number().over(bucket.orderBy(F.desc("_own"), "root", "pos", "node"))).drop("_own"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

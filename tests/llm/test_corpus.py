@@ -382,6 +382,26 @@ def test_near_duplicates_compare_all_of_a_bucket(spark):
     assert sorted(r.doc_id for r in kept.collect()) == want and 1 < len(want) < 40
 
 
+def test_near_duplicates_of_a_large_group_take_no_square(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    n, body = 160, [f"w{j}" for j in range(140)]
+    texts = [body]
+    for i in range(1, n):  # up to three edits each: all near to the first text, most pairs of others apart
+        own = list(body)
+        for at in rng.choice(140, int(rng.integers(1, 4)), replace=False):
+            own[at] = f"e{i}"
+        texts.append(own)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    want = sorted(set(components(near).tolist()))
+    verified, real = [], simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, *rest: verified.append(pairs.count()) or real(pairs, *rest))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    assert sum(verified) < 4 * n, verified
+
+
 def test_sharding(docs, none):
     rows = sharding.shard_documents(docs, 4).collect()
     want = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in TEXTS)
